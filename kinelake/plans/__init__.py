@@ -4,7 +4,7 @@ from importlib import import_module
 
 from kinelake.plans import registry
 
-MODULES = ["core", "relational"]
+MODULES = ["core", "relational", "feature_queries", "reshape_queries"]
 
 
 def load_all():
