@@ -36,14 +36,33 @@ def distance(left: list[str], right: list[str]) -> Column:
     return norm(*[F.col(a) - F.col(b) for a, b in zip(left, right)])
 
 
-def unit_hash(*cols: Column | str, seed: int = 42) -> Column:
-    """Deterministic uniform in (0, 1) from a key: same value however rows are partitioned."""
-    h = F.xxhash64(*cols, F.lit(seed))
-    return (F.pmod(h, F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+def _uniform(digest: Column, start: int) -> Column:
+    number = F.conv(F.substring(digest, start, 13), 16, 10).cast("double")
+    return (number + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def normal_hash(*cols: Column | str, seed: int = 42) -> Column:
-    """Deterministic standard normal draw (Box-Muller over two hashed uniforms)."""
-    u1 = unit_hash(*cols, seed=seed)
-    u2 = unit_hash(*cols, seed=seed + 7919)
-    return F.sqrt(-2.0 * F.ln(u1)) * F.cos(2.0 * F.pi() * u2)
+def _digest(cols, seed) -> Column:
+    return F.md5(F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols], F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")))
+
+
+def unit_hash(*cols: Column | str, seed: int | Column = 42) -> Column:
+    """Deterministic uniform in (0, 1) from a key: same value however rows are partitioned or retried."""
+    return _uniform(_digest(cols, seed), 1)
+
+
+def normal_hash(*cols: Column | str, seed: int | Column = 42) -> Column:
+    """Deterministic standard normal draw (Box-Muller over both halves of one digest)."""
+    d = _digest(cols, seed)
+    return F.sqrt(-2.0 * F.ln(_uniform(d, 1))) * F.cos(2.0 * F.pi() * _uniform(d, 14))
+
+
+def unit_sql(*parts: str, start: int = 1) -> str:
+    """The same uniform as SQL text (last part is the seed)."""
+    return f"((('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), {start}, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
+def text_order_key(c: Column | str) -> Column:
+    """A number that never decreases along the byte order of a string (its first six bytes)."""
+    c = F.col(c) if isinstance(c, str) else c
+    head = F.rpad(F.hex(F.encode(c, "utf-8")), 12, "0")
+    return F.conv(head, 16, 10).cast("double")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 1 << 21
 BLOCK = 1 << 16
 BROADCAST_ROWS = 1_000_000
+GLOBAL_BUCKET = 1 << 17
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -35,6 +36,7 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    # Without keys the statistics side is exactly one row.
     return left.join(right, keys, how) if keys else left.crossJoin(F.broadcast(right))
 
 
@@ -46,19 +48,23 @@ def cumulate(
     weights: dict[str, Column],
     rows_per_bucket: int = ROWS_PER_BUCKET,
     max_rows: int | None = None,
+    kind: str = "sum",
 ) -> DataFrame:
-    """Inclusive running sums of ``weights`` per key along ``order``.
+    """Inclusive running sums (or minima) of ``weights`` per key along ``order``.
 
     ``by`` is a non-null number that never decreases along ``order``; it is what gets bucketed.
     ``max_rows`` is the largest group size if the caller already knows it.
     """
     order = list(order)
+    agg = {"sum": F.sum, "min": F.min}[kind]
     running = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if max_rows is None:
         max_rows = largest_group(df, keys)
+    if not keys:  # one global order: keep it spread over tasks
+        rows_per_bucket = min(rows_per_bucket, GLOBAL_BUCKET)
     if max_rows <= rows_per_bucket:
         w = running(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumns({name: F.sum(expr).over(w) for name, expr in weights.items()})
+        return df.withColumns({name: agg(expr).over(w) for name, expr in weights.items()})
 
     tagged = df.withColumn("_by", by.cast("double"))
     stats = tagged.groupBy(*keys).agg(
@@ -68,15 +74,17 @@ def cumulate(
     n_buckets = F.ceil(F.col("_n") / F.lit(float(rows_per_bucket)))
     place = F.coalesce(F.try_divide(F.col("_by") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     tagged = tagged.withColumn("_b", F.least(F.floor(place * n_buckets), n_buckets - 1).cast("long"))
-    sums = tagged.groupBy(*keys, "_b").agg(*[F.sum(e).alias(f"_s_{n}") for n, e in weights.items()])
+    sums = tagged.groupBy(*keys, "_b").agg(*[agg(e).alias(f"_s_{n}") for n, e in weights.items()])
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *keys, "_b", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in weights]
-    )
+    offsets = sums.select(*keys, "_b", *[agg(f"_s_{n}").over(before).alias(f"_o_{n}") for n in weights])
     w = running(Window.partitionBy(*keys, "_b").orderBy(*order))
-    local = tagged.withColumns({n: F.sum(e).over(w) for n, e in weights.items()})
+    local = tagged.withColumns({n: agg(e).over(w) for n, e in weights.items()})
     out = local.join(offsets, [*keys, "_b"])
-    out = out.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in weights})
+    if kind == "sum":
+        merged = {n: F.col(n) + F.coalesce(f"_o_{n}", F.lit(0)) for n in weights}
+    else:  # least() skips the NULL offset of the first bucket
+        merged = {n: F.least(n, f"_o_{n}") for n in weights}
+    out = out.withColumns(merged)
     return out.drop("_by", "_n", "_lo", "_hi", "_b", *[f"_o_{n}" for n in weights])
 
 
@@ -193,3 +201,38 @@ def average_ranks(
     distinct = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
     cum = cumulate(distinct, keys, F.col(value), [value], {"_cum": F.col("ties")}, rows_per_bucket)
     return cum.withColumn(name, F.col("_cum") - (F.col("ties") - 1) / F.lit(2.0)).drop("_cum")
+
+
+def nearest_sides(
+    events: DataFrame, points: DataFrame, keys: list[str], time: str, payload: list[str], width: float
+) -> DataFrame:
+    """Attach to each event the last point at or before it and the first point after it.
+
+    Events and points are merged inside (key, time bucket); a bucket without a hit takes the carry of
+    the nearest non-empty bucket from a table with one row per (key, bucket).
+    """
+    bucket = F.floor(F.col(time) / F.lit(float(width))).cast("long")
+    item = F.struct(F.col(time).alias("t"), *payload)
+    ev = events.withColumns({"_b": bucket, "_kind": F.lit(1), "_pt": F.lit(None)})
+    pt = points.select(*keys, time, item.alias("_pt")).withColumns({"_b": bucket, "_kind": F.lit(0)})
+    ev = ev.withColumn("_pt", F.lit(None).cast(pt.schema["_pt"].dataType))
+    both = ev.unionByName(pt, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_b").orderBy(time, "_kind")
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    both = both.withColumns(
+        {"_prev": F.last("_pt", ignorenulls=True).over(back), "_next": F.first("_pt", ignorenulls=True).over(ahead)}
+    ).filter("_kind = 1")
+    edges = pt.groupBy(*keys, "_b").agg(F.min("_pt").alias("_lo"), F.max("_pt").alias("_hi"))
+    grid = edges.unionByName(ev.select(*keys, "_b").distinct(), allowMissingColumns=True)
+    grid = grid.groupBy(*keys, "_b").agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    gw = Window.partitionBy(*keys).orderBy("_b")
+    carry = grid.select(
+        *keys,
+        "_b",
+        F.last("_hi", ignorenulls=True).over(gw.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
+        F.first("_lo", ignorenulls=True).over(gw.rowsBetween(1, Window.unboundedFollowing)).alias("_cn"),
+    )
+    out = both.join(carry, [*keys, "_b"], "left")
+    out = out.withColumns({"prev": F.coalesce("_prev", "_cp"), "next": F.coalesce("_next", "_cn")})
+    return out.drop("_b", "_kind", "_pt", "_prev", "_next", "_cp", "_cn")

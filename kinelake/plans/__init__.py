@@ -4,7 +4,7 @@ from importlib import import_module
 
 from kinelake.plans import registry
 
-MODULES = ["core", "relational", "feature_queries", "reshape_queries"]
+MODULES = ["core", "relational", "feature_queries", "reshape_queries", "evaluation_queries", "result_queries"]
 
 
 def load_all():

@@ -153,3 +153,43 @@ def states(spark: SparkSession, sf: str) -> DataFrame:
         max_rows=largest(raw, sf, "states", ["subject_id"]),
     )
     return out.select("subject_id", "frame_idx", "state", "value")
+
+
+# Binary predictions from ``orders``: one sample per order, subject = customer, fold = customer, config = priority.
+PREDS_SQL = """SELECT concat(CASE WHEN o_orderstatus = 'F' THEN 'g1_' ELSE 'g0_' END, CASE WHEN o_custkey % 3 = 0 THEN 'fx' ELSE 'px' END,
+    CAST(o_custkey AS STRING), '_trial', CAST(o_orderkey AS STRING)) AS sample_id,
+  concat(CASE WHEN o_custkey % 3 = 0 THEN 'fx' ELSE 'px' END, CAST(o_custkey AS STRING)) AS subject_id,
+  CAST(o_orderkey % 6 + 1 AS INT) AS task, CAST(o_custkey % 4 + 1 AS INT) AS paradigm, o_orderpriority AS model,
+  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y_true,
+  CASE WHEN round((CAST(round(o_totalprice * 100) AS BIGINT) % 997) / 9.97e2 * 8e-1 + CASE WHEN o_orderstatus = 'F' THEN 2e-1 ELSE 0e0 END, 3) >= 5e-1
+    THEN 1 ELSE 0 END AS y_pred,
+  round((CAST(round(o_totalprice * 100) AS BIGINT) % 997) / 9.97e2 * 8e-1 + CASE WHEN o_orderstatus = 'F' THEN 2e-1 ELSE 0e0 END, 3) AS y_proba
+  FROM orders"""
+
+
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(PREDS_SQL.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf, "orders"))
+
+
+# Two-label predictions from ``labels`` and ``documents``.
+LABEL_PREDS_SQL = """SELECT CAST(l.doc_id AS STRING) AS sample_id, label, y_true, CASE WHEN p >= 5e-1 THEN 1 ELSE 0 END AS y_pred, p AS y_proba FROM (
+    SELECT doc_id, 'quality' AS label, CAST(quality AS INT) AS y_true FROM labels UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS INT) FROM labels) l
+  JOIN (SELECT doc_id, 'quality' AS lb, round(((n_chars * 7 + doc_id * 13) % 101) / 1.01e2, 2) AS p FROM documents
+    UNION ALL SELECT doc_id, 'toxic', round(((n_chars * 5 + doc_id * 29) % 103) / 1.03e2, 2) FROM documents) d ON d.doc_id = l.doc_id AND d.lb = l.label"""
+
+
+def label_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    src = LABEL_PREDS_SQL.replace("FROM labels", "FROM {labels}").replace("FROM documents", "FROM {documents}")
+    return spark.sql(src, labels=table(spark, sf, "labels"), documents=table(spark, sf, "documents"))
+
+
+# Fold records from ``customer``: fold = customer, losses from the balance, model = market segment.
+FOLDS_SQL = """SELECT c_custkey AS fold, c_mktsegment AS model, CAST(c_nationkey % 5 AS INT) AS config, CAST(c_nationkey % 3 + 1 AS INT) AS task,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE (c_acctbal - floor(c_acctbal / 9.7e1) * 9.7e1) / 3.1e2 END AS train_loss,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE (c_acctbal - floor(c_acctbal / 9.7e1) * 9.7e1) / 2.9e2 + (c_custkey % 13) / 1.7e2 END AS val_loss,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE (c_custkey % 17) / 1.7e1 END AS train_acc, (c_custkey % 19) / 1.9e1 AS val_acc,
+  CAST(10 + c_custkey % 50 AS INT) AS epochs FROM customer"""
+
+
+def folds(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(FOLDS_SQL.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf, "customer"))

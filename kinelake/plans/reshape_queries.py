@@ -218,9 +218,9 @@ def composed_transforms(spark, sf):
 @query(
     "channel_first_layout",
     f"""WITH {BASE}, s AS (SELECT subject_id, task, frame_idx, channel, round(value, 6) AS value FROM frames UNPIVOT (value FOR channel IN ({COLS})))
-    SELECT subject_id, task, channel, CAST(0 AS BIGINT) AS chunk, len(list(value)) AS n, round(list_sum(list(value ORDER BY frame_idx)[1:5]), 5) AS head FROM s GROUP BY subject_id, task, channel""",
+    SELECT subject_id, task, channel, CAST(0 AS BIGINT) AS chunk, len(list(value)) AS n, round(list_sum(list(value ORDER BY frame_idx)[1:5]), 6) AS head FROM s GROUP BY subject_id, task, channel""",
 )
 def channel_first_layout(spark, sf):
     x = reshape.channel_first(frames(spark, sf, CH), CH)
     head = F.aggregate(F.slice("values", 1, 5), F.lit(0.0), lambda a, b: a + F.round(b, 6))
-    return x.select(*RECORDING, "channel", "chunk", F.size("values").alias("n"), rnd(head, 5).alias("head"))
+    return x.select(*RECORDING, "channel", "chunk", F.size("values").alias("n"), rnd(head, 6).alias("head"))
