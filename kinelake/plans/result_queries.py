@@ -124,8 +124,8 @@ def alignment_by_event(spark, sf):
 AT = f"""{ST}, {EVENTS}, lens AS (SELECT subject_id, max(frame_idx) + 1 AS n FROM states GROUP BY 1),
   e AS (SELECT ev.*, n, CAST(greatest(least(floor(t * 50), n - 1), 0) AS BIGINT) AS f FROM ev JOIN lens USING (subject_id)),
   c AS (SELECT e.event_id, e.subject_id, e.event, s.state, count(*) AS n, count(*) FILTER (WHERE s.frame_idx >= f - 25 AND s.frame_idx < f + 25) AS h,
-    max(CASE WHEN s.frame_idx = f THEN 1 ELSE 0 END) AS at FROM e JOIN states s ON s.subject_id = e.subject_id AND s.frame_idx >= f - 50 AND s.frame_idx < f + 50 GROUP BY ALL),
-  atev AS (SELECT subject_id, event_id, event, max(state) FILTER (WHERE at = 1) AS state_at, arg_min(state, -n * 1000 + state) AS dominant_state,
+    max(CASE WHEN s.frame_idx = f THEN 1 ELSE 0 END) AS here FROM e JOIN states s ON s.subject_id = e.subject_id AND s.frame_idx >= f - 50 AND s.frame_idx < f + 50 GROUP BY ALL),
+  atev AS (SELECT subject_id, event_id, event, max(state) FILTER (WHERE here = 1) AS state_at, arg_min(state, -n * 1000 + state) AS dominant_state,
     round(100.0 * max(n) / sum(n), 4) AS dominant_pct, arg_min(state, -h * 1000 + state) AS profile_state, count(*) FILTER (WHERE h > 0) > 1 AS has_transition FROM c GROUP BY ALL)"""
 
 
@@ -246,7 +246,7 @@ P = f"preds AS ({PREDS_SQL})"
 SP = f"""{P}, sp AS (SELECT upper(subject_id) AS subject_id, task, paradigm, CASE WHEN subject_id LIKE 'px%' THEN 1 ELSE 0 END AS y_true,
   CASE WHEN avg(y_proba) >= 0.5 THEN 1 ELSE 0 END AS y_pred, avg(y_proba) AS y_proba FROM preds GROUP BY subject_id, task, paradigm)"""
 IMP_FR = f"frames AS ({frames_sql()}), ser AS (SELECT task, channel, value FROM frames UNPIVOT (value FOR channel IN ({', '.join(CHANNELS)})))"
-IMP = f"{IMP_FR}, imp AS (SELECT task, paradigm, channel, avg(value) / CASE WHEN channel LIKE '%rot%' THEN 900e0 + paradigm ELSE 5e0 * paradigm END AS importance FROM ser CROSS JOIN (VALUES (1), (2), (3), (4)) v(paradigm) GROUP BY ALL)"
+IMP = f"{IMP_FR}, imp AS (SELECT task, paradigm, channel, avg(value / CASE WHEN channel LIKE '%rot%' THEN 900e0 + paradigm ELSE 5e0 * paradigm END) AS importance FROM ser CROSS JOIN (VALUES (1), (2), (3), (4)) v(paradigm) GROUP BY ALL)"
 
 
 def subject_preds(spark, sf):
@@ -421,7 +421,7 @@ def top_features(spark, sf):
 
 @query(
     "subject_analysis_table",
-    f"""WITH {SP}, {LATERALITY_SQL}, {SUMMARY.replace("states AS", "states AS", 1)}, c AS (SELECT subject_id, laterality FROM pmeta),
+    f"""WITH {SP}, {LATERALITY_SQL}, {SUMMARY}, c AS (SELECT subject_id, laterality FROM pmeta),
     p1 AS (SELECT subject_id, max(y_true) AS y_true, CASE WHEN avg(y_proba) >= 0.5 THEN 1 ELSE 0 END AS y_pred FROM sp GROUP BY 1),
     s1 AS (SELECT concat('PX', CAST(subject_id AS STRING)) AS subject_id, n_frames, n_transitions FROM summ),
     e1 AS (SELECT concat('PX', CAST(user_id AS STRING)) AS subject_id, count(*) AS n_events FROM events GROUP BY 1)
