@@ -146,18 +146,34 @@ def dwt_step(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ext[at] @ DB4_LOW, ext[at] @ DB4_HIGH
 
 
-def morlet_energy(x: np.ndarray, scales: np.ndarray, core: slice) -> tuple[float, float]:
-    """(sum, max) of squared real-Morlet coefficients over the core rows and all scales."""
+_MORLETS: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+
+
+def _morlet_spectra(n: int, max_scale: int) -> tuple[int, np.ndarray]:
+    """(FFT size, conjugate-free spectra of the scaled wavelets) for series of n samples, cached per process."""
+    if (n, max_scale) not in _MORLETS:
+        size = 1 << int(np.ceil(np.log2(n + min(8 * max_scale, n))))
+        bank = np.zeros((max_scale, size))
+        for i in range(max_scale):
+            half = min(8 * (i + 1), n - 1)  # lags past the series length meet no sample
+            lag = np.arange(-half, half + 1)
+            t = lag / (i + 1.0)
+            bank[i, lag % size] = np.exp(-t * t / 2.0) * np.cos(5.0 * t) / np.sqrt(i + 1.0)
+        if len(_MORLETS) > 64:
+            _MORLETS.clear()
+        _MORLETS[(n, max_scale)] = (size, np.fft.rfft(bank, axis=1))
+    return _MORLETS[(n, max_scale)]
+
+
+def morlet_energy(x: np.ndarray, max_scale: int, core: slice) -> tuple[float, float]:
+    """(sum, max) of squared real-Morlet coefficients over the core rows and scales 1..max_scale."""
+    size, bank = _morlet_spectra(len(x), max_scale)
+    spec = np.fft.rfft(x, size)
     total, top = 0.0, 0.0
-    for s in scales:
-        half = int(8 * s)
-        t = np.arange(-half, half + 1) / s
-        psi = np.exp(-t * t / 2.0) * np.cos(5.0 * t) / np.sqrt(s)
-        size = 1 << int(np.ceil(np.log2(len(x) + len(psi))))
-        c = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(psi, size), size)[half : half + len(x)][core]
-        e = c * c
-        total += float(e.sum())
-        top = max(top, float(e.max()) if len(e) else 0.0)
+    for i in range(0, max_scale, 16):
+        c = np.fft.irfft(bank[i : i + 16] * spec, size, axis=1)[:, : len(x)][:, core]
+        total += float((c * c).sum())
+        top = max(top, float((c * c).max()))
     return total, top
 
 

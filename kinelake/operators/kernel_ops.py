@@ -141,21 +141,21 @@ def time_warp(df: DataFrame, channels: list[str], sigma: float = 0.2, knot: int
 # ---------------------------------------------------------------- peaks
 
 
-def peaks(series: DataFrame, keys: list[str], distance: int, above_mean: bool = True) -> DataFrame:
+def peaks(series: DataFrame, keys: list[str], distance: int, max_rows: int | None = None) -> DataFrame:
     """Local maxima (plateau middles) at or above the mean, thinned to ``distance`` by height.
 
     Input rows (keys, frame_idx, value). Runs of equal values are contracted first, so a plateau of
     any length is two rows. A candidate that tops everything within reach is certainly kept; it
     settles its neighbours and separates what is left into independent stretches for the kernel.
     """
+    if max_rows is None:
+        max_rows = ordering.largest_group(series, keys)
     x = ordering.neighbours(series, keys, {"_p": ("value", -1)})
     x = x.filter("_p IS NULL OR _p <> value")
-    x = ordering.position(x, keys, F.col("frame_idx"), ["frame_idx"], "_run")
+    x = ordering.position(x, keys, F.col("frame_idx"), ["frame_idx"], "_run", max_rows=max_rows)
     x = ordering.neighbours(x, keys, {"_ns": ("frame_idx", 1), "_nv": ("value", 1)}, "_run")
     stats = series.groupBy(*keys).agg(F.avg("value").alias("_mean"))
-    cand = x.filter("_p < value AND _nv < value").join(stats, keys)
-    if above_mean:
-        cand = cand.filter("value >= _mean")
+    cand = x.filter("_p < value AND _nv < value").join(stats, keys).filter("value >= _mean")
     mid = F.floor((F.col("frame_idx") + F.col("_ns") - 1) / 2).cast("long")
     cand = cand.select(*keys, mid.alias("peak"), F.col("value").alias("height"))
     reach = distance - 1
@@ -168,7 +168,7 @@ def peaks(series: DataFrame, keys: list[str], distance: int, above_mean: bool =
     cand = again.withColumn("_near", touched).filter("_core").drop("_blk", "_core")
     sure = cand.filter("_top")
     rest = cand.select(*keys, "peak", "height", F.col("_top").cast("long").alias("_s"), "_near")
-    rest = ordering.cumulate(rest, keys, F.col("peak"), ["peak"], {"_stretch": F.col("_s")})
+    rest = ordering.cumulate(rest, keys, F.col("peak"), ["peak"], {"_stretch": F.col("_s")}, max_rows=max_rows)
     rest = rest.filter("NOT _near")
     # Many short stretches share one call; they are more than ``distance`` apart.
     rest = rest.withColumn("_chunk", F.floor(F.col("_stretch") / F.lit(256)).cast("long"))
@@ -185,8 +185,9 @@ def temporal_features(df: DataFrame, signal: str, keys: list[str] = RECORDING, r
     """Peak, interval and valley statistics (zeros when there are none)."""
     s = df.select(*keys, "frame_idx", F.col(signal).alias("value"))
     d = max(int(rate // 10), 1)
-    p = peaks(s, keys, d)
-    p = ordering.position(p, keys, F.col("peak"), ["peak"], "_i")
+    top = ordering.largest_group(s, keys)
+    p = peaks(s, keys, d, top)
+    p = ordering.position(p, keys, F.col("peak"), ["peak"], "_i", max_rows=top)
     p = ordering.neighbours(p, keys, {"_prev": ("peak", -1)}, "_i")
     gap = (F.col("peak") - F.col("_prev")) / F.lit(rate)
     a = p.groupBy(*keys).agg(
@@ -200,7 +201,7 @@ def temporal_features(df: DataFrame, signal: str, keys: list[str] = RECORDING, r
     a = a.withColumn(
         "cv_inter_peak_interval", F.col("std_inter_peak_interval") / (F.col("mean_inter_peak_interval") + 1e-10)
     )
-    v = peaks(s.withColumn("value", -F.col("value")), keys, d).groupBy(*keys).agg(F.count(F.lit(1)).alias("num_valleys"))
+    v = peaks(s.withColumn("value", -F.col("value")), keys, d, top).groupBy(*keys).agg(F.count(F.lit(1)).alias("num_valleys"))
     every = s.select(*keys).distinct()
     out = every.join(a, keys, "left").join(v, keys, "left")
     return out.fillna(0).fillna(0.0)
@@ -325,19 +326,18 @@ def continuous_wavelet(
 ) -> DataFrame:
     """Mean and max energy of a real Morlet transform over scales 1..max_scale (zero outside the series)."""
     k = [*keys, "channel"]
-    scales = np.arange(1, max_scale + 1)
     x = ordering.blocked(series, "idx", 8 * max_scale, 8 * max_scale, size)
 
     def one(c):
         core = np.flatnonzero(c["_core"])
         if not len(core):
             return None
-        total, top = kernels.morlet_energy(c["value"], scales, slice(core[0], core[-1] + 1))
+        total, top = kernels.morlet_energy(c["value"], max_scale, slice(core[0], core[-1] + 1))
         return {"total": total, "top": top, "rows": len(core)}
 
     part = per_group(x, [*k, "_blk"], ["idx"], one, "total DOUBLE, top DOUBLE, rows BIGINT")
     return part.groupBy(*k).agg(
-        (F.sum("total") / (F.sum("rows") * len(scales))).alias("cwt_mean_energy"), F.max("top").alias("cwt_max_energy")
+        (F.sum("total") / (F.sum("rows") * max_scale)).alias("cwt_mean_energy"), F.max("top").alias("cwt_max_energy")
     )
 
 
@@ -543,10 +543,11 @@ def _symmetric(dist: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def classical_mds(dist: DataFrame, ids: DataFrame, dims: int = 2, iterations: int = 30) -> DataFrame:
-    """(id, dim, value): double-centred squared distances, leading eigenvectors by power iteration.
+    """(id, dim, value): double-centred squared distances, leading eigenvectors by subspace iteration.
 
-    Each iteration is one join and one aggregate over the pair table; vectors are (id, value) tables
-    cut with a reliable checkpoint so lineage stays short. Results are z-scored per dimension.
+    Each iteration is one join and one aggregate over the pair table; vectors are (id, v0, v1, ..)
+    tables cut with a reliable checkpoint so lineage stays short. Only dims x dims products reach the
+    driver. Results are z-scored per dimension.
     """
     from kinelake.sources.store import reliable
 
@@ -556,30 +557,25 @@ def classical_mds(dist: DataFrame, ids: DataFrame, dims: int = 2, iterations: in
     allm = d2.agg(F.avg("d2").alias("_all"))
     b = d2.join(row, "id_a").join(col, "id_b").crossJoin(F.broadcast(allm))
     b = reliable(b.select("id_a", "id_b", (-0.5 * (F.col("d2") - F.col("_ra") - F.col("_rb") + F.col("_all"))).alias("g")))
-    found: list[tuple[DataFrame, float]] = []
-    out = None
-    for dim in range(dims):
-        v = ids.select("id", (F.lit(1.0) + normal_hash(F.col("id").cast("string"), seed=dim)).alias("value"))
-        lam = 0.0
-        for _ in range(iterations):
-            y = b.join(v.withColumnRenamed("id", "id_b"), "id_b").groupBy("id_a").agg(
-                F.sum(F.col("g") * F.col("value")).alias("value")
-            ).withColumnRenamed("id_a", "id")
-            for u, lu in found:  # remove the directions already found
-                dot = v.join(u.withColumnRenamed("value", "_u"), "id").agg(F.sum(F.col("value") * F.col("_u")).alias("_d"))
-                y = y.join(u.withColumnRenamed("value", "_u"), "id").crossJoin(F.broadcast(dot))
-                y = y.select("id", (F.col("value") - F.lit(lu) * F.col("_u") * F.col("_d")).alias("value"))
-            length = y.agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("_l"))
-            v = reliable(y.crossJoin(F.broadcast(length)).select("id", F.try_divide("value", "_l").alias("value"), "_l"))
-            new = float(v.agg(F.max("_l")).first()[0] or 0.0)
-            v = v.drop("_l")
-            if abs(new - lam) <= 1e-10 * max(new, 1.0):
-                lam = new
-                break
-            lam = new
-        found.append((v, lam))
-        part = v.select("id", F.lit(dim).alias("dim"), (F.col("value") * float(np.sqrt(max(lam, 0.0)))).alias("value"))
-        out = part if out is None else out.unionByName(part)
+    v = ids.select("id", *[normal_hash(F.col("id").cast("string"), seed=d).alias(f"v{d}") for d in range(dims)])
+    names = [f"v{d}" for d in range(dims)]
+    size = np.zeros(dims)
+    for _ in range(iterations):
+        step = b.join(ordering.small_side(v.withColumnRenamed("id", "id_b")), "id_b").groupBy("id_a")
+        y = reliable(step.agg(*[F.sum(F.col("g") * F.col(n)).alias(n) for n in names]).withColumnRenamed("id_a", "id"))
+        # dims x dims products: orthonormalise the columns with one small Cholesky factor.
+        cells = y.agg(*[F.sum(F.col(p) * F.col(q)).alias(f"{p}{q}") for p in names for q in names]).first()
+        gram = np.array([[cells[f"{p}{q}"] for q in names] for p in names])
+        upper = np.linalg.cholesky(gram + 1e-300 * np.eye(dims)).T
+        mix = np.linalg.inv(upper)
+        v = y.select("id", *[sum((F.col(names[i]) * float(mix[i, j]) for i in range(j + 1)), F.lit(0.0)).alias(names[j]) for j in range(dims)])
+        new = np.diag(upper)
+        if np.all(np.abs(new - size) <= 1e-9 * np.maximum(new, 1.0)):
+            size = new
+            break
+        size = new
+    scaled = v.select("id", *[(F.col(n) * float(np.sqrt(max(s, 0.0)))).alias(str(d)) for d, (n, s) in enumerate(zip(names, size))])
+    out = scaled.unpivot(["id"], [str(d) for d in range(dims)], "dim", "value").withColumn("dim", F.col("dim").cast("int"))
     s = out.groupBy("dim").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
     z = (F.col("value") - F.col("_m")) / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))
     return out.join(s, "dim").select("id", "dim", z.alias("value"))

@@ -35,7 +35,7 @@ def welch_sql(cols: list[str]) -> str:
     bins AS (SELECT w, unnest(range(0, w // 2 + 1)) AS bin FROM (SELECT DISTINCT w FROM st)),
     sp AS (SELECT {PART}, seg, bin, any_value(w) AS w, any_value(u) AS u, sum(v * cos(2 * pi() * bin * i / w)) AS re, sum(v * sin(2 * pi() * bin * i / w)) AS im
       FROM wx JOIN bins USING (w) GROUP BY {PART}, seg, bin),
-    psd AS (SELECT {PART}, bin, any_value(bin * 5e1 / w) AS freq,
+    psd AS (SELECT {PART}, bin, any_value(bin * (1e0 / (w * 2e-2))) AS freq,
       avg((re * re + im * im) / (50 * u) * CASE WHEN bin = 0 OR bin * 2 = w THEN 1 ELSE 2 END) AS power FROM sp GROUP BY {PART}, bin)"""
 
 
