@@ -17,16 +17,23 @@ from pyspark.sql import types as T
 SERIES_LIMIT = 1 << 18
 
 
+def arrange(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Partition by the group key and sort; persist the result to walk the same groups repeatedly."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
 def per_group(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray] | None],
     out: str,
+    arranged: bool = False,
 ) -> DataFrame:
     """Apply ``fn`` to each key group's ordered columns; ``out`` is the DDL of the columns it returns.
 
-    Key columns are repeated in front of the returned columns.
+    Key columns are repeated in front of the returned columns. ``arranged`` says the input comes
+    from ``arrange`` with the same keys and order.
     """
     key_fields = [df.schema[k] for k in keys]
     out_type = T.StructType.fromDDL(out)
@@ -81,4 +88,4 @@ def per_group(
             data[n] = np.concatenate(parts[n])
         return pd.DataFrame(data)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return (df if arranged else arrange(df, keys, order)).mapInPandas(run, schema)

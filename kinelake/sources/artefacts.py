@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SUMMARY_SCHEMA = """experiment_name STRING, config STRUCT<task: INT, paradigm: INT, model: STRING, method: STRING>,
   results STRUCT<metrics: STRUCT<ba: DOUBLE, recall: DOUBLE, precision: DOUBLE, f1: DOUBLE, auc: DOUBLE, auc_ci_low: DOUBLE, auc_ci_high: DOUBLE>,
     best_params: MAP<STRING, STRING>, feature_importance: MAP<STRING, DOUBLE>, X_shape: ARRAY<INT>>,
-  evaluation: STRUCT<balanced_accuracy: DOUBLE, roc_auc: DOUBLE>, diagnostics: MAP<STRING, STRING>, _corrupt_record STRING"""
+  evaluation STRUCT<balanced_accuracy: DOUBLE, roc_auc: DOUBLE>, diagnostics MAP<STRING, STRING>, _corrupt_record STRING"""
 # Fixed value: how checkpoint names carry task, paradigm, model and balanced accuracy.
 CHECKPOINT = r"T(\d+)_P(\d+)_([A-Za-z]+)_BA([0-9.]+)\.[A-Za-z]+$"
 
