@@ -57,8 +57,8 @@ def unwrap_rotations(df: DataFrame, channels: list[str], keys: list[str], size:
         wrapped = F.when((wrapped == -180.0) & (d > 0), 180.0).otherwise(wrapped)
         steps[f"{c}__d"] = F.when(F.abs(d) < 180.0, 0.0).otherwise(F.coalesce(wrapped - d, F.lit(0.0)))
     x = ordering.running_sum(x.withColumns(steps), keys, {f"{c}__u": f"{c}__d" for c in channels}, size=size)
-    firsts = df.filter(F.col("frame_idx") == 0).select(*keys, *[F.col(c).alias(f"{c}__0") for c in channels])
-    x = x.join(firsts, keys)
+    first = {f"{c}__0": F.max(F.when(F.col("frame_idx") == 0, F.col(c))) for c in channels}
+    x = ordering.attach(x, keys, first, ordering.largest_group(df, keys))
     fixed = {
         c: F.col(c) + F.col(f"{c}__u") - F.when(F.col(f"{c}__0") > 180.0, 360.0).otherwise(0.0) for c in channels
     }

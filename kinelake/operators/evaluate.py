@@ -183,8 +183,17 @@ def bootstrap_auc(
     partitioning; replicates combine map-side into (replicate, score) sums before any shuffle.
     """
     by = list(by)
-    x = preds.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    x = x.withColumn("_u", unit_hash(key, "replicate", seed=seed))
+    # One digest serves four replicates (eight hex digits each).
+    x = preds.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))))
+    x = x.withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("_q").cast("string"), F.lit(str(seed)))))
+    part = [
+        F.struct(
+            (F.col("_q") * 4 + i).alias("replicate"),
+            ((F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))).alias("_u"),
+        )
+        for i in range(4)
+    ]
+    x = x.select(*preds.columns, F.inline(F.array(*part))).filter(F.col("replicate") < draws)
     w = sum(((F.col("_u") > c).cast("double") for c in POISSON_CDF), F.lit(0.0))
     aucs = roc_auc(x, [*by, "replicate"], w).filter("auc IS NOT NULL")
     tail = (1.0 - ci) / 2.0

@@ -39,9 +39,11 @@ def time_domain(
     Lags and means are attached in wide form (one shuffle on the sample key for all channels); only
     then are channels stacked, so the long rows aggregate without another exchange.
     """
+    if max_rows is None:
+        max_rows = ordering.largest_group(df, keys)
     wide = ordering.neighbours(df, keys, {f"{c}__p": (c, -1) for c in channels})
-    means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"{c}__m") for c in channels])
-    long = stacked(wide.join(means, keys), keys, channels, {"prev": "__p", "mean_": "__m"})
+    wide = ordering.attach(wide, keys, {f"{c}__m": F.avg(c) for c in channels}, max_rows)
+    long = stacked(wide, keys, channels, {"prev": "__p", "mean_": "__m"})
     v, p = F.col("value"), F.col("prev")
     stats = [
         F.count(F.lit(1)).alias("n"),
@@ -59,14 +61,9 @@ def time_domain(
         F.sum(F.when(F.signum(v) != F.signum(p), 1).otherwise(0)).alias("crossings"),
         corr(p, v).alias("autocorr_lag1"),
     ]
-    out = ordering.quantiles(
-        long,
-        [*keys, "channel"],
-        "value",
-        {"percentile_25": 0.25, "median": 0.5, "percentile_75": 0.75, "percentile_95": 0.95},
-        stats,
-        max_rows=max_rows,
-    )
+    probs = {"percentile_25": 0.25, "median": 0.5, "percentile_75": 0.75, "percentile_95": 0.95}
+    ranks = ordering.wide_quantiles(df, keys, channels, probs, max_rows)
+    out = long.groupBy(*keys, "channel").agg(*stats).join(ranks, [*keys, "channel"])
     return out.select(
         *keys,
         "channel",
@@ -163,12 +160,13 @@ def jerk(df: DataFrame, signals: list[str], keys: list[str] = RECORDING, dt: flo
 
 def activity_span(df: DataFrame, signal: str, keys: list[str] = RECORDING, rate: float = SAMPLING_RATE) -> DataFrame:
     """Duration and onset/offset/active span of frames above mean + 2 std (0 when none)."""
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), (F.avg(signal) + 2.0 * F.stddev_pop(signal)).alias("_thr")
-    )
+    x = df.select(*keys, "frame_idx", signal)
+    x = ordering.attach(
+        x, keys, {"_n": F.count(F.lit(1)), "_m": F.avg(signal), "_s": F.stddev_pop(signal)}
+    ).withColumn("_thr", F.col("_m") + 2.0 * F.col("_s"))
     above = F.when(F.col(signal) > F.col("_thr"), F.col("frame_idx"))
     on, off = F.min(above), F.max(above)
-    return df.join(stats, keys).groupBy(*keys).agg(
+    return x.groupBy(*keys).agg(
         (F.first("_n") / F.lit(rate)).alias("duration"),
         F.coalesce(on / F.lit(rate), F.lit(0.0)).alias("movement_onset_time"),
         F.coalesce(off / F.lit(rate), F.lit(0.0)).alias("movement_offset_time"),

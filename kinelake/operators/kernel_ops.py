@@ -11,7 +11,7 @@ from kinelake.functions import kernels
 from kinelake.functions.expr import normal_hash
 from kinelake.operators import ordering
 from kinelake.operators.blocks import SERIES_LIMIT, per_group
-from kinelake.operators.reshape import lengths
+from kinelake.operators.reshape import lengths, with_length
 
 # ---------------------------------------------------------------- filters and splines
 
@@ -30,7 +30,7 @@ def butterworth_filter(
     b, a = kernels.butterworth(order, cutoff, rate, kind)
     halo = kernels.settle_length(a)
     size = max(size, halo)
-    x = df.select(*keys, "frame_idx", *channels).join(lengths(df, keys), keys)
+    x = with_length(df.select(*keys, "frame_idx", *channels), keys)
     x = ordering.blocked(x, "frame_idx", halo, halo, size)
 
     def one(c):
@@ -56,7 +56,7 @@ def interpolate_spline(
     the global spline to machine precision.
     """
     degree = {"quadratic": 2, "cubic": 3}[kind]
-    x = df.select(*keys, "frame_idx", *channels).join(lengths(df, keys), keys)
+    x = with_length(df.select(*keys, "frame_idx", *channels), keys)
     x = ordering.blocked(x, "frame_idx", 64, 64, size)
 
     def one(c):
@@ -238,9 +238,9 @@ def _dwt_level(x: DataFrame, k: list[str], size: int, halo: int = 8) -> DataFram
 def _wavelet_tree(series: DataFrame, keys: list[str], level: int, packets: bool, limit: int, size: int) -> DataFrame:
     """Coefficients (keys, channel, path, value) of the full tree's leaves or of the usual pyramid."""
     k = [*keys, "channel"]
-    lens = series.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
-    x = series.join(lens, k)
-    if ordering.largest_group(series, k) <= limit:
+    top = ordering.largest_group(series, k)
+    x = ordering.attach(series, k, {"n": F.count(F.lit(1))}, top)
+    if top <= limit:
 
         def one(c):
             nodes = {"": c["value"]}
@@ -289,20 +289,18 @@ def wavelet_features(
     )
     c = c.withColumn("band", name)
     a = F.abs("value")
+    c = ordering.attach(c, [*k, "band"], {"_abs": F.sum(a)}, ordering.largest_group(series, k))
+    p = a / (F.col("_abs") + 1e-10)
     tot = c.groupBy(*k, "band").agg(
         F.avg("value").alias("mean"),
         F.stddev_pop("value").alias("std"),
         F.sum(F.col("value") ** 2).alias("energy"),
         F.max(a).alias("max"),
-        F.sum(a).alias("_abs"),
+        (-F.sum(p * F.log2(p + 1e-10))).alias("entropy"),
     )
-    total = tot.groupBy(*k).agg(F.sum("energy").alias("_e"))
-    p = F.abs("value") / (F.col("_abs") + 1e-10)
-    ent = c.join(tot.select(*k, "band", "_abs"), [*k, "band"]).groupBy(*k, "band").agg(
-        (-F.sum(p * F.log2(p + 1e-10))).alias("entropy")
-    )
-    out = tot.join(total, k).join(ent, [*k, "band"])
-    return out.withColumn("energy_ratio", F.col("energy") / (F.col("_e") + 1e-10)).drop("_abs", "_e")
+    # level + 1 rows per series reach this window.
+    total = F.sum("energy").over(Window.partitionBy(*k))
+    return tot.withColumn("energy_ratio", F.col("energy") / (total + 1e-10))
 
 
 def wavelet_packets(
@@ -351,13 +349,9 @@ def entropies(series: DataFrame, keys: list[str] = RECORDING, size: int = 2048)
     bounded task unit, and counts add up per template. Work is quadratic by definition, memory is not.
     """
     k = [*keys, "channel"]
-    stats = series.groupBy(*k).agg(
-        F.count(F.lit(1)).alias("n"),
-        (0.2 * F.stddev_pop("value")).alias("r"),
-        F.stddev_pop("value").alias("_sp"),
-    )
-    x = ordering.neighbours(series, k, {"v1": ("value", 1), "v2": ("value", 2)}, "idx").filter("v1 IS NOT NULL")
-    x = x.join(stats, k).withColumn("_b", F.floor(F.col("idx") / F.lit(size)).cast("long"))
+    x = ordering.attach(series, k, {"n": F.count(F.lit(1)), "_sp": F.stddev_pop("value")})
+    x = ordering.neighbours(x, k, {"v1": ("value", 1), "v2": ("value", 2)}, "idx").filter("v1 IS NOT NULL")
+    x = x.withColumn("r", 0.2 * F.col("_sp")).withColumn("_b", F.floor(F.col("idx") / F.lit(size)).cast("long"))
     nb = F.ceil((F.col("n") - 1) / F.lit(float(size))).cast("long")
     side = F.transform(
         F.sequence(F.lit(0).cast("long"), nb - 1),
@@ -392,11 +386,10 @@ def entropies(series: DataFrame, keys: list[str] = RECORDING, size: int = 2048)
             tb, sb, ub = counts(b, a, full_a)
             out = {"idx": np.concatenate([ia, ib]), "c2": np.concatenate([ta, tb]), "s2": np.concatenate([sa, sb]), "c3": np.concatenate([ua, ub])}
             fz = np.concatenate([fz, np.zeros((len(ib), 2))])
-        return {**out, "f2": fz[:, 0], "f3": fz[:, 1]}
+        return {**out, "n": np.full(len(fz), n), "f2": fz[:, 0], "f3": fz[:, 1]}
 
-    part = per_group(x, [*k, "bi", "bj"], ["_b", "idx"], one, "idx BIGINT, c2 DOUBLE, s2 DOUBLE, c3 DOUBLE, f2 DOUBLE, f3 DOUBLE")
-    per = part.groupBy(*k, "idx").agg(*[F.sum(c).alias(c) for c in ("c2", "s2", "c3", "f2", "f3")])
-    per = per.join(stats.select(*k, "n"), k)
+    part = per_group(x, [*k, "bi", "bj"], ["_b", "idx"], one, "idx BIGINT, n BIGINT, c2 DOUBLE, s2 DOUBLE, c3 DOUBLE, f2 DOUBLE, f3 DOUBLE")
+    per = part.groupBy(*k, "idx").agg(F.first("n").alias("n"), *[F.sum(c).alias(c) for c in ("c2", "s2", "c3", "f2", "f3")])
     n = F.first("n").cast("double")
     inner = F.col("idx") < F.col("n") - 2
     phi2 = F.avg(F.ln(F.col("c2") / (F.col("n") - 1)))

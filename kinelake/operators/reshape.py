@@ -20,6 +20,11 @@ def lengths(df: DataFrame, keys: list[str] = RECORDING) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"))
 
 
+def with_length(df: DataFrame, keys: list[str] = RECORDING) -> DataFrame:
+    """Every frame with its sample's frame count."""
+    return ordering.attach(df, keys, {"n_frames": F.count(F.lit(1))})
+
+
 def scaler(df: DataFrame, channels: list[str], by: list[str] = ()) -> DataFrame:
     """Population mean/std per channel over all frames (one row per ``by``)."""
     aggs = [a for c in channels for a in (F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s"))]
@@ -43,11 +48,10 @@ def standardize(df: DataFrame, channels: list[str], by: list[str] = ()) -> DataF
 
 def truncate(df: DataFrame, keys: list[str] = RECORDING, length: int | None = None) -> DataFrame:
     """Keep the last T_min frames of every sample (T_min = shortest sample unless given)."""
-    lens = lengths(df, keys)
     keep = F.lit(length) if length is not None else F.col("t_min")
-    out = df.join(lens, keys)
+    out = with_length(df, keys)
     if length is None:
-        out = out.crossJoin(F.broadcast(lens.agg(F.min("n_frames").alias("t_min"))))
+        out = out.crossJoin(F.broadcast(lengths(df, keys).agg(F.min("n_frames").alias("t_min"))))
     start = F.greatest(F.col("n_frames") - keep, F.lit(0))
     out = out.filter(F.col("frame_idx") >= start).withColumn("frame_idx", F.col("frame_idx") - start)
     return out.drop("n_frames", "t_min")
@@ -90,7 +94,7 @@ def sliding_windows(
     stride = int(size * (1 - overlap))
     if stride < 1:
         raise ValueError("overlap leaves no stride")
-    out = df.join(lengths(df, keys).filter(F.col("n_frames") >= size), keys)
+    out = with_length(df, keys).filter(F.col("n_frames") >= size)
     idx = F.col("frame_idx")
     first = F.greatest(F.ceil((idx - (size - 1)) / F.lit(float(stride))), F.lit(0)).cast("long")
     last = F.least(
@@ -116,7 +120,7 @@ def length_summary(df: DataFrame, keys: list[str] = RECORDING, by: list[str] = (
 def interpolate_linear(df: DataFrame, channels: list[str], length: int, keys: list[str] = RECORDING) -> DataFrame:
     """Resample to ``length`` points on [0, 1]: frame i emits the outputs between i and i + 1."""
     nxt = ordering.neighbours(df, keys, {f"{c}__n": (c, 1) for c in channels})
-    out = nxt.join(lengths(df, keys), keys)
+    out = ordering.attach(nxt, keys, {"n_frames": F.count(F.lit(1))}, ordering.largest_group(df, keys))
     gap, steps, i = F.col("n_frames") - 1, length - 1, F.col("frame_idx")
     div = lambda a: F.when(gap > 0, F.expr(f"({a} + n_frames - 2) div greatest(n_frames - 1, 1)"))
     lo = F.coalesce(div(f"frame_idx * {steps}L"), F.lit(0)).cast("long")
@@ -132,7 +136,7 @@ def interpolate_linear(df: DataFrame, channels: list[str], length: int, keys: li
 def phase_shift(df: DataFrame, fraction: float, keys: list[str] = RECORDING) -> DataFrame:
     """Roll each sample forward by round-half-even(fraction * T)."""
     fraction = min(max(fraction, 0.0), 0.999)
-    out = df.join(lengths(df, keys), keys)
+    out = with_length(df, keys)
     n = F.bround(F.lit(fraction) * F.col("n_frames")).cast("long")
     return out.withColumn("frame_idx", F.pmod(F.col("frame_idx") + n, F.col("n_frames"))).drop("n_frames")
 
@@ -158,7 +162,7 @@ def fold_scalers(
         F.col("a")[subject].alias("_argmin"), "lo", "lo2"
     )
     centre = df.agg(*[F.avg(c).alias(f"{c}__c") for c in channels])
-    x = df.join(lens, keys).crossJoin(F.broadcast(minima)).crossJoin(F.broadcast(centre))
+    x = with_length(df, keys).crossJoin(F.broadcast(minima)).crossJoin(F.broadcast(centre))
     sums = []
     for tag, cut in (("1", "lo"), ("2", "lo2")):
         inside = F.col("frame_idx") >= F.col("n_frames") - F.col(cut) if trim else F.lit(True)
@@ -201,7 +205,7 @@ def scale_held_out(
     s = scalers.withColumnRenamed("fold", subject)
     if not trim:
         return apply_scaler(df, s.drop("t_min"), channels, [subject])
-    x = df.join(lengths(df, keys), keys).join(s, subject)
+    x = with_length(df, keys).join(s, subject)
     start = F.col("n_frames") - F.col("t_min")
     x = x.filter(F.col("frame_idx") >= start).withColumn("frame_idx", F.col("frame_idx") - start)
     first = x.filter((F.col("frame_idx") == -start) & (start < 0))

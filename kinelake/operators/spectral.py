@@ -25,7 +25,10 @@ def finite_series(df: DataFrame, signals: list[str], keys: list[str] = RECORDING
     long = df.unpivot([*keys, "frame_idx"], signals, "channel", "value").filter(
         F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
     )
-    return ordering.position(long, [*keys, "channel"], F.col("frame_idx"), ["frame_idx"], "idx").drop("frame_idx")
+    max_rows = ordering.largest_group(df, keys)
+    return ordering.position(
+        long, [*keys, "channel"], F.col("frame_idx"), ["frame_idx"], "idx", max_rows=max_rows
+    ).drop("frame_idx")
 
 
 def welch(series: DataFrame, keys: list[str] = RECORDING, rate: float = SAMPLING_RATE, nperseg: int = 256) -> DataFrame:
@@ -34,8 +37,8 @@ def welch(series: DataFrame, keys: list[str] = RECORDING, rate: float = SAMPLING
     Series shorter than 10 samples or with std < 1e-10 give no rows.
     """
     k = [*keys, "channel"]
-    stats = series.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("value").alias("_sd"))
-    x = series.join(stats.filter("n >= 10 AND _sd >= 1e-10").drop("_sd"), k)
+    x = ordering.attach(series, k, {"n": F.count(F.lit(1)), "_sd": F.stddev_pop("value")})
+    x = x.filter("n >= 10 AND _sd >= 1e-10").drop("_sd")
     seg = F.least(F.col("n"), F.lit(nperseg))
     step = seg - F.floor(seg / 2)
     first = F.greatest(F.ceil((F.col("idx") - seg + 1) / step), F.lit(0))
@@ -173,9 +176,9 @@ def dft(x: DataFrame, k: list[str], n: str, sign: int = -1) -> DataFrame:
 
 def _split(series: DataFrame, k: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
     """Series with their length, as (short, long); long is None when no series passes the limit."""
-    lens = series.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
-    x = series.join(lens, k)
-    if ordering.largest_group(series, k) <= limit:
+    top = ordering.largest_group(series, k)
+    x = ordering.attach(series, k, {"n": F.count(F.lit(1))}, top)
+    if top <= limit:
         return x, None
     return x.filter(F.col("n") <= limit), x.filter(F.col("n") > limit)
 
@@ -205,7 +208,7 @@ def resample(df: DataFrame, channels: list[str], ratio: float, keys: list[str] =
     x = df.select(*keys, F.col("frame_idx").alias("idx"), *channels)
     lens = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     big = ordering.largest_group(x, keys) > limit
-    whole = x.join(lens, keys)
+    whole = ordering.attach(x, keys, {"n": F.count(F.lit(1))})
 
     def one(c):
         n = len(c["idx"])
@@ -243,8 +246,8 @@ def max_cross_correlation(
     df: DataFrame, left: str, right: str, keys: list[str] = RECORDING, limit: int = SERIES_LIMIT
 ) -> DataFrame:
     """Largest central-lag value of the mean-removed cross-correlation (same-length window of lags)."""
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(left).alias("_ml"), F.avg(right).alias("_mr"))
-    x = df.join(stats, keys).select(
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    x = ordering.attach(df, keys, {"n": F.count(F.lit(1)), "_ml": F.avg(left), "_mr": F.avg(right)}).select(
         *keys, "n", F.col("frame_idx").alias("idx"), (F.col(left) - F.col("_ml")).alias("a"), (F.col(right) - F.col("_mr")).alias("v")
     )
     big = ordering.largest_group(df, keys) > limit

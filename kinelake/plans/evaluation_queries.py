@@ -154,7 +154,8 @@ _POIS = " + ".join(f"CAST(u > {c!r} AS INT)" for c in ev.POISSON_CDF)
 
 @query(
     "bootstrap_auc",
-    f"""WITH {LP}, b AS (SELECT label, r, y_true, y_proba, {unit_sql("sample_id", "r", "42")} AS u FROM preds, range(0, 1000) t(r)),
+    f"""WITH {LP}, b AS (SELECT label, r, y_true, y_proba, (('0x' || substr(md5(concat_ws('|', sample_id, r // 4, 42)), CAST(8 * (r % 4) + 1 AS INT), 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE AS u
+      FROM preds, range(0, 1000) t(r)),
     s AS (SELECT label, r, y_proba, CAST(sum(CASE WHEN y_true = 1 THEN {_POIS} ELSE 0 END) AS DOUBLE) AS pos,
       CAST(sum(CASE WHEN y_true = 0 THEN {_POIS} ELSE 0 END) AS DOUBLE) AS neg FROM b GROUP BY ALL),
     c AS (SELECT *, sum(neg) OVER (PARTITION BY label, r ORDER BY y_proba) - neg / 2 AS below FROM s),
