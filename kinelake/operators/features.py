@@ -97,6 +97,20 @@ def group_zscores(long: DataFrame, by: list[str]) -> DataFrame:
     return x.join(stats, [*by, "feature"]).withColumn("z", F.when(F.col("value").isNotNull(), z)).drop("_m", "_s")
 
 
+def wide_zscores(df: DataFrame, by: list[str], features: list[str], max_rows: int | None = None) -> DataFrame:
+    """The same z-scores on a wide feature table: one pass while a group fits a window."""
+    clean = {f: F.when(~F.isnan(f), F.col(f)) for f in features}
+    x = df.withColumns(clean)
+    aggs = {f"{f}__m": F.avg(f) for f in features} | {f"{f}__s": F.stddev_pop(f) for f in features}
+    x = ordering.attach(x, by, aggs, max_rows)
+    z = {
+        f: F.when(F.col(f).isNotNull(), F.when(F.col(f"{f}__s") <= 1e-12, 0.0).otherwise(
+            F.try_divide(F.col(f) - F.col(f"{f}__m"), F.col(f"{f}__s"))))
+        for f in features
+    }
+    return x.withColumns(z).drop(*aggs)
+
+
 def speed(axes: list[str], rate: float, prefix: str = "__p") -> Column:
     """Norm of the frame-to-frame position step times the rate."""
     return norm(*[F.col(a) - F.col(f"{a}{prefix}") for a in axes]) * F.lit(rate)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinelake.config import CHANNELS
 from kinelake.functions.expr import rnd
 from kinelake.operators import features, reshape
-from kinelake.plans.fixtures import frames, frames_sql, long_frames_sql
+from kinelake.plans.fixtures import frames, frames_sql, largest, long_frames_sql
 from kinelake.plans.registry import query
 
 HEAD = CHANNELS[:3]
@@ -74,7 +74,10 @@ def windowed_feature_zscores(spark, sf):
     x = frames(spark, sf, HEAD).drop("t_s")
     cut = reshape.sliding_windows(reshape.standardize(x, HEAD), 30, 0.5)
     feats = features.time_domain(cut, HEAD, keys, max_rows=30)
-    named = features.to_long(feats, [*keys, "channel"], features.TIME_DOMAIN).filter("value IS NOT NULL")
-    named = named.withColumn("feature", F.concat_ws("_", "channel", "feature"))
-    z = features.group_zscores(named, ["grp", "task"])
-    return z.select("subject_id", "task", "window_no", "feature", rnd("z", 5).alias("z"))
+    # Every 15 frames start at most one window per channel: a bound on a group's feature rows.
+    bound = largest(x, sf, "grp_task", ["grp", "task"]) // 15 + 1
+    z = features.wide_zscores(feats, ["grp", "task", "channel"], features.TIME_DOMAIN, bound)
+    long = features.to_long(z, ["subject_id", "task", "window_no", "channel"], features.TIME_DOMAIN)
+    return long.filter("value IS NOT NULL").select(
+        "subject_id", "task", "window_no", F.concat_ws("_", "channel", "feature").alias("feature"), rnd("value", 5).alias("z")
+    )
