@@ -23,7 +23,7 @@ from kinelake.plans.fixtures import (
     survey,
     table,
 )
-from kinelake.plans.model_queries import CH, MODEL0, MODEL1
+from kinelake.plans.model_queries import CH, MODEL0, MODEL1, SCORE_SQL
 from kinelake.plans.registry import query
 from kinelake.sources import artefacts, logs, store
 from kinelake.streaming import live
@@ -291,7 +291,7 @@ def streaming_active_bouts(spark, sf):
     return out.select("event_type", "n", F.unix_micros("onset").alias("onset"), F.unix_micros("offset").alias("offset_us"), "peak")
 
 
-@query("streaming_new_subject_scores")
+@query("streaming_new_subject_scores", SCORE_SQL)
 def streaming_new_subject_scores(spark, sf):
     """Recordings arrive as files and are scored with stored models and a stored scaler."""
     path = store.scratch_path(spark, "arrivals")

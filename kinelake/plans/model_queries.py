@@ -28,6 +28,46 @@ def scaled(spark, sf):
     return reshape.standardize(x, CH)
 
 
+def _density_sql(k: int) -> str:
+    """Gaussian density of one state on the scaled channels x0, x1."""
+    m, v = MODEL1["means"][k], MODEL1["covars"][k]
+    quad = " + ".join(f"pow(x{i} - ({float(m[i])!r}), 2) / {float(v[i])!r}" for i in range(2))
+    return f"exp(-0.5::DOUBLE * ({quad})) / (2 * pi() * sqrt({float(v[0])!r}::DOUBLE * {float(v[1])!r}::DOUBLE))"
+
+
+def _step_sql(a: str, b: str, trans) -> tuple[str, str]:
+    return tuple(f"({a} * {float(trans[0, j])!r}::DOUBLE + {b} * {float(trans[1, j])!r}::DOUBLE) * e{j}" for j in range(2))
+
+
+_u, _v = _step_sql("a0", "a1", MODEL1["trans"]), _step_sql("c0", "c1", MODEL0["trans"])
+# Emissions and the scaled forward recursion of both models, frame by frame.
+FORWARD_SQL = f"""frames AS ({frames_sql(CH)}), sc AS (SELECT subject_id, task, frame_idx, {", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS x{i}" for i, c in enumerate(CH))} FROM frames),
+  e AS MATERIALIZED (SELECT subject_id, task, frame_idx, {_density_sql(0)} AS e0, {_density_sql(1)} AS e1, count(*) OVER (PARTITION BY subject_id, task) AS n FROM sc),
+  f AS (SELECT subject_id, task, n, frame_idx AS i, e0 / (e0 + e1) AS a0, e1 / (e0 + e1) AS a1, ln((e0 + e1) / 2) AS ll1, e0 / (e0 + e1) AS c0, e1 / (e0 + e1) AS c1, ln((e0 + e1) / 2) AS ll0
+      FROM e WHERE frame_idx = 0
+    UNION ALL SELECT subject_id, task, n, i, u0 / (u0 + u1), u1 / (u0 + u1), ll1 + ln(u0 + u1), v0 / (v0 + v1), v1 / (v0 + v1), ll0 + ln(v0 + v1) FROM (
+      SELECT f.subject_id, f.task, f.n, e.frame_idx AS i, ll1, ll0, {_u[0]} AS u0, {_u[1]} AS u1, {_v[0]} AS v0, {_v[1]} AS v1
+      FROM f JOIN e ON e.subject_id = f.subject_id AND e.task = f.task AND e.frame_idx = f.i + 1))"""
+SCORE_SQL = f"""WITH RECURSIVE {FORWARD_SQL} SELECT subject_id, task, n AS n_frames, round(ll1, 6) AS ll_1, round(ll0, 6) AS ll_0,
+  round(1 / (1 + exp(-(ll1 - ll0) / n)), 6) AS y_proba, CAST(ll1 - ll0 >= 0 AS INT) AS y_pred FROM f WHERE i = n - 1"""
+_t = [[float(x) for x in row] for row in MODEL1["trans"]]
+# Backward messages and the best path (kept as a list per end state) under the first model.
+DECODE_SQL = f"""WITH RECURSIVE {FORWARD_SQL},
+  b AS (SELECT subject_id, task, frame_idx AS i, 0.5::DOUBLE AS b0, 0.5::DOUBLE AS b1 FROM e WHERE frame_idx = n - 1
+    UNION ALL SELECT subject_id, task, i, w0 / (w0 + w1), w1 / (w0 + w1) FROM (SELECT b.subject_id, b.task, b.i - 1 AS i,
+      {_t[0][0]}::DOUBLE * e0 * b0 + {_t[0][1]}::DOUBLE * e1 * b1 AS w0, {_t[1][0]}::DOUBLE * e0 * b0 + {_t[1][1]}::DOUBLE * e1 * b1 AS w1
+      FROM b JOIN e ON e.subject_id = b.subject_id AND e.task = b.task AND e.frame_idx = b.i WHERE b.i > 0)),
+  v AS (SELECT subject_id, task, n, frame_idx AS i, ln(0.5::DOUBLE) + ln(e0) AS d0, ln(0.5::DOUBLE) + ln(e1) AS d1, [0] AS p0, [1] AS p1 FROM e WHERE frame_idx = 0
+    UNION ALL SELECT v.subject_id, v.task, v.n, e.frame_idx,
+      greatest(d0 + ln({_t[0][0]}::DOUBLE), d1 + ln({_t[1][0]}::DOUBLE)) + ln(e0), greatest(d0 + ln({_t[0][1]}::DOUBLE), d1 + ln({_t[1][1]}::DOUBLE)) + ln(e1),
+      list_append(CASE WHEN d0 + ln({_t[0][0]}::DOUBLE) >= d1 + ln({_t[1][0]}::DOUBLE) THEN p0 ELSE p1 END, 0),
+      list_append(CASE WHEN d0 + ln({_t[0][1]}::DOUBLE) >= d1 + ln({_t[1][1]}::DOUBLE) THEN p0 ELSE p1 END, 1)
+      FROM v JOIN e ON e.subject_id = v.subject_id AND e.task = v.task AND e.frame_idx = v.i + 1),
+  path AS (SELECT subject_id, task, unnest(CASE WHEN d0 >= d1 THEN p0 ELSE p1 END) AS state, unnest(range(0, n)) AS i FROM v WHERE i = n - 1)
+  SELECT p.subject_id, p.task, p.i AS frame_idx, p.state, round(CASE p.state WHEN 0 THEN a0 * b0 ELSE a1 * b1 END / (a0 * b0 + a1 * b1), 6) + 0 AS posterior
+  FROM path p JOIN f ON f.subject_id = p.subject_id AND f.task = p.task AND f.i = p.i JOIN b ON b.subject_id = p.subject_id AND b.task = p.task AND b.i = p.i"""
+
+
 @query("hmm_fit")
 def hmm_fit(spark, sf):
     """EM over all recordings of each class; one row per class, state and channel."""
@@ -40,12 +80,12 @@ def hmm_fit(spark, sf):
     return spark.createDataFrame(rows, "y INT, state INT, channel STRING, mean DOUBLE, variance DOUBLE, trans ARRAY<DOUBLE>")
 
 
-@query("hmm_class_score")
+@query("hmm_class_score", SCORE_SQL)
 def hmm_class_score(spark, sf):
     return rounded(hmm.classify(scaled(spark, sf), CH, MODEL1, MODEL0), *RECORDING, "n_frames", "y_pred")
 
 
-@query("hmm_decode")
+@query("hmm_decode", DECODE_SQL)
 def hmm_decode(spark, sf):
     return rounded(hmm.decode(scaled(spark, sf), CH, MODEL1), *RECORDING, "frame_idx", "state")
 
@@ -76,7 +116,13 @@ def hmm_loso_metrics(spark, sf):
     return rounded(evaluate.binary_metrics(p, ["task"], None), "task")
 
 
-@query("hsmm_duration_rates")
+@query(
+    "hsmm_duration_rates",
+    DECODE_SQL.replace("SELECT p.subject_id, p.task, p.i AS frame_idx", ", dec AS (SELECT p.subject_id, p.task, p.i AS frame_idx")
+    + """), fl AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY subject_id, task ORDER BY frame_idx) IS DISTINCT FROM state THEN 1 ELSE 0 END AS new FROM dec),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY subject_id, task ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS k FROM fl),
+    d AS (SELECT subject_id, task, k, any_value(state) AS state, count(*) AS c FROM r GROUP BY ALL) SELECT state, round(avg(c), 6) AS rate FROM d GROUP BY 1""",
+)
 def hsmm_duration_rates(spark, sf):
     d = hmm.decode(scaled(spark, sf), CH, MODEL1)
     return rounded(states.duration_rates(d, 2, RECORDING), "state")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinelake.config import CHANNELS, RECORDING
-from kinelake.functions.expr import rnd
+from kinelake.functions.expr import rnd, unit_sql
 from kinelake.operators import reshape
 from kinelake.plans.fixtures import frames, frames_sql
 from kinelake.plans.registry import query
@@ -136,12 +136,26 @@ def fold_scale_variable_length(spark, sf):
     return out(reshape.scale_held_out(x, reshape.fold_scalers(x, CH, trim=False), CH, trim=False))
 
 
-@query("jitter")
+def _noise_sql(c: str) -> str:
+    parts = ("subject_id", "CAST(task AS STRING)", "CAST(frame_idx AS STRING)", f"'{c}'", "'42'")
+    return f"1e-2 * (sqrt(-2 * ln({unit_sql(*parts)})) * cos(2 * pi() * {unit_sql(*parts, start=14)}))"
+
+
+@query(
+    "jitter",
+    f"WITH {BASE} SELECT subject_id, task, frame_idx, {', '.join(f'round({c} + {_noise_sql(c)}, 6) + 0 AS {c}' for c in CH)} FROM frames",
+)
 def jitter(spark, sf):
     return out(reshape.jitter(frames(spark, sf, CH), CH))
 
 
-@query("random_slice")
+@query(
+    "random_slice",
+    f"""WITH {BASE}, sp AS (SELECT *, CASE WHEN n > 40 THEN 40 + CAST(floor({unit_sql("subject_id", "CAST(task AS STRING)", "'42'")} * (n - 40 + 1)) AS BIGINT) ELSE n END AS span FROM lens),
+    st AS (SELECT *, CAST(floor({unit_sql("subject_id", "CAST(task AS STRING)", "'43'")} * (n - span + 1)) AS BIGINT) AS start FROM sp)
+    SELECT f.subject_id, f.task, f.frame_idx - st.start AS frame_idx, {", ".join(f"round({c}, 6) + 0 AS {c}" for c in CH)}
+    FROM frames f JOIN st ON st.subject_id = f.subject_id AND st.task = f.task AND f.frame_idx >= st.start AND f.frame_idx < st.start + span""",
+)
 def random_slice(spark, sf):
     return out(reshape.random_slice(frames(spark, sf, CH), 40))
 
