@@ -45,16 +45,17 @@ def time_domain(
     wide = ordering.attach(wide, keys, {f"{c}__m": F.avg(c) for c in channels}, max_rows)
     long = stacked(wide, keys, channels, {"prev": "__p", "mean_": "__m"})
     v, p = F.col("value"), F.col("prev")
+    d = v - F.col("mean_")
+    # The mean is on every row, so central moments are plain averages of powers.
     stats = [
         F.count(F.lit(1)).alias("n"),
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("std"),
-        F.var_pop(v).alias("variance"),
-        F.avg(F.abs(v - F.col("mean_"))).alias("mad"),
+        F.first("mean_").alias("mean"),
+        F.avg(d * d).alias("_m2"),
+        F.avg(d * d * d).alias("_m3"),
+        F.avg(d * d * d * d).alias("_m4"),
+        F.avg(F.abs(d)).alias("mad"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
-        F.kurtosis(v).alias("kurtosis"),
-        F.skewness(v).alias("skewness"),
         F.sqrt(F.avg(v * v)).alias("rms"),
         F.sum(v * v).alias("energy"),
         F.sum(F.abs(v)).alias("sma"),
@@ -64,12 +65,16 @@ def time_domain(
     probs = {"percentile_25": 0.25, "median": 0.5, "percentile_75": 0.75, "percentile_95": 0.95}
     ranks = ordering.wide_quantiles(df, keys, channels, probs, max_rows)
     out = long.groupBy(*keys, "channel").agg(*stats).join(ranks, [*keys, "channel"])
+    var = F.when(F.col("max") == F.col("min"), 0.0).otherwise(F.col("_m2"))
+    out = out.withColumn("variance", var).withColumn("std", F.sqrt("variance"))
     return out.select(
         *keys,
         "channel",
         *[
             {
                 "range": F.col("max") - F.col("min"),
+                "kurtosis": F.try_divide(F.col("_m4"), F.col("variance") ** 2) - 3.0,
+                "skewness": F.try_divide(F.col("_m3"), F.col("variance") * F.col("std")),
                 "iqr": F.col("percentile_75") - F.col("percentile_25"),
                 "zero_crossing_rate": F.col("crossings") / F.col("n"),
             }.get(f, F.col(f)).alias(f)
@@ -433,7 +438,7 @@ def module_tag(name: Column | str) -> Column:
     )
 
 
-def group_summary(long: DataFrame, by: list[str] = ("feature", "grp"), rows_per_bucket: int = ordering.ROWS_PER_BUCKET):
+def group_summary(long: DataFrame, by: list[str] = ("feature", "grp"), rows_per_bucket: int = ordering.VALUE_MAP):
     """mean, sample std, min, median, max, n per feature and group."""
     v = F.col("value")
     return ordering.quantiles(

@@ -22,6 +22,7 @@ ROWS_PER_BUCKET = 1 << 21
 BLOCK = 1 << 16
 BROADCAST_ROWS = 1_000_000
 GLOBAL_BUCKET = 1 << 17
+VALUE_MAP = 1 << 19  # distinct values the built-in percentile may hold for one group
 
 
 _MEASURED: dict[tuple, int] = {}
@@ -190,7 +191,7 @@ def quantiles(
     value: str,
     probs: dict[str, float],
     extra: list[Column] = (),
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int = VALUE_MAP,
     max_rows: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation percentiles per key, plus ``extra`` aggregates of the same rows.

@@ -581,7 +581,7 @@ def percentile_outliers(spark, sf):
 @query(
     "task_duration_caps",
     f"""WITH {TRIALS_SQL}, caps(task_number, cap) AS (VALUES (1, 3.0), (2, 4.5), (3, NULL), (4, 1.0), (5, 6.0), (6, NULL))
-    SELECT t.task_number, cap AS max_allowed, count(*) AS n_trials, CAST(sum(CASE WHEN duration_seconds > cap THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers,
+    SELECT t.task_number, CAST(cap AS DOUBLE) AS max_allowed, count(*) AS n_trials, CAST(sum(CASE WHEN duration_seconds > cap THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers,
       max(duration_seconds) AS actual_max FROM trials t JOIN caps ON caps.task_number = t.task_number GROUP BY ALL""",
 )
 def task_duration_caps(spark, sf):
