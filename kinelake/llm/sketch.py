@@ -21,11 +21,19 @@ MOST_RANGES = 8192
 LOWEST = -(2.0**63)
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time: a lambda's variable, not an expression to repeat."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def shingles(words: Column, size: int = WORDS) -> Column:
     """Hashes of all runs of ``size`` words; fewer words are one shingle, no word none."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1)), lambda i: F.xxhash64(F.slice(words, i, size)))
-    return F.when(n > 0, runs).otherwise(F.array().cast("array<bigint>"))
+
+    def runs(w):
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - size + 1))
+        return F.when(F.size(w) > 0, F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(F.array().cast("array<bigint>"))
+
+    return once(words, runs)
 
 
 def words_of(text: Column) -> Column:
@@ -49,9 +57,12 @@ def merged(a: Column, b: Column, k: int = K) -> Column:
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated Jaccard likeness: the share of the union's sketch that both hold. Two empty ones are alike."""
-    union = merged(a, b, k)
-    shared = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(shared / F.size(union))
+
+    def share(union):
+        shared = F.size(F.array_intersect(F.array_intersect(union, a), b))
+        return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(shared / F.size(union))
+
+    return once(merged(a, b, k), share)
 
 
 def distinct_shingles(a: Column, k: int = K) -> Column:
