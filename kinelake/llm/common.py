@@ -48,6 +48,20 @@ def whole_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def id_range(rows: DataFrame, per_range: int, most: int) -> Column:
+    """The number of the doc_id range a row lies in: ranges of about ``per_range`` rows, at most ``most``, ascending.
+
+    Cuts are approximate quantiles of the id column, which is all that the two small jobs read; equal ids share a
+    range. The driver gets the cuts alone, at most ``most`` numbers.
+    """
+    ranges = min(most, max(1, rows.count() // per_range))
+    if ranges == 1:
+        return F.lit(0)
+    found = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 4 * most)).first()[0]
+    numbers = sorted(set(found or []))
+    return F.size(F.filter(F.lit(numbers), lambda c: c < F.col("doc_id"))) if numbers else F.lit(0)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """The fold that no label is learned from: crc32(doc_id as text) mod 5 = 0. A null id is held out too."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

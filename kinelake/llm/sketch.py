@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import query, table, whole_text
+from kinelake.llm.common import id_range, query, table, whole_text
 
 K = 128
 WORDS = 5
@@ -90,22 +90,16 @@ def merge_sketches(parts: DataFrame, key: str, column: str = "sketch", k: int =
     return cut.groupBy(key).agg(least.alias(column))
 
 
-def followed_by(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, bucket, last_one) plus a stand-in row for the first document of the next bucket.
+def followed_by(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, bucket) of all rows, and (first_id, bucket): which document follows each bucket's last one.
 
     Buckets are ranges of doc_id of about equal size, cut at approximate quantiles. The document after a bucket's last
-    one is the first of the next non-empty bucket; that row is added to the bucket it follows, marked ``stand_in``, so
-    a window inside the bucket sees every document's successor and no window spans the table. The very first document
-    follows the last one.
+    one is the first of the next non-empty bucket; a stand-in of that row is added to the bucket it follows, so a window
+    inside the bucket sees every document's successor and no window spans the table. The first document follows the
+    last one.
     """
     rows = whole_text(docs).filter("doc_id IS NOT NULL")
-    n = rows.count()
-    ranges = min(MOST_RANGES, max(1, n // RANGE_ROWS))
-    # The id comes in by one column, without texts; the cuts are one row of at most MOST_RANGES numbers.
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [1.0], 4 * MOST_RANGES).alias("cuts"))
-    numbers = sorted(set(cuts.first()["cuts"] or [])) if ranges > 1 else []
-    bucket = F.size(F.filter(F.lit(numbers), lambda c: c < F.col("doc_id"))) if numbers else F.lit(0)
-    dealt = rows.withColumn("bucket", bucket)
+    dealt = rows.withColumn("bucket", id_range(rows, RANGE_ROWS, MOST_RANGES))
     first = dealt.groupBy("bucket").agg(F.min("doc_id").alias("first_id"))
     around = Window.orderBy("bucket")
     before = F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(Window.partitionBy()))

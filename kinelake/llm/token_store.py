@@ -1,13 +1,13 @@
 """Token ids in binary pages with Elias-Fano document boundaries.
 
-Documents are dealt by ranges of doc_id, so the partitions are in ascending order and each is sorted. A partition
-writes its documents into pages: a page is the concatenated ids of whole documents (two bytes an id while the
+Documents are dealt by ranges of doc_id, the shards, which are in ascending order and sorted inside. A shard is
+written as pages: a page is the concatenated ids of whole documents (two bytes an id while the
 vocabulary allows it, else four) and two Elias-Fano sequences, the documents' end offsets and their doc_ids. An
 Elias-Fano sequence keeps the low bits of each value in a packed array and the high bits as unary gaps; select of the
 i-th one-bit gives the i-th value, in about 2 + log2(range / n) bits a value, with no table of 64-bit offsets. Pages
 are rows of a Parquet folder, written and committed by Spark, so any store that Spark writes to will do.
 
-The ids before a page are sums of page sizes: first by partition, then by page inside the partition.
+The ids before a page are sums of page sizes: first by shard, then by page inside the shard.
 """
 
 from __future__ import annotations
@@ -23,14 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.taskcontext import TaskContext
 
-from kinelake.llm.common import query, small_batches, table, texts_of, whole_text
+from kinelake.llm.common import id_range, query, small_batches, table, texts_of, whole_text
 from kinelake.sources.store import scratch_path
 
 #: Ids after which a page is closed; a longer document has a page of its own.
 PAGE = 1 << 20
 END = 1
+#: Documents in one shard, and the most shards.
+SHARD_ROWS, MOST_SHARDS = 1024, 8192
 REMEMBERED = 500_000
 #: New words given to the library in one string.
 LINE = 64
@@ -212,7 +213,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end: i
     width = words(tokenizer).dtype.itemsize
 
     def run(batches):
-        shard, number, ids, docs_ = TaskContext.get().partitionId(), 0, [], []
+        shard, number, ids, docs_ = None, 0, [], []
 
         def close():
             ends = np.cumsum([len(x) // width for x in ids])
@@ -221,12 +222,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end: i
 
         size = 0
         for b in batches:
-            for doc_id, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for range_no, doc_id, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if doc_id is None:
                     raise ValueError("a document without doc_id cannot be stored")
-                if ids and size + len(x) // width > page:
+                if ids and (range_no != shard or size + len(x) // width > page):
                     yield close()
-                    number, ids, docs_, size = number + 1, [], [], 0
+                    ids, docs_, size = [], [], 0
+                    number += 1
+                if range_no != shard:
+                    shard, number = range_no, 0
                 ids.append(x)
                 docs_.append(doc_id)
                 size += len(x) // width
@@ -234,14 +238,16 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end: i
             yield close()
 
     small_batches(docs.sparkSession)
-    encode(docs, tokenizer, end).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, PAGES).write.mode("overwrite").parquet(path)
+    shard_no = id_range(docs.select(F.col("doc_id").cast("long").alias("doc_id")), SHARD_ROWS, MOST_SHARDS)
+    coded = encode(docs, tokenizer, end).select(shard_no.alias("shard"), "doc_id", "ids")
+    coded.repartition("shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(run, PAGES).write.mode("overwrite").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of a store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids."""
     pages = spark.read.schema(PAGES).parquet(path)
     sizes = pages.select("shard", "page", "n_ids")
-    # One row per partition of the writer, then one row per page inside it.
+    # One row per shard (at most MOST_SHARDS), then one row per page inside it.
     shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     inside = sizes.select("shard", "page", (F.sum("n_ids").over(Window.partitionBy("shard").orderBy("page")) - F.col("n_ids")).alias("inside"))
