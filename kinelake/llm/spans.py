@@ -6,7 +6,8 @@ lies in a run inside the passage. Runs are joined globally by hash; the first oc
 and the sentences under any other occurrence are removed.
 
 Only hashes and positions travel for the search. Hashes are counted with partial aggregation, so a passage found in a
-third of all documents sends one row per task; the join back is a plain equality join whose left side AQE may split.
+third of all documents sends one row per task. On the way back the few runs that are very common are joined by a
+broadcast of proven size and never meet in one task; all others are joined by hash.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm.common import query, table, texts_of, whole_text
+from kinelake.sources.store import reliable
 
 SENTENCES = 2
 WORDS = 20
+#: A run with more than one in HOT of all repeated runs is joined by broadcast, the others by hash.
+HOT = 1000
 #: A sentence of more words is cut after words whose hash is a multiple of PART, so the cuts move with the text.
 LONGEST = 40
 PART = 8
@@ -104,8 +108,17 @@ def covered(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> Data
     """(doc_id, row_no, spans): the runs of each row that are a repeat of an earlier run, as [first, last] pairs."""
     found = spans(docs, least, words)
     place = F.struct("doc_id", "row_no", "i", "j")
-    repeated = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "first")
-    again = found.join(repeated, "h").filter(~place.eqNullSafe(F.col("first")))
+    repeated = reliable(found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"))
+    # Fewer than HOT runs can each hold more than one in HOT of all repeats: a bounded broadcast, whatever the data.
+    limit = (repeated.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = repeated.filter(F.col("n") > limit).select(F.col("h").alias("hot_h"), F.col("first").alias("hot_first"))
+    cold = repeated.filter(F.col("n") <= limit).select(F.col("h").alias("cold_h"), F.col("first").alias("cold_first"))
+    marked = found.join(F.broadcast(hot), found["h"] == F.col("hot_h"), "left")
+    # Runs of a hot hash have their first place already; a key of their own spreads them over all tasks.
+    key = F.when(F.col("hot_h").isNull(), F.col("h")).otherwise(F.xxhash64("doc_id", "row_no", "i", "j"))
+    joined = marked.withColumn("key", key).join(cold, F.col("key") == F.col("cold_h"), "left")
+    first = F.when(F.col("hot_h").isNotNull(), F.col("hot_first")).otherwise(F.col("cold_first"))
+    again = joined.withColumn("first", first).filter(F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "row_no").agg(F.collect_set(F.struct("i", "j")).alias("spans"))
 
 
