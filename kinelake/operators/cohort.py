@@ -173,8 +173,8 @@ def select_group(subjects: DataFrame, meta: DataFrame, spec: dict) -> DataFrame:
         if spec != "all":
             raise ValueError(f"unknown cohort filter {spec!r}")
         return subjects.filter(F.col("grp") == "patient")
-    rows = subjects.filter(F.col("grp") == spec["source"])
-    kind = spec["filter"]
+    rows = subjects.filter(F.col("grp") == spec.get("source", "patient"))
+    kind = spec.get("filter", "all")
     if kind == "all":
         return rows
     if kind == "subject_prefix":

@@ -474,7 +474,7 @@ def cohens_d(long: DataFrame, case: str, control: str, by: list[str] = ("feature
 
 def score_sheet(rows: DataFrame, task_scores: dict[int, str]) -> DataFrame:
     """Distinct subjects with one score column per task."""
-    return rows.dropDuplicates(["subject_id", "task"]).groupBy("subject_id").agg(
+    return rows.groupBy("subject_id").agg(
         *[F.max(F.when(F.col("task") == t, F.col("task_score"))).alias(n) for t, n in task_scores.items()]
     )
 

@@ -14,6 +14,8 @@ When no key exceeds ``rows_per_bucket`` (measured, one column-pruned count) the
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,21 +27,10 @@ GLOBAL_BUCKET = 1 << 17
 VALUE_MAP = 1 << 19  # distinct values the built-in percentile may hold for one group
 
 
-_MEASURED: dict[tuple, int] = {}
-
-
 def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows under the heaviest key (partial counts combine map-side; one row reaches the driver).
-
-    Remembered per logical plan: it only chooses between plans that give the same result.
-    """
+    """Rows under the heaviest key, counted anew on each call (partial counts combine map-side; one row reaches the driver)."""
     counts = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    tag = (df.sparkSession.sparkContext.applicationId, counts.semanticHash())
-    if tag not in _MEASURED:
-        if len(_MEASURED) > 4096:
-            _MEASURED.clear()
-        _MEASURED[tag] = int(counts.agg(F.max("n").alias("m")).first()["m"] or 0)
-    return _MEASURED[tag]
+    return int(counts.agg(F.max("n").alias("m")).first()["m"] or 0)
 
 
 def attach(
@@ -54,7 +45,7 @@ def attach(
     if max_rows <= limit:
         w = Window.partitionBy(*keys)
         return df.withColumns({n: e.over(w) for n, e in aggs.items()})
-    return df.join(df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()]), keys)
+    return _join_on(df, df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()]), keys)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -63,8 +54,12 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    # Without keys the statistics side is exactly one row.
-    return left.join(right, keys, how) if keys else left.crossJoin(F.broadcast(right))
+    """Join on equal keys, NULL keys included, so that the result is that of a window over the keys."""
+    if not keys:  # the statistics side is exactly one row
+        return left.crossJoin(F.broadcast(right))
+    right = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys]
+    return left.join(right, reduce(and_, same), how).drop(*[f"_k_{k}" for k in keys])
 
 
 def cumulate(
@@ -106,7 +101,7 @@ def cumulate(
     offsets = sums.select(*keys, "_b", *[agg(f"_s_{n}").over(before).alias(f"_o_{n}") for n in weights])
     w = running(Window.partitionBy(*keys, "_b").orderBy(*order))
     local = tagged.withColumns({n: agg(e).over(w) for n, e in weights.items()})
-    out = local.join(offsets, [*keys, "_b"])
+    out = _join_on(local, offsets, [*keys, "_b"])
     if kind == "sum":
         merged = {n: F.col(n) + F.coalesce(f"_o_{n}", F.lit(0)) for n in weights}
     else:  # least() skips the NULL offset of the first bucket

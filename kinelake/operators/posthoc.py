@@ -105,8 +105,10 @@ def hand_crosstab(rows: DataFrame, tasks: list[int], paradigms: list[int]) -> Da
     grid = grid.withColumn("task", F.explode(F.array(*map(F.lit, tasks))))
     grid = grid.withColumn("cell", F.explode(F.array(*map(F.lit, CELLS))))
     ok = (F.col("y_true") == F.col("y_pred")).cast("int")
+    # A decimal sum does not depend on the order of the rows.
+    mean = F.sum(F.col("y_proba").cast("decimal(28,12)")).cast("double") / F.count("y_proba")
     got = rows.groupBy("paradigm", "task", "cell").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("y_proba").alias("mean_proba"), F.avg(ok).alias("pct_correct"), F.sum(ok).alias("n_correct")
+        F.count(F.lit(1)).alias("n"), mean.alias("mean_proba"), F.avg(ok).alias("pct_correct"), F.sum(ok).alias("n_correct")
     )
     return grid.join(got, ["paradigm", "task", "cell"], "left").fillna(0, ["n", "n_correct"])
 

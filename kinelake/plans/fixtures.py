@@ -43,18 +43,14 @@ FORMULAS = dict(
 )
 FRAME_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
 
-_LARGEST: dict[tuple, int] = {}
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def largest(df: DataFrame, sf: str, tag: str, keys: list[str]) -> int:
-    """Largest group of a fixture, counted once per data directory."""
-    if (sf, tag) not in _LARGEST:
-        _LARGEST[(sf, tag)] = ordering.largest_group(df, keys)
-    return _LARGEST[(sf, tag)]
+    """Largest group of a fixture."""
+    return ordering.largest_group(df, keys)
 
 
 def frames(spark: SparkSession, sf: str, channels: list[str] = CHANNELS) -> DataFrame:

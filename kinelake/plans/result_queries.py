@@ -312,12 +312,12 @@ CELL_SQL = """CASE WHEN m.laterality = 'Bilateral' THEN 'Bilateral' WHEN m.hand
     f"""WITH {SP}, {LATERALITY_SQL}, x AS (SELECT sp.*, {CELL_SQL} AS cell FROM sp JOIN pmeta m ON m.subject_id = sp.subject_id WHERE y_true = 1),
     g AS (SELECT * FROM (VALUES (1), (2), (3), (4)) p(paradigm) CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6)) t(task)
       CROSS JOIN (VALUES ('Right_DomInjured'), ('Right_DomUnaffected'), ('Left_DomInjured'), ('Left_DomUnaffected'), ('Bilateral')) c(cell))
-    SELECT g.paradigm, g.task, g.cell, count(x.subject_id) AS n, round(avg(y_proba), 6) AS mean_proba, round(avg(CAST(y_true = y_pred AS INT)), 6) AS pct_correct,
+    SELECT g.paradigm, g.task, g.cell, count(x.subject_id) AS n, CAST(sum(CAST(y_proba AS DECIMAL(28,12))) AS DOUBLE) / count(y_proba) AS mean_proba, round(avg(CAST(y_true = y_pred AS INT)), 6) AS pct_correct,
       CAST(coalesce(sum(CAST(y_true = y_pred AS INT)), 0) AS BIGINT) AS n_correct FROM g LEFT JOIN x ON x.paradigm = g.paradigm AND x.task = g.task AND x.cell = g.cell GROUP BY ALL""",
 )
 def hand_crosstab(spark, sf):
     rows = posthoc.hand_rows(subject_preds(spark, sf), patient_meta(spark, sf))
-    return rounded(posthoc.hand_crosstab(rows, list(range(1, 7)), [1, 2, 3, 4]), "paradigm", "task", "cell", "n", "n_correct")
+    return rounded(posthoc.hand_crosstab(rows, list(range(1, 7)), [1, 2, 3, 4]), "paradigm", "task", "cell", "n", "n_correct", "mean_proba")
 
 
 SCORED = f"{SP}, {LATERALITY_SQL}, sc AS (SELECT sp.task, sp.paradigm, sp.subject_id, sp.y_proba, round(m.avg_dash, 0) AS q FROM sp JOIN pmeta m ON m.subject_id = sp.subject_id)"

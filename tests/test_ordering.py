@@ -142,3 +142,39 @@ def test_seeded_draws_ignore_partitioning(data):
     noise = reshape.jitter(df, ["x"], KEYS).select((F.col("x")).alias("j"), *KEYS, "frame_idx").join(df, [*KEYS, "frame_idx"])
     sd = noise.agg(F.stddev(F.col("j") - F.col("x"))).first()[0]
     assert 0.008 < sd < 0.012
+
+
+def test_null_keys_are_kept_on_every_path(spark):
+    from pyspark.sql import functions as F
+
+    from kinelake.operators import ordering
+
+    rows = [(k, i, float(i)) for k in ("a", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    whole = ordering.attach(df, ["k"], {"m": F.max("v")}, limit=1000).toPandas()
+    joined = ordering.attach(df, ["k"], {"m": F.max("v")}, limit=1).toPandas()
+    assert len(whole) == len(joined) == 80 and whole.m.sum() == joined.m.sum()
+    runs = [ordering.cumulate(df, ["k"], F.col("i"), ["i"], {"s": F.col("v")}, rows_per_bucket=n).toPandas() for n in (1000, 7)]
+    assert len(runs[1]) == 80 and sorted(runs[0].s) == sorted(runs[1].s)
+
+
+def test_group_sizes_are_counted_anew(spark, tmp_path):
+    from kinelake.operators import ordering
+
+    path = str(tmp_path / "t")
+    for n in (10, 500):
+        spark.range(n).selectExpr("1 AS k").write.mode("overwrite").parquet(path)
+        assert ordering.largest_group(spark.read.parquet(path), ["k"]) == n
+
+
+def test_cluster_without_shared_folder_is_an_error(spark):
+    import pytest
+
+    from kinelake.sources import store
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError):
+        store.shared_folder(Elsewhere)
