@@ -30,13 +30,13 @@ def reliable(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, deleted when the application ends."""
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    """A path that does not exist yet, in a new folder under the shared one that is deleted when the application ends."""
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(at)
     files.deleteOnExit(at)
-    return path
+    return f"{folder}/data"
 
 
 def write_recordings(df: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
