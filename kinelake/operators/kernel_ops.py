@@ -26,7 +26,10 @@ def butterworth_filter(
     keys: list[str] = RECORDING,
     size: int = ordering.BLOCK,
 ) -> DataFrame:
-    """Zero-phase Butterworth filter; blocks overlap until the slowest pole has died out."""
+    """Zero-phase Butterworth filter; blocks overlap until the slowest pole has died out.
+
+    A recording of one frame comes back as it is.
+    """
     b, a = kernels.butterworth(order, cutoff, rate, kind)
     halo = kernels.settle_length(a)
     size = max(size, halo)
@@ -34,13 +37,13 @@ def butterworth_filter(
     x = ordering.blocked(x, "frame_idx", halo, halo, size)
 
     def one(c):
-        if len(c["frame_idx"]) < 2:
-            return None
+        core = c["_core"].astype(bool)
+        if len(core) < 2:
+            return {"frame_idx": c["frame_idx"][core], **{ch: c[ch][core].astype(float) for ch in channels}} if core.any() else None
         y = kernels.zero_phase(
             b, a, np.stack([c[ch] for ch in channels], axis=1).astype(float),
             c["frame_idx"][0] == 0, c["frame_idx"][-1] == c["n_frames"][-1] - 1,
         )
-        core = c["_core"].astype(bool)
         return {"frame_idx": c["frame_idx"][core], **{ch: y[core, i] for i, ch in enumerate(channels)}}
 
     ddl = "frame_idx BIGINT, " + ", ".join(f"{ch} DOUBLE" for ch in channels)
@@ -53,7 +56,7 @@ def interpolate_spline(
     """Quadratic or cubic resampling to ``length`` points.
 
     A spline forgets a knot by a factor of about four per step, so 64 halo frames on each side give
-    the global spline to machine precision.
+    the global spline to machine precision. A recording of one frame repeats it ``length`` times.
     """
     degree = {"quadratic": 2, "cubic": 3}[kind]
     x = with_length(df.select(*keys, "frame_idx", *channels), keys)
@@ -61,8 +64,10 @@ def interpolate_spline(
 
     def one(c):
         idx, n, core = c["frame_idx"], int(c["n_frames"][0]), c["_core"].astype(bool)
-        if not core.any() or n < 2:
+        if not core.any():
             return None
+        if n < 2:
+            return {"frame_idx": np.arange(length), **{ch: np.repeat(c[ch].astype(float), length) for ch in channels}}
         own = idx[core]
         lo, hi = int(own[0]), int(own[-1]) + 1
         first = -(-lo * (length - 1) // (n - 1))

@@ -56,15 +56,19 @@ def laterality_importance(imp: DataFrame, preds: DataFrame, meta: DataFrame, by=
 
 
 def laterality_summary(rows: DataFrame, paradigm: int) -> DataFrame:
-    """Counts, means and a verdict per task for one paradigm."""
+    """Counts, means and a verdict per task for one paradigm.
+
+    Importances have four decimals, so means are taken from whole-number sums and do not depend on the order of rows.
+    """
+    mean = lambda c: F.sum(F.round(F.col(c) * 1e4).cast("long")) / (1e4 * F.count(c))
     share = lambda c: F.avg(F.col(c).cast("double"))
     out = rows.filter(F.col("paradigm") == paradigm).groupBy("task").agg(
         F.count(F.lit(1)).alias("n_unilateral_px"),
         F.sum((F.col("laterality") == "Right").cast("long")).alias("n_right"),
         F.sum((F.col("laterality") == "Left").cast("long")).alias("n_left"),
-        F.avg("ipsi_imp").alias("mean_ipsi_imp"),
-        F.avg("contra_imp").alias("mean_contra_imp"),
-        F.avg("head_imp").alias("mean_head_imp"),
+        mean("ipsi_imp").alias("mean_ipsi_imp"),
+        mean("contra_imp").alias("mean_contra_imp"),
+        mean("head_imp").alias("mean_head_imp"),
         share("ipsi_dominates").alias("pct_ipsi_dom"),
         share("head_dominates").alias("pct_head_dom"),
         share("correct").alias("pct_correct"),

@@ -184,13 +184,15 @@ def _split(series: DataFrame, k: list[str], limit: int) -> tuple[DataFrame, Data
 
 
 def fft_magnitude(series: DataFrame, keys: list[str] = RECORDING, limit: int = SERIES_LIMIT) -> DataFrame:
-    """Max and mean |FFT| over the first n/2 bins."""
+    """Max and mean |FFT| over the first n/2 bins; a series of one frame has no such bin, so both are NULL."""
     k = [*keys, "channel"]
     short, long = _split(series, k, limit)
 
     def one(c):
         mag = np.abs(np.fft.fft(c["value"]))[: len(c["value"]) // 2]
-        return {"fft_max_magnitude": mag.max(), "fft_mean_magnitude": mag.mean()} if len(mag) else None
+        if not len(mag):
+            return {"fft_max_magnitude": np.array([None], object), "fft_mean_magnitude": np.array([None], object)}
+        return {"fft_max_magnitude": mag.max(), "fft_mean_magnitude": mag.mean()}
 
     out = per_group(short, k, ["idx"], one, "fft_max_magnitude DOUBLE, fft_mean_magnitude DOUBLE")
     if long is None:

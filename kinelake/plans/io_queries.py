@@ -297,16 +297,18 @@ def streaming_new_subject_scores(spark, sf):
     path = store.scratch_path(spark, "arrivals")
     x = frames(spark, sf, CH)
     stats = reshape.scaler(x, CH)
-    x.drop("t_s").write.parquet(path + "/in")
+    # Each frame states how many its recording has.
+    x = reshape.with_length(x.drop("t_s"), RECORDING).withColumnRenamed("n_frames", "n_expected")
+    x.write.parquet(path + "/in")
     stats.write.parquet(path + "/scaler")
     stored = spark.read.parquet(path + "/scaler")
-    stream = spark.readStream.schema(x.drop("t_s").schema).parquet(path + "/in")
+    stream = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 4).parquet(path + "/in")
 
     def score(batch):
         return hmm.classify(reshape.apply_scaler(batch, stored, CH), CH, MODEL1, MODEL0)
 
-    q = live.score_new_recordings(stream, score, lambda d, epoch: d.write.mode("append").parquet(path + "/scores"), path + "/ckpt")
+    q = live.score_new_recordings(stream, score, path + "/scores", path + "/ckpt", RECORDING, "n_expected", path + "/waiting")
     q.awaitTermination()
-    return rounded(spark.read.parquet(path + "/scores"), *RECORDING, "n_frames", "y_pred")
+    return rounded(spark.read.parquet(path + "/scores").drop("epoch"), *RECORDING, "n_frames", "y_pred")
 
 

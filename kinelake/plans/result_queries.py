@@ -56,18 +56,15 @@ def merged_segments(spark, sf):
     return st.merged_segments(states(spark, sf), 3).drop("seg_no")
 
 
+# Shares and seconds round half up to one digit; whole-number arithmetic decides the ties.
 SUMMARY = f"""{ST}, l AS (SELECT *, lag(state) OVER (PARTITION BY subject_id ORDER BY frame_idx) AS p FROM states),
-  summ AS (SELECT subject_id, count(*) AS n_frames, round(count(*) / 5e1, 1) AS total_s, CAST(sum(CASE WHEN p <> state THEN 1 ELSE 0 END) AS BIGINT) AS n_transitions,
-    {", ".join(f"round(100.0 * count(*) FILTER (WHERE state = {s}) / count(*), 1) AS state{s}_pct" for s in range(3))} FROM l GROUP BY 1)"""
+  summ AS (SELECT subject_id, count(*) AS n_frames, ((2 * count(*) + 5) // 10) / 1e1 AS total_s, CAST(sum(CASE WHEN p <> state THEN 1 ELSE 0 END) AS BIGINT) AS n_transitions,
+    {", ".join(f"((2000 * count(*) FILTER (WHERE state = {s}) + count(*)) // (2 * count(*))) / 1e1 AS state{s}_pct" for s in range(3))} FROM l GROUP BY 1)"""
 
 
-@query("state_summary", f"WITH {SUMMARY} SELECT subject_id, n_frames, n_transitions, {', '.join(f'round(100.0 * count(*) FILTER (WHERE state = {s}) / count(*), 4) AS state{s}_share' for s in range(3))} FROM summ JOIN states USING (subject_id) GROUP BY ALL")
+@query("state_summary", f"WITH {SUMMARY} SELECT * FROM summ")
 def state_summary(spark, sf):
-    s = st.state_summary(states(spark, sf), 3)
-    n = states(spark, sf).groupBy("subject_id").agg(
-        *[F.round(100.0 * F.sum((F.col("state") == k).cast("int")) / F.count(F.lit(1)), 4).alias(f"state{k}_share") for k in range(3)]
-    )
-    return s.select("subject_id", "n_frames", "n_transitions").join(n, "subject_id")
+    return st.state_summary(states(spark, sf), 3)
 
 
 @query(
@@ -292,14 +289,13 @@ def laterality_importance(spark, sf):
 @query(
     "laterality_summary",
     f"""WITH {LAT}, s AS (SELECT task, count(*) AS n_unilateral_px, count(*) FILTER (WHERE laterality = 'Right') AS n_right, count(*) FILTER (WHERE laterality = 'Left') AS n_left,
-      avg(CAST(ipsi > contra AS INT)) AS pi, avg(CAST(hi > greatest(ipsi, contra) AS INT)) AS ph, avg(CAST(correct AS INT)) AS pc FROM latimp WHERE paradigm = 1 GROUP BY 1)
-    SELECT task, n_unilateral_px, n_right, n_left, round(pi, 6) AS pct_ipsi_dom, round(ph, 6) AS pct_head_dom, round(pc, 6) AS pct_correct,
+      {", ".join(f"sum(CAST(round(round({c}, 4) * 1e4) AS BIGINT))::DOUBLE / (1e4 * count({c})) AS m{c[0]}" for c in ("ipsi", "contra", "hi"))}, avg(CAST(ipsi > contra AS INT)) AS pi, avg(CAST(hi > greatest(ipsi, contra) AS INT)) AS ph, avg(CAST(correct AS INT)) AS pc FROM latimp WHERE paradigm = 1 GROUP BY 1)
+    SELECT task, n_unilateral_px, n_right, n_left, mi AS mean_ipsi_imp, mc AS mean_contra_imp, mh AS mean_head_imp, round(pi, 6) AS pct_ipsi_dom, round(ph, 6) AS pct_head_dom, round(pc, 6) AS pct_correct,
       CASE WHEN ph > 0.5 THEN 'Head/trunk compensation dominates' WHEN pi > 0.5 THEN 'Ipsilateral restriction dominates' ELSE 'Contralateral/mixed signal' END AS interpretation FROM s""",
 )
 def laterality_summary(spark, sf):
     x = posthoc.laterality_importance(importance_map(spark, sf), subject_preds(spark, sf), patient_meta(spark, sf))
-    s = posthoc.laterality_summary(x, 1).drop("mean_ipsi_imp", "mean_contra_imp", "mean_head_imp")
-    return rounded(s, "task", "n_unilateral_px", "n_right", "n_left", "interpretation")
+    return rounded(posthoc.laterality_summary(x, 1), "task", "n_unilateral_px", "n_right", "n_left", "interpretation", "mean_ipsi_imp", "mean_contra_imp", "mean_head_imp")
 
 
 CELL_SQL = """CASE WHEN m.laterality = 'Bilateral' THEN 'Bilateral' WHEN m.hand IS NULL THEN concat(m.laterality, '_Unknown')
@@ -447,15 +443,10 @@ def alignment_per_subject_row(spark, sf):
 
 @query(
     "state_percent_long",
-    f"WITH {ST} SELECT subject_id, g.state, round(100.0 * count(*) FILTER (WHERE s.state = g.state) / count(*), 0) AS percent FROM states s, range(0, 3) g(state) GROUP BY ALL HAVING abs(100.0 * count(*) FILTER (WHERE s.state = g.state) / count(*) % 1 - 0.5) > 0.06",
+    f"WITH {SUMMARY} {' UNION ALL '.join(f'SELECT subject_id, n_frames, CAST({s} AS INT) AS state, state{s}_pct AS percent FROM summ' for s in range(3))}",
 )
 def state_percent_long(spark, sf):
-    long = posthoc.state_percent_long(st.state_summary(states(spark, sf), 3), 3, ["subject_id", "n_frames"])
-    exact = states(spark, sf).groupBy("subject_id", "state").agg(F.count(F.lit(1)).alias("c"))
-    # Only values clear of a rounding border are compared with the reference SQL.
-    j = long.join(exact, ["subject_id", "state"], "left")
-    raw = 100.0 * F.coalesce("c", F.lit(0)) / F.col("n_frames")
-    return j.filter(F.abs(raw % 1 - 0.5) > 0.06).select("subject_id", "state", F.round("percent", 0).alias("percent"))
+    return posthoc.state_percent_long(st.state_summary(states(spark, sf), 3), 3, ["subject_id", "n_frames"])
 
 
 @query(

@@ -6,38 +6,50 @@ path. Only headers and a few leading lines are looked at on the driver.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.operators import ordering
 
+#: A header line is looked for in so many leading bytes of a file.
+HEADER_BYTES = 1 << 16
+
 
 def number(c: str) -> Column:
     """Numeric-or-NULL."""
     return F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)")
 
 
-def encodings(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
-    """Group files by encoding from their byte-order mark: UTF-16 marks, else UTF-8."""
+def encodings(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, str], list[str]]:
+    """Group files by (encoding, first line); UTF-16 by its byte-order mark, else UTF-8."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = spark.read.format("binaryFile").load(paths)
-    mark = F.hex(F.substring("content", 1, 3))
-    kind = F.when(mark.startswith("FFFE") | mark.startswith("FEFF"), "UTF-16").otherwise("UTF-8")
-    rows = files.select("path", kind.alias("enc")).collect()  # one short row per file
-    out: dict[str, list[str]] = {}
-    for r in rows:
-        out.setdefault(r["enc"], []).append(r["path"])
-    return out
+    mark = F.hex(F.substring("content", 1, 2))
+    kind = F.when(mark.isin("FFFE", "FEFF"), "UTF-16").otherwise("UTF-8")
+    # The line only tells headers apart, so its bytes are read as Latin-1, which knows no broken character.
+    line = F.regexp_extract(F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1"), r"^([^\r\n]*)", 1)
+    groups = files.select("path", kind.alias("enc"), line.alias("line")).groupBy("enc", "line").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return {(r["enc"], r["line"]): r["paths"] for r in groups.orderBy("enc", "line").collect()}  # file names only
 
 
 def read_csv_any(spark: SparkSession, paths: str | list[str], header: bool = True) -> DataFrame | None:
-    """CSV as strings with blank-stripped headers; UTF-8 and UTF-16 files are read side by side."""
+    """CSV as strings with blank-stripped headers; UTF-8 and UTF-16 files are read side by side.
+
+    Files are read by header, so each one's columns go by its own first line. A path that does not exist is an absent
+    table (None); any other failure is raised.
+    """
     parts = None
     try:
         groups = encodings(spark, paths)
-    except Exception:  # noqa: BLE001 - a missing path is an absent table
-        return None
-    for enc, files in groups.items():
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    by_kind: dict[tuple[str, str], list[str]] = {}
+    for (enc, line), files in groups.items():
+        by_kind.setdefault((enc, line if header else ""), []).extend(files)
+    for (enc, _), files in by_kind.items():
         df = (
             spark.read.option("header", header).option("encoding", enc).option("multiLine", enc == "UTF-16")
             .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(files)
@@ -135,15 +147,19 @@ def read_new_recordings(spark: SparkSession, path: str, channels: list[str]) ->
 
 
 def metadata_table(spark: SparkSession, path: str, wanted: list[str], probe: int = 6) -> DataFrame:
-    """Metadata whose header sits somewhere in the first ``probe`` lines."""
-    head = [r[0] for r in spark.read.text(path).limit(probe).collect()]  # at most ``probe`` lines
+    """Metadata of one file whose header sits somewhere in the first ``probe`` lines.
+
+    What stands up to the header is dropped by position, so a data line that equals one of those lines stays.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    first = text.filter("_at = 0").orderBy("_id").limit(probe).collect()  # at most ``probe`` lines
+    head = [r["value"] for r in first]
     low = {w.lower() for w in wanted}
     at = next((i for i, l in enumerate(head) if low & {c.strip().lower() for c in l.split(",")}), None)
     if at is None:
         raise ValueError(f"no header with {wanted} in the first {probe} lines")
     names = [c.strip().lstrip("﻿") for c in head[at].split(",")]
-    before = head[: at + 1]
-    lines = spark.read.text(path).filter(~F.col("value").isin(before) & (F.trim("value") != ""))
+    lines = text.filter(((F.col("_at") > 0) | (F.col("_id") > first[at]["_id"])) & (F.trim("value") != ""))
     cells = F.from_csv("value", ", ".join(f"`{n}` STRING" for n in names))
     return lines.select(cells.alias("r")).select("r.*")
 

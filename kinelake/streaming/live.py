@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,12 +42,35 @@ def active_bouts(
 
 
 def score_new_recordings(
-    stream: DataFrame, score: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str
+    stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str], length: str, waiting: str
 ) -> StreamingQuery:
-    """Score each arriving batch of complete recordings with the batch operators; runs until caught up."""
+    """Score recordings with the batch operators once all their frames have come; runs until caught up.
+
+    ``length`` is a column that states the number of frames of the row's recording. Frames of unfinished recordings are
+    carried from batch to batch under ``waiting``, a folder that driver and executors share, so a recording split over
+    batches, in any order, is scored once and whole.
+
+    Each batch writes its scores and what it carries to folders named by its number and overwrites them when it is
+    repeated, so a retry changes nothing. Scores are read from ``out``, with ``epoch`` as a partition column.
+    """
+    spark = stream.sparkSession
+
+    def folder(epoch: int):
+        return f"{waiting.rstrip('/')}/epoch={epoch}"
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        sink(score(batch), epoch)
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder(epoch - 1))
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        rows = batch
+        if files.exists(at):
+            rows = batch.unionByName(spark.read.schema(batch.schema).parquet(folder(epoch - 1)))
+        counts = rows.groupBy(*[F.col(k).alias(f"_d_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"), F.max(length).alias("_all"))
+        done = counts.filter("_n >= _all")  # one row per recording
+        same = reduce(and_, [rows[k].eqNullSafe(done[f"_d_{k}"]) for k in keys])
+        rows.join(done, same, "left_anti").write.mode("overwrite").parquet(folder(epoch))
+        score(rows.join(done, same, "left_semi")).write.mode("overwrite").parquet(f"{out.rstrip('/')}/epoch={epoch}")
+        # Only the folder before may be needed again.
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder(epoch - 2)), True)
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -220,3 +220,18 @@ def test_warps_stay_in_range(data):
     assert a.min() >= values(pdf, "a").min() - 1e-9 and a.max() <= values(pdf, "a").max() + 1e-9
     flat = ko.magnitude_warp(df.withColumn("x", F.lit(1.0)), ["x"], 0.0, keys=KEYS).select("x").toPandas().x
     np.testing.assert_allclose(flat, 1.0)
+
+
+def test_recordings_of_one_frame_stay(make_series):
+    from kinelake.operators import kernel_ops, spectral
+
+    df, pdf = make_series({("a", 1): 1, ("b", 1): 60})
+    keys = ["subject_id", "task"]
+    one = pdf[pdf.subject_id == "a"].iloc[0]
+    got = kernel_ops.butterworth_filter(df, ["x"], "low", 5.0, keys=keys).toPandas()
+    assert len(got) == 61 and got[got.subject_id == "a"].x.iloc[0] == one.x
+    got = kernel_ops.interpolate_spline(df, ["x", "y"], 5, keys=keys).toPandas()
+    assert len(got) == 10 and (got[got.subject_id == "a"].y == one.y).all()
+    series = df.selectExpr("subject_id", "task", "'x' AS channel", "frame_idx AS idx", "x AS value")
+    got = spectral.fft_magnitude(series, keys).toPandas().set_index("subject_id")
+    assert len(got) == 2 and np.isnan(got.loc["a", "fft_max_magnitude"]) and got.loc["b", "fft_max_magnitude"] > 0

@@ -103,3 +103,64 @@ def test_spark_ml_fold(spark):
     df = spark.createDataFrame(rows, "subject_id STRING, y DOUBLE, f DOUBLE")
     out = classify.logistic_fold(df.filter("subject_id <> 's1'"), df.filter("subject_id = 's1'"), ["f"])
     assert out.filter("y_pred = y_true").count() >= 8
+
+
+def test_files_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("t, x\n1,2\n")
+    (tmp_path / "b.csv").write_text("x,t\n20,10\n")
+    (tmp_path / "c.csv").write_bytes("t,x\n100,200\n".encode("utf-16"))
+    got = logs.read_csv_any(spark, str(tmp_path / "*.csv")).select("t", "x").collect()
+    assert sorted((float(r.t), float(r.x)) for r in got) == [(1, 2), (10, 20), (100, 200)]
+
+
+def test_metadata_lines_equal_to_leading_lines_stay(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("note,1\nid,dia_code\nPX1,3\nnote,1\n\n")
+    got = logs.metadata_table(spark, str(tmp_path / "m.csv"), ["dia_code"]).collect()
+    assert sorted((r["id"], r["dia_code"]) for r in got) == [("PX1", "3"), ("note", "1")]
+
+
+def test_missing_features_take_the_training_mean(spark):
+    import numpy as np
+
+    from kinelake.operators import classify
+
+    rng = np.random.default_rng(1)
+    rows = [(f"s{i}", i % 2, float(i % 2 + rng.normal()), None if i % 5 == 0 else float(rng.normal())) for i in range(30)]
+    df = spark.createDataFrame(rows, "subject_id string, y int, a double, b double")
+    out = classify.logistic_fold(df.filter("subject_id <> 's0'"), df.filter("subject_id IN ('s0', 's1')"), ["a", "b"]).toPandas()
+    assert len(out) == 2 and out.y_proba.between(0, 1).all()
+    got = classify.loso_ridge(df, ["a", "b"], [0.5]).toPandas().set_index("subject_id")
+    for k, (s, y, *_x) in enumerate(rows):
+        rest = np.array([[np.nan if v is None else v for v in r[2:]] for j, r in enumerate(rows) if j != k], float)
+        t = np.array([2.0 * r[1] - 1 for j, r in enumerate(rows) if j != k])
+        fill = np.nanmean(rest, 0)
+        full = np.where(np.isnan(rest), fill, rest)
+        m, sd = full.mean(0), full.std(0)
+        z = (full - m) / sd
+        w = np.linalg.solve(z.T @ z / len(z) + 0.5 * np.eye(2), z.T @ (t - t.mean()) / len(z)) / sd
+        own = np.array([fill[i] if v is None else v for i, v in enumerate(rows[k][2:])])
+        want = 1 / (1 + np.exp(-4 * (t.mean() + (own - m) @ w)))
+        assert abs(got.loc[s, "y_proba"] - want) < 1e-9
+
+
+def test_a_recording_split_over_batches_is_scored_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from kinelake.streaming import live
+
+    x = spark.range(40).selectExpr("id % 4 AS k", "id AS v", "10L AS n")
+    for part in range(4):  # each file holds some frames of every recording
+        x.filter(F.floor(F.col("v") / 10) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    score = lambda d: d.groupBy("k").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
+    live.score_new_recordings(stream, score, str(tmp_path / "out"), str(tmp_path / "ckpt"), ["k"], "n", str(tmp_path / "wait")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.k, r.c, r.s) for r in got) == [(k, 10, sum(range(k, 40, 4))) for k in range(4)]
+
+
+def test_a_scratch_path_can_be_written_without_overwrite(spark):
+    from kinelake.sources import store
+
+    path = store.scratch_path(spark, "probe")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
