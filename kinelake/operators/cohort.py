@@ -71,12 +71,12 @@ def clinical_issues() -> Column:
     """Array of problems of a parsed clinical row."""
     return F.array_compact(
         F.array(
-            F.when(~F.col("age").between(0, 120), F.concat(F.lit("age "), "age", F.lit(" out of range"))),
+            F.when(~F.col("age").between(0, 120), F.concat(F.lit("age:"), "age")),
             F.when(
                 F.col("gender").isNotNull() & ~F.col("gender").isin("male", "female"),
-                F.concat(F.lit("unexpected gender value "), "gender"),
+                F.concat(F.lit("gender:"), "gender"),
             ),
-            F.when(F.coalesce(F.length("injury_type"), F.lit(0)) == 0, "missing injury_type"),
+            F.when(F.coalesce(F.length("injury_type"), F.lit(0)) == 0, "injury_type:"),
         )
     )
 

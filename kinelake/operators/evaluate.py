@@ -401,11 +401,11 @@ def generalisation(folds: DataFrame, by: list[str], n_samples: int | Column, n_p
     risk = F.when(F.col("risk_points") >= 5, "HIGH").when(F.col("risk_points") >= 3, "MEDIUM").otherwise("LOW")
     hint = F.array_compact(
         F.array(
-            F.when((F.col("risk") == "HIGH") & (g > 0.15), "increase regularization"),
-            F.when((F.col("risk") == "HIGH") & (r < 5), "reduce model capacity"),
-            F.when((F.col("risk") == "MEDIUM") & (g > 0.08), "consider increasing dropout"),
-            F.when((F.col("risk") == "MEDIUM") & (r < 10), "reduce model size or augment data"),
-            F.when(F.col("risk") == "LOW", "continue with current approach"),
+            F.when((F.col("risk") == "HIGH") & (g > 0.15), "regularise"),
+            F.when((F.col("risk") == "HIGH") & (r < 5), "fewer_parameters"),
+            F.when((F.col("risk") == "MEDIUM") & (g > 0.08), "more_dropout"),
+            F.when((F.col("risk") == "MEDIUM") & (r < 10), "fewer_parameters_or_more_samples"),
+            F.when(F.col("risk") == "LOW", "keep"),
         )
     )
     out = a.withColumns(

@@ -233,7 +233,7 @@ def clinical_metadata(spark, sf):
 
 @query(
     "clinical_issues",
-    f"""WITH {CLINICAL_SQL} SELECT id, CASE WHEN age NOT BETWEEN 0 AND 120 THEN concat('age ', CAST(age AS STRING), ' out of range')
+    f"""WITH {CLINICAL_SQL} SELECT id, CASE WHEN age NOT BETWEEN 0 AND 120 THEN concat('age:', CAST(age AS STRING))
       ELSE '' END AS issues FROM clinical""",
 )
 def clinical_issues(spark, sf):
