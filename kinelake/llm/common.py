@@ -14,8 +14,9 @@ from kinelake.sources.store import reliable
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Rows in one Arrow batch: texts may be long, so a batch is kept to some megabytes.
+#: Rows and bytes in one Arrow batch: texts may be long, so a batch is kept to some megabytes.
 BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
 
 
 def query(name: str, sql: str | None = None):
@@ -37,6 +38,7 @@ def query(name: str, sql: str | None = None):
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

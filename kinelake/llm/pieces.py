@@ -30,8 +30,8 @@ from kinelake.llm.common import ids_list, query, table, texts_of, whole_text
 
 GIANT = 1 << 16
 CHUNK = 1 << 14
-#: Segments whose result a worker remembers; the memory is emptied when full.
-REMEMBERED = 500_000
+#: Characters of the stretches whose result a worker remembers, whole texts without a space included; emptied when full.
+REMEMBERED = 1 << 21
 SPACE, NEG = "▁", -(10**15)
 #: Stands for a U+2581 that is in the text itself: no text holds a lone surrogate.
 LITERAL = "\ud800"
@@ -77,6 +77,7 @@ class Vocabulary:
         self.pairs = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.known: dict[str, bytes] = {"": b""}
         self.values: dict[str, int] = {}
+        self.known_size = self.values_size = 0
 
     def edges(self, s: str, i: int):
         """(end, score) of the pieces that start at i; a character that is no piece is an edge of its own."""
@@ -132,8 +133,8 @@ class Vocabulary:
 
     def remember(self, parts) -> dict[str, bytes]:
         """Ids of every stretch in ``parts``, each searched once while it is remembered."""
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
+        if self.known_size > REMEMBERED:
+            self.known, self.known_size = {"": b""}, 0
         known, pairs, split = self.known, self.pairs, {}
         new = set(parts).difference(known)
         for s in [s for s in new if not s[1:].isalpha()]:
@@ -148,14 +149,16 @@ class Vocabulary:
             known[s] = ids
         for s, sides in split.items():
             known[s] = b"".join(map(known.__getitem__, sides))
+        self.known_size += sum(map(len, ordered)) + sum(map(len, split))
         return known
 
     def value(self, s: str) -> int:
         """Best score of a stretch."""
-        if len(self.values) > REMEMBERED:
-            self.values = {}
+        if self.values_size > REMEMBERED:
+            self.values, self.values_size = {}, 0
         if s not in self.values:
             self.values[s] = next(self.paths([s]))[0]
+            self.values_size += len(s)
         return self.values[s]
 
 
