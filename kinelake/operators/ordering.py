@@ -175,7 +175,7 @@ def running_sum(
     offsets = sums.select(
         *keys, "_blk", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0.0)).alias(f"_o_{n}") for n in cols]
     )
-    out = local.join(offsets, [*keys, "_blk"])
+    out = _join_on(local, offsets, [*keys, "_blk"])
     out = out.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in cols})
     return out.drop("_blk", *[f"_o_{n}" for n in cols])
 
@@ -228,7 +228,10 @@ def wide_quantiles(
         max_rows = largest_group(df, keys)
     if max_rows > limit:
         long = df.select(*keys, *columns).unpivot(keys, columns, "channel", "value")
-        return quantiles(long, [*keys, "channel"], "value", probs, max_rows=max_rows)
+        found = quantiles(long, [*keys, "channel"], "value", probs, max_rows=max_rows)
+        # A channel without values has a row of NULLs, as in small groups.
+        cells = df.groupBy(*keys).agg(F.array(*[F.lit(c) for c in columns]).alias("_c"))
+        return _join_on(cells.select(*keys, F.explode("_c").alias("channel")), found, [*keys, "channel"], "left")
     rows = df.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("_r"))
     names = [f"_v{i}" for i in range(len(columns))]
     rows = rows.select(*keys, *[F.sort_array(F.array_compact(F.col("_r")[c])).alias(n) for c, n in zip(columns, names)])

@@ -178,3 +178,14 @@ def test_cluster_without_shared_folder_is_an_error(spark):
 
     with pytest.raises(ValueError):
         store.shared_folder(Elsewhere)
+
+
+def test_channels_without_values_and_null_keys_stay_at_any_size(spark):
+    rows = [(k, i, float(i), None) for k in ("a", None) for i in range(12)]
+    df = spark.createDataFrame(rows, "k STRING, frame_idx LONG, x DOUBLE, y DOUBLE")
+    probs = {"low": 0.25, "mid": 0.5}
+    small, large = (ordering.wide_quantiles(df, ["k"], ["x", "y"], probs, limit=n).select("k", "channel", "low", "mid") for n in (100, 5))
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect())) and large.count() == 4
+    for size in (4, 100):
+        sums = ordering.running_sum(df, ["k"], {"s": "x"}, size=size)
+        assert sorted((str(r["k"]), r["frame_idx"], r["s"]) for r in sums.collect()) == sorted((str(k), i, i * (i + 1) / 2) for k, i, _, _ in rows)
