@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelake.llm import resemble
 from kinelake.llm.common import components, query, table, texts_of, whole_text
 from kinelake.sources.store import reliable
 
@@ -218,13 +219,55 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return fps.join(named.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, that lead their component: the smallest doc_id; of repeated rows one stays."""
-    lead = near_duplicates(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    lead = lead.select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(lead, docs["doc_id"].eqNullSafe(lead["__id"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    return kept.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+def _described(words):
+    def run(batches):
+        for b in batches:
+            texts = texts_of(b)
+            sets = [resemble.shingles(t, words) for t in texts]
+            cols = [b.column(0), b.column(1), pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array([resemble.node_of(x) for x in sets], pa.int64())]
+            cols += [pa.array([len(x) for x in sets], pa.int64()), pa.array([resemble.bands(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "no", "fp", "node", "n", "bands"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, radius: int = RADIUS, words: int = resemble.WORDS, similarity: float = resemble.SIMILARITY) -> DataFrame:
+    """Every row of ``docs`` with its component's smallest row: doc_id, no (hash of the text), lead (null, doc_id, no).
+
+    Two rows are linked if their fingerprints differ in at most ``radius`` bits or if their sets of shingles of
+    ``words`` words have a Jaccard similarity of at least ``similarity``, confirmed on the whole sets.
+    """
+    texts = whole_text(docs).select("doc_id", F.xxhash64("text").alias("no"), "text")
+    rows = reliable(texts.mapInArrow(_described(words), "doc_id long, no long, fp long, node long, n long, bands array<long>"))
+    name = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "no")
+    nodes = reliable(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(name).alias("least")))
+    # A fingerprint is stood for by its smallest node.
+    fps = reliable(rows.select("fp", "node").distinct())
+    stands = reliable(fps.groupBy("fp").agg(F.min("node").alias("stand")))
+    known = fps.join(stands, "fp").filter("node <> stand").select(F.col("node").alias("a"), F.col("stand").alias("b"))
+    near = links(stands.select("fp"), radius).distinct()
+    near = near.join(stands.toDF("a", "sa"), "a").join(stands.toDF("b", "sb"), "b").select(F.col("sa").alias("a"), F.col("sb").alias("b"))
+    known = reliable(known.union(near))
+    named = nodes.select("node", F.col("least.doc_id").alias("id"), F.col("least.no").alias("at"))
+    # Rows with one name have one text, so a node may be told more than once.
+    whole = texts.join(named, (F.col("no") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    edges = resemble.similar(nodes.select("node", "n", "bands"), whole.select("node", "text"), known, words, similarity)
+    roots = components(edges).withColumnRenamed("node", "of")
+    rooted = nodes.join(roots, nodes["node"] == roots["of"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    leads = rooted.groupBy("root").agg(F.min("least").alias("lead"))
+    return rows.select("doc_id", "no", "node").join(rooted.join(leads, "root").select("node", "lead"), "node").select("doc_id", "no", "lead")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = resemble.WORDS, similarity: float = resemble.SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, that lead their component: the smallest (doc_id, hash of the text), null ids
+    last; of rows with the same doc_id and text one stays. Rows of one doc_id with different texts are told apart."""
+    found = near_copies(docs, radius, words, similarity)
+    lead = found.filter(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("no") == F.col("lead.no")))
+    lead = lead.select(F.col("doc_id").alias("__id"), F.col("no").alias("__no")).distinct()
+    named = docs.withColumn("__at", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = named.join(lead, (F.col("__at") == F.col("__no")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    order = Window.partitionBy("doc_id", "__at").orderBy(F.col("text").asc_nulls_first())
+    return kept.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n", "__at")
 
 
 @query("op10_simhash_near_duplicates")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinelake.llm import chat, decontaminate, extract, pieces, quality, simhash, sketch, spans, token_store, toxicity
+from kinelake.llm import chat, common, decontaminate, extract, pieces, quality, resemble, simhash, sketch, spans, token_store, toxicity
 
 SF = "/root/testdata/sf0.001"
 SF2 = "/root/testdata/sf0.01"
@@ -109,6 +109,50 @@ def test_simhash_components_equal_all_pairs(spark, docs):
         assert r.fp & (2**64 - 1) == fps[r.doc_id] and r.component_id == least[root[fps[r.doc_id]]]
 
 
+def plain_shingles(t):
+    w = t.encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_stage_joins_near_copies_of_eight_tenths_as_brute_force_does(spark):
+    rng, texts = random.Random(11), []
+    words = [f"w{i}" for i in range(3000)]
+    for _ in range(20):
+        own = [rng.choice(words) for _ in range(200)]
+        texts.append(" ".join(own))
+        for cuts in (1, 2, 4, 6, 9, 14):  # a changed word breaks five shingles: similarities from about 0.97 to 0.5
+            copy = list(own)
+            for k in rng.sample(range(200), cuts):
+                copy[k] = "changed"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, fps = [plain_shingles(t) for t in texts], [plain_simhash(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 2:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert kept == sorted(set(root)) and 20 < len(kept) < 100
+
+
+def test_rounds_compare_every_pair_of_a_bucket(spark, monkeypatch):
+    """Two groups in one bucket, as if by a chance of the signature: both are found, whichever way the rest is compared."""
+    a, b = [" ".join(f"{x}{i}" for i in range(60)) for x in "ab"]
+    texts = [" ".join(t.split()[k:]) for t in (a, b) for k in range(2)]
+    sets = [resemble.shingles(t) for t in texts]
+    one = [(resemble.node_of(s), len(s), [7], t) for s, t in zip(sets, texts)]
+    df = spark.createDataFrame(one, "node long, n long, bands array<long>, text string")
+    for pairs in (0, 100):
+        monkeypatch.setattr(resemble, "PAIRS", pairs)
+        edges = resemble.similar(df.select("node", "n", "bands"), df.select("node", "text"))
+        roots = {r.node: r.root for r in common.components(edges).collect()}
+        assert len(roots) == 4 and roots[one[0][0]] == roots[one[1][0]] and roots[one[2][0]] == roots[one[3][0]]
+        assert roots[one[0][0]] != roots[one[2][0]]
+
+
 def test_hot_shards_are_dealt_again_and_keep_every_link(spark):
     random.seed(3)
     near = [0]
