@@ -145,6 +145,20 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, siz
     nothing, for they cannot be told from chance). Null texts are empty and clean, repeated rows give equal rows, rows
     with a null item_id match under that null, an empty table gives no rows and an empty benchmark no matches.
     """
+    found = _overlaps(docs, benchmark, least, size)
+
+    @F.pandas_udf("string")
+    def cut_out(text, matches):
+        import pandas as pd
+
+        return pd.Series([cleaned(t, [(0, x["first_token"], x["last_token"]) for x in m]) for t, m in zip(text, matches)])
+
+    dirty = F.size("matches") > 0
+    return found.select("doc_id", dirty.alias("contaminated"), F.array_distinct(F.transform("matches", lambda m: m["item_id"])).alias("item_ids"), "matches", F.when(dirty, cut_out("text", "matches")).otherwise(F.col("text")).alias("clean_text"))
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, least: int, size: int) -> DataFrame:
+    """(doc_id, text, matches) of every row."""
     rows = whole_text(docs)
     parts = list(blocks(benchmark, size))
     schema = f"doc_id long, text string, matches {MATCHES}"
@@ -170,21 +184,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, siz
         grouped = hits.groupBy("doc_id", "no").agg(F.sort_array(F.collect_set("m")).alias("matches")).withColumnRenamed("doc_id", "id")
         on = rows["doc_id"].eqNullSafe(grouped["id"]) & (F.xxhash64(rows["text"]) == grouped["no"])
         found = rows.join(grouped, on, "left").select("doc_id", "text", F.coalesce("matches", F.array().cast(MATCHES)).alias("matches"))
-
-    @F.pandas_udf("string")
-    def cut_out(text, matches):
-        import pandas as pd
-
-        return pd.Series([cleaned(t, [(0, x["first_token"], x["last_token"]) for x in m]) for t, m in zip(text, matches)])
-
-    dirty = F.size("matches") > 0
-    return found.select("doc_id", dirty.alias("contaminated"), F.array_distinct(F.transform("matches", lambda m: m["item_id"])).alias("item_ids"), "matches", F.when(dirty, cut_out("text", "matches")).otherwise(F.col("text")).alias("clean_text"))
+    return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that no test item overlaps."""
-    bad = find_overlaps(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of ``docs``, all columns, that no test item overlaps. Rows are told apart by doc_id and text."""
+    bad = _overlaps(docs, benchmark, LEAST, BLOCK_TOKENS).filter(F.size("matches") > 0)
+    bad = bad.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__no")).distinct()
+    no = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.join(bad, (no == F.col("__no")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
 
 
 @query("op1_decontaminate")

@@ -271,6 +271,17 @@ def test_overlaps_with_substitutions_are_found(spark):
         assert found[1]["item_ids"] == [7] and found[1]["clean_text"] == "lead in  lead out" and found[2]["clean_text"] == rows[1][1]
 
 
+def test_rows_with_a_null_or_repeated_id_are_told_apart_by_their_text(spark):
+    item = " ".join(f"item{i}" for i in range(20))
+    texts = [" ".join(f"{x}{i}" for i in range(30)) for x in "abc"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, "quite another text of its own"), (None, "before " + item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert len(kept) == 5 and set(kept) == set(rows)
+    clean = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()[:5]))
+
+
 def test_overlaps_hold_every_exact_item(spark):
     docs, bench = spark.read.parquet(f"{SF2}/documents.parquet"), spark.read.parquet(f"{SF2}/benchmark.parquet")
     items = {r["item_id"]: b" ".join(decontaminate.tokens(r["text"])) for r in bench.collect()}
