@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "pieces", "quality", "spans", "toxicity", "extract", "chat", "sketch", "token_store", "simhash"]
+MODULES = ["decontaminate", "pieces", "quality", "spans", "toxicity", "extract", "chat", "sketch", "token_store", "simhash", "shards"]
 
 
 def load_llm():
