@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "pieces", "quality", "spans", "toxicity", "extract", "chat", "sketch", "token_store", "simhash", "alignment", "shards"]
+MODULES = ["decontaminate", "pieces", "quality", "spans", "toxicity", "extract", "chat", "sketch", "token_store", "simhash", "alignment", "phrases", "shards"]
 
 
 def load_llm():
