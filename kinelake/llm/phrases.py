@@ -2,21 +2,21 @@
 
 Frequent phrases are found by a multikey three-way quicksort of suffix pointers. A suffix is a position in a piece of
 text and the words from there on, five at most. Suffixes are dealt over the cluster by their leading words: by the
-first word, or, where that one alone begins too many suffixes, by the first two, three or four. Inside a group the
+first word, or, where that one alone begins too many suffixes, by the first two, three, four or all. Inside a bucket the
 pointers are split by the word at the present depth into smaller, equal and larger ones; the size of an equal part is
 the count of the phrase that its suffixes begin with, and the part is split on at the next depth. A part that holds
-fewer suffixes than a phrase needs is left at once. Equal suffixes travel as one, with a count.
+fewer suffixes than a phrase needs is left at once. Suffixes of one bucket travel together as packed word numbers, equal
+ones as one with a count.
 
-Words are written as single characters, the more frequent the shorter in UTF-8. The dictionary has a fixed bound; while
-it holds every frequent word, other words end a suffix, as no frequent phrase holds them. Beyond the bound, words that
-are not in the dictionary are spelled out instead, so the result is the same.
+Frequent words are numbered by a dictionary of bounded size. While it holds every frequent word, other words end a
+suffix, as no frequent phrase holds them. Beyond the bound, words that are not in the dictionary travel beside the
+numbers as they are written, so the result is the same.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections import Counter
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,50 +27,48 @@ from kinelake.llm.common import query, table
 from kinelake.sources.store import scratch_path
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: Words with a character of their own; they are sent to every executor.
+#: Words in the dictionary, which is sent to every executor.
 DICTIONARY = 1 << 18
-#: Distinct words or suffixes that a task counts before it sends them on; rows of one Arrow batch.
-COUNTED, ROWS = 400_000, 20_000
-#: Suffixes that may begin alike before their group is dealt by one word more, and that are sorted at a time.
-GROUP = 1 << 20
+#: Distinct words that a task counts before it sends them on, suffixes that it holds before it packs them.
+COUNTED, HELD = 300_000, 1 << 19
+#: Suffixes in a bucket, as far as the estimate goes; rows of an Arrow batch of words.
+BUCKET, ROWS = 1 << 19, 20_000
 #: Documents read at least to estimate how suffixes begin. The estimate only deals work; counts do not depend on it.
 LOOK = 4000
 
 #: Lower case for A-Z, one mark for all that ends a piece, one for all that ends a word.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c in b" \t" else c for c in range(256))
-#: A spelled word stands between two characters that no word holds.
-OPEN, CLOSE = "\t", " "
-CODED = re.compile(f"{OPEN}[^{CLOSE}]*{CLOSE}|.", re.DOTALL)
-
-
-def characters(n: int) -> list[str]:
-    """n characters in the order of their UTF-8 length, without the marks, line ends and surrogates."""
-    usable = (c for c in range(0x21, 0x110000) if not 0xD800 <= c < 0xE000)
-    return [chr(c) for c in islice(usable, n)]
 
 
 def texts_by_lang(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
-def item_counts(texts: DataFrame, parts_of) -> DataFrame:
-    """(lang, item, n): what the function made by ``parts_of()`` gives for folded texts, counted in each task first."""
+def folded(batch: pa.RecordBatch) -> dict[str, bytes]:
+    """The texts of a batch by language, folded, a piece's end between them."""
+    found: dict[str, list[bytes]] = {}
+    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        found.setdefault(lang, []).append(text)
+    return {lang: b"\n".join(texts).translate(FOLD) for lang, texts in found.items()}
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(lang, item, n) of words, counted in each task first."""
 
     def run(batches):
         counts: dict[str, Counter] = {}
-        parts = parts_of()
 
         def flushed():
             langs = [lang for lang, c in counts.items() for _ in range(len(c))]
-            items = [x if isinstance(x, str) else x.decode() for c in counts.values() for x in c]
+            items = [x.decode() for c in counts.values() for x in c]
             n = [k for c in counts.values() for k in c.values()]
             whole = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(items, pa.string()), pa.array(n, pa.int64())], ["lang", "item", "n"])
             counts.clear()
             yield from (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS))
 
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts.setdefault(lang, Counter()).update(parts(lang, text.translate(FOLD)))
+            for lang, text in folded(b).items():
+                counts.setdefault(lang, Counter()).update(text.split())
             if sum(map(len, counts.values())) > COUNTED:
                 yield from flushed()
         yield from flushed()
@@ -78,105 +76,184 @@ def item_counts(texts: DataFrame, parts_of) -> DataFrame:
     return texts.mapInArrow(run, "lang string, item string, n long")
 
 
-class Codes:
-    """Words of each language as characters, in order of frequency. ``complete``: all other words are infrequent."""
-
-    def __init__(self, words: dict[str, list[str]], complete: bool):
-        self.words, self.complete = words, complete
-
-    def of(self, lang: str) -> dict[bytes, str]:
-        known = self.words.get(lang, [])
-        return {b"": "", b"\n": "\n"} | {w.encode(): c for w, c in zip(known, characters(len(known)))}
-
-    def back(self, lang: str) -> dict[str, str]:
-        known = self.words.get(lang, [])
-        return dict(zip(characters(len(known)), known))
-
-
-def coded_runs(codes: Codes):
-    """A function from (lang, folded text) to runs of coded words: strings while one character is one word, else lists."""
-    tables: dict[str, dict[bytes, str]] = {}
-
-    def runs(lang, text):
-        if lang not in tables:
-            tables[lang] = codes.of(lang)
-        get = tables[lang].get
-        parts = text.replace(b"\n", b" \n ").split(b" ")
-        if codes.complete:
-            return "".join([get(w, "\n") for w in parts]).split("\n")
-        found: list[list[str]] = [[]]
-        for w in parts:
-            c = get(w)
-            if c is None:
-                c = OPEN + w.decode() + CLOSE
-            if c == "\n":
-                found.append([])
-            elif c:
-                found[-1].append(c)
-        return found
-
-    return runs
-
-
-def suffixes(codes: Codes, longest: int):
-    """The suffixes of two words or more of a text, coded."""
-    runs = coded_runs(codes)
-
-    def parts(lang, text):
-        cut = [run[i : i + longest] for run in runs(lang, text) if len(run) > 1 for i in range(len(run) - 1)]
-        return cut if codes.complete else map("".join, cut)
-
-    return parts
-
-
-def beginnings(codes: Codes, longest: int):
-    """All that a text's suffixes begin with, short of a whole suffix of full length."""
-    runs = coded_runs(codes)
-
-    def parts(lang, text):
-        for run in runs(lang, text):
-            for i in range(len(run) - 1):
-                for z in range(i + 1, min(i + longest, len(run) + 1)):
-                    yield "".join(run[i:z])
-
-    return parts
-
+# ---------------------------------------------------------------- suffixes as rows of word numbers
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix of each number (fixed values: the constants of the published splitmix64 generator)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Numbers:
+    """Word numbers of one language: 0 for the end of a piece, then the dictionary, then words met here that are not in it."""
+
+    def __init__(self, lang: str, dictionary: list[str], complete: bool):
+        self.complete, self.known = complete, len(dictionary)
+        self.of = {b"\n": 0, b"": -1} | {w.encode(): i for i, w in enumerate(dictionary, 1)}
+        self.words, self.extra = dictionary, []
+        self.seed = np.uint64(zlib.crc32(lang.encode()) + 1)
+        self.hashes = mixed(np.arange(self.known + 1, dtype=np.uint64) + (self.seed << np.uint64(32)))
+
+    def number(self, words: list[bytes]) -> list[int]:
+        """The numbers of words; an unknown word ends the piece if the dictionary has all that matter."""
+        get = self.of.get
+        if self.complete:
+            return [get(w, 0) for w in words]
+        for w in dict.fromkeys(words):
+            if w not in self.of:
+                self.of[w] = self.known + 1 + len(self.extra)
+                self.extra.append(w)
+        return list(map(get, words))
+
+    def hashes_of(self) -> np.ndarray:
+        """A hash for every number, the same in every task, whatever numbers it gives to further words."""
+        if not self.extra:
+            return self.hashes
+        further = np.array([zlib.crc32(w) + (zlib.adler32(w) << 32) for w in self.extra], np.uint64)
+        return np.concatenate((self.hashes, mixed(further ^ (self.seed << np.uint64(7)))))
+
+    def forget(self) -> None:
+        for w in self.extra:
+            del self.of[w]
+        self.extra = []
+
+    def plain(self, row: np.ndarray) -> str:
+        return " ".join(self.words[i - 1] if i <= self.known else self.extra[i - self.known - 1].decode() for i in row.tolist())
+
+
+def suffix_rows(numbers: np.ndarray, longest: int) -> np.ndarray:
+    """The suffixes of two words or more in a row of pieces: word numbers, 0 behind a suffix's end."""
+    padded = np.concatenate((numbers, np.zeros(longest, numbers.dtype)))
+    rows = np.lib.stride_tricks.sliding_window_view(padded, longest)[: len(numbers)]
+    rows = rows[(rows[:, 0] > 0) & (rows[:, 1] > 0)]
+    for d in range(2, longest):
+        rows[:, d] *= rows[:, d - 1] > 0
+    return rows
+
+
+def beginnings(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the first word, the first two words, ... of each row: one row for each length."""
+    out = np.empty((rows.shape[1], len(rows)), np.uint64)
+    state = np.zeros(len(rows), np.uint64)
+    for d in range(rows.shape[1]):
+        state = mixed(state * np.uint64(0x9E3779B97F4A7C15) + hashes[rows[:, d]] + np.uint64(d + 1))
+        out[d] = state
+    return out
 
-def many_beginnings(texts: DataFrame, codes: Codes, total: int, parts: int, longest: int, group: int) -> dict[str, set[str]]:
-    """By language, beginnings of so many suffixes that one partition should not have them all, estimated on some texts.
 
-    At most 4 x ``parts`` (or total / ``group``, if more) beginnings of each length can be that frequent.
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def leads(starts: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """By how many leading words each suffix is dealt: no more than needed to leave the frequent beginnings."""
+    lead = np.ones(starts.shape[1], np.int64)
+    still = np.ones(starts.shape[1], bool)
+    for start in starts[:-1]:
+        still &= among(start, many)
+        lead += still
+    return lead
+
+
+def distinct(rows: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pointers to distinct rows and their counts; ``whole`` are the rows' hashes, checked against the rows themselves."""
+    order = np.argsort(whole, kind="stable")
+    new = np.append(True, whole[order[1:]] != whole[order[:-1]])
+    first = np.flatnonzero(new)
+    if not (rows[order] == rows[order[np.repeat(first, np.diff(np.append(first, len(order))))]]).all():
+        order = np.lexsort(rows.T)
+        new = np.append(True, (rows[order[1:]] != rows[order[:-1]]).any(axis=1))
+        first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(order)))
+
+
+PACKED = "bucket int, lang string, extra array<binary>, n int, low binary, high binary, weight binary"
+
+
+def held_suffixes(batches, words: dict[str, list[str]], complete: bool, longest: int):
+    """(lang, its numbers, suffix rows) of the texts, as many at a time as a task may hold."""
+    by_lang: dict[str, Numbers] = {}
+    held: dict[str, list[np.ndarray]] = {}
+    size = 0
+
+    def released():
+        for lang, parts in held.items():
+            yield lang, by_lang[lang], np.concatenate(parts)
+            by_lang[lang].forget()
+        held.clear()
+
+    for b in batches:
+        for lang, text in folded(b).items():
+            if lang not in by_lang:
+                by_lang[lang] = Numbers(lang, words.get(lang, []), complete)
+            found = np.array(by_lang[lang].number(text.replace(b"\n", b" \n ").split(b" ")), np.int32)
+            rows = suffix_rows(found[found >= 0], longest)
+            held.setdefault(lang, []).append(rows)
+            size += len(rows)
+        if size > HELD:
+            yield from released()
+            size = 0
+    yield from released()
+
+
+def many_beginnings(texts: DataFrame, shared, total: int, buckets: int, longest: int) -> np.ndarray:
+    """Hashes of the beginnings of so many suffixes that one bucket should not have them all, estimated on some texts.
+
+    At most 4 x ``buckets`` beginnings of each length are that frequent.
     """
-    limit = max(1.0, min(group, total / (4 * parts)))
+    limit = max(1.0, total / (4 * buckets))
     share = min(1.0, max(LOOK / max(1, texts.count()), 200 / limit))
-    seen = item_counts(texts if share == 1.0 else texts.sample(share, seed=7), lambda: beginnings(codes, longest))
-    often = seen.groupBy("lang", "item").agg(F.sum("n").alias("n")).filter(F.col("n") > limit * share)
-    found: dict[str, set[str]] = {}
-    for r in often.select("lang", "item").collect():
-        found.setdefault(r["lang"], set()).add(r["item"])
-    return found
 
+    def run(batches):
+        words, complete = shared.value
+        for _, numbers, rows in held_suffixes(batches, words, complete, longest):
+            starts = beginnings(rows, numbers.hashes_of())
+            kinds, n = np.unique(starts[:-1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n)], ["start", "n"])
 
-def split_words(s: str, codes: Codes) -> str | list[str]:
-    return s if codes.complete else CODED.findall(s)
+    seen = (texts if share == 1.0 else texts.sample(share, seed=7)).mapInArrow(run, "start long, n long")
+    often = seen.groupBy("start").agg(F.sum("n").alias("n")).filter(F.col("n") > limit * share)
+    return np.sort(np.array([r["start"] for r in often.select("start").collect()], np.int64).view(np.uint64))
 
 
-def routed(rows: DataFrame, codes: Codes, many: dict[str, set[str]]) -> DataFrame:
-    """``rows`` (lang, item, n) with ``lead``: the characters of a suffix by which it is dealt."""
+def packed_suffixes(texts: DataFrame, shared, many: np.ndarray, buckets: int, longest: int) -> DataFrame:
+    """Suffixes of a task by bucket: word numbers in two planes of 16 bits, as the upper one is mostly zero."""
 
     def run(batches):
-        for b in batches:
-            leads = []
-            for lang, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                often, lead = many.get(lang, ()), ""
-                for word in split_words(s, codes):
-                    lead += word
-                    if lead not in often:
-                        break
-                leads.append(len(lead))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leads, pa.int32())], ["lang", "item", "n", "lead"])
-
-    return rows.mapInArrow(run, "lang string, item string, n long, lead int")
+        words, complete = shared.value
+        for lang, numbers, rows in held_suffixes(batches, words, complete, longest):
+            if not len(rows):
+                continue
+            starts = beginnings(rows, numbers.hashes_of())
+            at, weight = distinct(rows, starts[-1])
+            rows, starts = rows[at], starts[:, at]
+            lead = leads(starts, many)
+            bucket = (starts[lead - 1, np.arange(len(rows))] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket, weight = rows[order], bucket[order], weight[order].astype("<u4")
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)]):
+                part, extra = rows[a:z], []
+                if numbers.extra:  # only those that this bucket needs
+                    used = np.unique(part[part > numbers.known])
+                    extra = [numbers.extra[i - numbers.known - 1] for i in used.tolist()]
+                    part = np.where(part > numbers.known, numbers.known + 1 + np.searchsorted(used, part), part)
+                part = part.T.astype("<u4")
+                row = {"bucket": int(bucket[a]), "lang": lang, "extra": extra, "n": z - a}
+                row |= {"low": (part & 0xFFFF).astype("<u2").tobytes(), "high": (part >> 16).astype("<u2").tobytes(), "weight": weight[a:z].tobytes()}
+                yield pa.RecordBatch.from_pylist([row], PACKED_SCHEMA)
+
+    return texts.mapInArrow(run, PACKED)
+
+
+PACKED_SCHEMA = pa.schema(
+    [("bucket", pa.int32()), ("lang", pa.string()), ("extra", pa.list_(pa.binary())), ("n", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("weight", pa.binary())]
+)
 
 
 def equal_parts(matrix: np.ndarray, weight: np.ndarray, least: int):
@@ -205,84 +282,69 @@ def equal_parts(matrix: np.ndarray, weight: np.ndarray, least: int):
                     todo.append((equal, depth + 1))
 
 
-def word_matrix(items: list[str], codes: Codes, longest: int) -> np.ndarray:
-    if codes.complete:
-        return np.array(items, f"U{longest}").view(np.uint32).reshape(len(items), longest)
-    numbers: dict[str, int] = {}
-    out = np.zeros((len(items), longest), np.uint32)
-    for k, s in enumerate(items):
-        for d, w in enumerate(CODED.findall(s)):
-            out[k, d] = numbers.setdefault(w, len(numbers) + 1)
-    return out
-
-
-def sorted_groups(rows: DataFrame, codes: Codes, many: dict[str, set[str]], least: int, longest: int, group: int) -> DataFrame:
-    """(lang, phrase, n) from suffixes dealt and sorted by their leads; counts of ``many`` beginnings are partial."""
-
-    def plain(words, back):
-        return " ".join(back[w] if w in back else w[1:-1] for w in words)
-
-    def phrases(lang, items, weight, leads):
-        back, often = codes.back(lang), many.get(lang, ())
-        matrix = word_matrix(items, codes, longest)
-        for row, depth, count in equal_parts(matrix, weight, least):
-            words = split_words(items[row], codes)[:depth]
-            if depth > 1 and "".join(words) not in often:
-                yield lang, plain(words, back), count
-        # What begins many groups is counted in each of them, however few it has there.
-        if often:
-            partial: Counter = Counter()
-            for s, lead, n in zip(items, leads, weight.tolist()):
-                partial[s[:lead]] += n
-            by_phrase: Counter = Counter()
-            for s, n in partial.items():
-                words = split_words(s, codes)
-                for k in range(2, len(words) + 1):
-                    if "".join(words[:k]) in often:
-                        by_phrase[plain(words[:k], back)] += n
-            yield from ((lang, phrase, n) for phrase, n in by_phrase.items())
+def bucket_phrases(numbers: Numbers, rows: np.ndarray, weight: np.ndarray, many: np.ndarray, least: int):
+    """(phrase, count) of one language in a bucket; counts of the ``many`` beginnings are only this bucket's part."""
+    starts = beginnings(rows, numbers.hashes_of())
+    often = np.stack([among(start, many) for start in starts])
+    for row, depth, count in equal_parts(rows, weight, least):
+        if depth > 1 and (depth == rows.shape[1] or not often[:depth, row].all()):
+            yield numbers.plain(rows[row, :depth]), count
+    for depth in range(2, rows.shape[1]):  # counted in each of their buckets, however few they are there
+        split = often[:depth].all(axis=0) & (rows[:, depth - 1] > 0)
+        if split.any():
+            kinds, of = np.unique(rows[split][:, :depth], axis=0, return_inverse=True)
+            for kind, count in zip(kinds, np.bincount(of.ravel(), weight[split])):
+                yield numbers.plain(kind), int(count)
+
+
+def sorted_buckets(packed: DataFrame, shared, many: np.ndarray, least: int, longest: int) -> DataFrame:
+    """(lang, phrase, n) from packed suffixes, which come sorted by bucket."""
+
+    def unpacked(numbers, row):
+        planes = [np.frombuffer(row[c], "<u2").astype(np.int32) for c in ("high", "low")]
+        rows = ((planes[0] << 16) | planes[1]).reshape(longest, row["n"]).T
+        if row["extra"]:
+            own = np.array(numbers.number(row["extra"]), np.int32)
+            rows = np.where(rows > numbers.known, own[np.maximum(rows - numbers.known - 1, 0)], rows)
+        return rows, np.frombuffer(row["weight"], "<u4").astype(np.int64)
 
     def run(batches):
-        langs, items, weights, leads = [], [], [], []
-
-        def sort(upto):
-            at = 0
-            while at < upto:
-                z = at + 1
-                while z < upto and langs[z] == langs[at]:
-                    z += 1
-                found = list(phrases(langs[at], items[at:z], np.array(weights[at:z], np.int64), leads[at:z]))
-                cols = list(zip(*found)) or [(), (), ()]
+        words, complete = shared.value
+        by_lang: dict[str, Numbers] = {}
+        held: dict[str, list] = {}
+        now = None
+
+        def released():
+            for lang, parts in held.items():
+                found = list(bucket_phrases(by_lang[lang], np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), many, least))
+                cols = [[lang] * len(found), [p for p, _ in found], [n for _, n in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()))], ["lang", "phrase", "n"])
-                at = z
-            for x in (langs, items, weights, leads):
-                del x[:upto]
+                by_lang[lang].forget()
+            held.clear()
 
         for b in batches:
-            for x, c in zip((langs, items, weights, leads), b.columns):
-                x += c.to_pylist()
-            if len(items) >= group:
-                # All but the last group, which may go on in the next batch.
-                last, z = (langs[-1], items[-1][: leads[-1]]), len(items) - 1
-                while z and (langs[z - 1], items[z - 1][: leads[z - 1]]) == last:
-                    z -= 1
-                yield from sort(z)
-        yield from sort(len(items))
+            for row in b.to_pylist():
+                if row["bucket"] != now:
+                    yield from released()
+                    now = row["bucket"]
+                if row["lang"] not in by_lang:
+                    by_lang[row["lang"]] = Numbers(row["lang"], words.get(row["lang"], []), complete)
+                held.setdefault(row["lang"], []).append(unpacked(by_lang[row["lang"]], row))
+        yield from released()
 
-    return rows.mapInArrow(run, "lang string, phrase string, n long")
+    return packed.mapInArrow(run, "lang string, phrase string, n long")
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, dictionary: int = DICTIONARY, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, dictionary: int = DICTIONARY, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n) of every phrase of one to ``longest`` words that occurs ``least`` times, and (lang, n) of all words.
 
     Null languages are ``und``, null texts are empty; an empty table has no phrase. Rows count as often as they are
     repeated. Columns but ``lang`` and ``text`` are left behind.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     texts = texts_by_lang(docs)
     path = scratch_path(spark, "words")
-    item_counts(texts, lambda: lambda lang, text: text.split()).groupBy("lang", "item").agg(F.sum("n").alias("n")).write.parquet(path)
+    word_counts(texts).groupBy("lang", "item").agg(F.sum("n").alias("n")).write.parquet(path)
     words = spark.read.schema("lang string, item string, n long").parquet(path)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     often = words.filter(F.col("n") >= least)
@@ -290,15 +352,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     known: dict[str, list[str]] = {}
     for r in often.orderBy(F.desc("n"), "lang", "item").limit(dictionary).select("lang", "item").collect():
         known.setdefault(r["lang"], []).append(r["item"])
-    codes = Codes(known, size["k"] <= dictionary)
-    total = size["n"] if codes.complete else words.agg(F.sum("n")).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * group)))
-    shared = spark.sparkContext.broadcast(codes)
-    many = many_beginnings(texts, codes, total, parts, longest, group) if known else {}
-    dealt = routed(item_counts(texts, lambda: suffixes(shared.value, longest)), codes, many)
-    dealt = dealt.repartition(parts, "lang", F.expr("left(item, lead)")).sortWithinPartitions("lang", F.expr("left(item, lead)"))
+    complete = size["k"] <= dictionary
+    total = size["n"] if complete else words.agg(F.sum("n")).first()[0]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, -(-total // bucket))
+    shared = spark.sparkContext.broadcast((known, complete))
+    many = many_beginnings(texts, shared, total, buckets, longest)
+    packed = packed_suffixes(texts, shared, many, buckets, longest).repartition(parts, "bucket").sortWithinPartitions("bucket")
     path = scratch_path(spark, "phrases")
-    sorted_groups(dealt, codes, many, least, longest, group).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).write.parquet(path)
+    sorted_buckets(packed, shared, many, least, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).write.parquet(path)
     longer = spark.read.schema("lang string, phrase string, n long").parquet(path)
     return often.select("lang", F.col("item").alias("phrase"), "n").union(longer), totals
 
@@ -341,7 +403,8 @@ def collocations(docs: DataFrame, top: int = TOP, **settings) -> DataFrame:
 ORACLE = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
   FROM documents),
 runs AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM pieces),
 places AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM runs WHERE len(w) > 0),

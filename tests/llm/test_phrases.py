@@ -44,7 +44,7 @@ def made_rows():
     return rows
 
 
-@pytest.mark.parametrize("settings", [{}, {"dictionary": 3}, {"dictionary": 0}, {"group": 20}, {"dictionary": 4, "group": 20}])
+@pytest.mark.parametrize("settings", [{}, {"dictionary": 3}, {"dictionary": 0}, {"bucket": 40}, {"dictionary": 4, "bucket": 40}])
 def test_collocations_equal_brute_force(spark, settings):
     rows = made_rows()
     docs = spark.createDataFrame([(i, x, t, "s") for i, (x, t) in enumerate(rows)], "item long, lang string, text string, phrase string").repartition(5)
