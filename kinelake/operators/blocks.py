@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Largest series handed to a whole-series kernel; longer ones take the blocked path.
@@ -18,8 +19,13 @@ SERIES_LIMIT = 1 << 18
 
 
 def arrange(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Partition by the group key and sort; persist the result to walk the same groups repeatedly."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    """Rows of a group together and in order; persist the result to walk the same groups repeatedly.
+
+    A window over the groups asks for this layout, so rows that already lie by some of the keys are not moved again.
+    Its column stays in the result: without it, the window would be dropped.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place)
 
 
 def per_group(

@@ -22,7 +22,9 @@ BANDS = {"very_low": (0.0, 0.5), "low": (0.5, 2.0), "mid": (2.0, 5.0), "high": (
 
 def finite_series(df: DataFrame, signals: list[str], keys: list[str] = RECORDING) -> DataFrame:
     """Long rows (keys, channel, idx, value) without NaN/inf, re-indexed without gaps."""
-    long = df.unpivot([*keys, "frame_idx"], signals, "channel", "value").filter(
+    # Rows are made by a generator, which leaves them where they lie; an unpivot would forget the partitioning.
+    cells = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in signals])
+    long = df.select(*keys, "frame_idx", F.inline(cells)).filter(
         F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
     )
     max_rows = ordering.largest_group(df, keys)

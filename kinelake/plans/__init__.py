@@ -4,7 +4,7 @@ from importlib import import_module
 
 from kinelake.plans import registry
 
-MODULES = ["core", "relational", "feature_queries", "reshape_queries", "evaluation_queries", "result_queries", "kernel_queries", "model_queries", "io_queries"]
+MODULES = ["core", "relational", "feature_queries", "reshape_queries", "evaluation_queries", "result_queries", "kernel_queries", "assembly_queries", "model_queries", "io_queries"]
 
 
 def load_all():

@@ -421,11 +421,6 @@ LONG_SQL = f"""frames AS ({frames_sql(HAND_POS)}), d AS (SELECT *, {", ".join(f"
     UNION ALL SELECT subject_id, task, concat('ext_hand_', feature), value FROM pa UNPIVOT (value FOR feature IN ({", ".join(_PASYM)}))))"""
 
 
-@query("feature_assembly", f"WITH {LONG_SQL} SELECT subject_id, task, feature, round(value, 5) + 0 AS value FROM longf")
-def feature_assembly(spark, sf):
-    return long_table(spark, sf).select(*RECORDING, "feature", rnd("value", 5).alias("value"))
-
-
 @query(
     "feature_table_pivot",
     f"""WITH {LONG_SQL} SELECT subject_id, task, {", ".join(f"round(max(value) FILTER (WHERE feature = 'ext_hand_{n}'), 5) + 0 AS ext_hand_{n}" for n in list(_PASYM)[:4])}
@@ -485,23 +480,6 @@ def score_sheet(spark, sf):
     return rounded(features.score_sheet(scored, {1: "q1", 2: "q2", 3: "q3"}), 5, ids=["subject_id"])
 
 
-_COMPOSITE = f"""max_speed AS (SELECT subject_id, task, greatest(LeftHand_peak_vel, RightHand_peak_vel) AS max_speed,
-  (LeftHand_mean_vel + RightHand_mean_vel) / 2 AS mean_speed, greatest(left_reach_elevation_rom, right_reach_elevation_rom) AS rom_total FROM bio)"""
-
-
-@query(
-    "composite_metrics",
-    f"""WITH {BIO_SQL}, bio AS (SELECT subject_id, task, {", ".join(f"{e} AS {n}" for n, e in _BIO.items())} FROM prev GROUP BY ALL), {_COMPOSITE}
-    SELECT subject_id, task, round(max_speed, 5) AS max_speed, round(mean_speed, 5) AS mean_speed, round(rom_total, 5) AS rom_total,
-      round(max_speed / (mean_speed + 1e-10), 5) AS peak_speed_ratio, round(1 / (1 + 1e-10), 5) AS path_efficiency FROM max_speed""",
-)
-def composite_metrics(spark, sf):
-    out = features.composite_metrics(features.biomechanics(frames(spark, sf, ANGLE_CH)))
-    return rounded(
-        out.select(*RECORDING, "max_speed", "mean_speed", "rom_total", "peak_speed_ratio", "path_efficiency"), 5
-    )
-
-
 @query(
     "box_statistics",
     f"""WITH {SIGNALS_SQL}, {long_sql(MAGS)}, q AS (SELECT channel, grp, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,

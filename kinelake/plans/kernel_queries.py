@@ -206,7 +206,33 @@ def time_warp(spark, sf):
     return rounded(ko.time_warp(frames(spark, sf, CH), CH), *RECORDING, "frame_idx", digits=5)
 
 
-@query("peak_and_valley_features")
+def peaks_sql(name: str, sign: str) -> str:
+    """CTE ``name``: peaks (or, with a minus, valleys) of head_step; the highest first, those closer than five frames dropped."""
+    part = "PARTITION BY subject_id, task"
+    return f"""{name}_v AS (SELECT subject_id, task, frame_idx, {sign}head_step AS v, {sign}avg(head_step) OVER ({part}) AS m FROM sig),
+    {name}_run AS (SELECT * FROM (SELECT *, lag(v) OVER ({part} ORDER BY frame_idx) AS before FROM {name}_v) WHERE before IS NULL OR before <> v),
+    {name}_top AS (SELECT *, lead(v) OVER o AS behind, lead(frame_idx) OVER o AS nxt FROM {name}_run WINDOW o AS ({part} ORDER BY frame_idx)),
+    {name}_r AS (SELECT subject_id, task, (frame_idx + nxt - 1) // 2 AS peak, v AS height, row_number() OVER ({part} ORDER BY v DESC, frame_idx DESC) AS r
+      FROM {name}_top WHERE before < v AND behind < v AND v >= m),
+    {name}_k AS (SELECT subject_id, task, 0::BIGINT AS r, []::BIGINT[] AS kept FROM sig GROUP BY ALL UNION ALL
+      SELECT k.subject_id, k.task, p.r, CASE WHEN len(list_filter(k.kept, lambda x: abs(x - p.peak) < 5)) = 0 THEN list_append(k.kept, p.peak) ELSE k.kept END
+      FROM {name}_k k JOIN {name}_r p ON p.subject_id = k.subject_id AND p.task = k.task AND p.r = k.r + 1),
+    {name}_last AS (SELECT subject_id, task, arg_max(kept, r) AS kept FROM {name}_k GROUP BY ALL),
+    {name} AS (SELECT l.subject_id, l.task, p.peak, p.height FROM {name}_last l LEFT JOIN {name}_r p ON p.subject_id = l.subject_id AND p.task = l.task AND list_contains(l.kept, p.peak))"""
+
+
+PEAK_SQL = f"""WITH RECURSIVE {SIGNALS_SQL}, {peaks_sql("top", "")}, {peaks_sql("low", "-")},
+    gaps AS (SELECT *, (peak - lag(peak) OVER (PARTITION BY subject_id, task ORDER BY peak)) / 5e1 AS gap FROM top),
+    a AS (SELECT subject_id, task, count(peak) AS num_peaks, avg(height) AS mean_peak_height, max(height) AS max_peak_height, stddev_pop(height) AS std_peak_height,
+      avg(gap) AS mean_inter_peak_interval, stddev_pop(gap) AS std_inter_peak_interval, stddev_pop(gap) / (avg(gap) + 1e-10) AS cv_inter_peak_interval FROM gaps GROUP BY ALL),
+    b AS (SELECT subject_id, task, count(peak) AS num_valleys FROM low GROUP BY ALL)
+    SELECT subject_id, task, num_peaks, num_valleys, round(coalesce(mean_peak_height, 0), 6) AS mean_peak_height, round(coalesce(max_peak_height, 0), 6) AS max_peak_height,
+      round(coalesce(std_peak_height, 0), 6) AS std_peak_height, round(coalesce(mean_inter_peak_interval, 0), 6) AS mean_inter_peak_interval,
+      round(coalesce(std_inter_peak_interval, 0), 6) AS std_inter_peak_interval, round(coalesce(cv_inter_peak_interval, 0), 6) AS cv_inter_peak_interval
+    FROM a JOIN b USING (subject_id, task)"""
+
+
+@query("peak_and_valley_features", PEAK_SQL)
 def peak_and_valley_features(spark, sf):
     return rounded(ko.temporal_features(signals(spark, sf), "head_step"), *RECORDING, "num_peaks", "num_valleys")
 
@@ -265,35 +291,54 @@ def wavelet_packets(spark, sf):
     return rounded(x, *RECORDING, "path", "frequency_order", digits=5)
 
 
-@query("continuous_wavelet")
+CWT_SQL = f"""WITH {SIGNALS_SQL}, xs AS (SELECT subject_id, task, list(Head_mag ORDER BY frame_idx) AS v, count(*) AS n FROM sig GROUP BY ALL),
+    ks AS (SELECT s, max(top) AS top, list(CASE WHEN abs(g) <= 8 * s THEN exp(-pow(g / CAST(s AS DOUBLE), 2) / 2) * cos(5 * g / CAST(s AS DOUBLE)) / sqrt(s) ELSE 0 END ORDER BY g) AS w
+      FROM (SELECT s, top, unnest(range(-top, top + 1)) AS g FROM (SELECT max(n) AS top FROM xs), range(1, 128) r(s)) GROUP BY s),
+    pos AS (SELECT subject_id, task, v, n, unnest(range(0, n)) AS k FROM xs),
+    c AS (SELECT subject_id, task, list_inner_product(v, w[top + 1 - k:top + n - k]) AS c FROM pos, ks)
+    SELECT subject_id, task, round(avg(c * c), 6) AS cwt_mean_energy, round(max(c * c), 6) AS cwt_max_energy FROM c GROUP BY ALL"""
+
+
+@query("continuous_wavelet", CWT_SQL)
 def continuous_wavelet(spark, sf):
     return rounded(ko.continuous_wavelet(series(spark, sf, ["Head_mag"])).drop("channel"), *RECORDING)
 
 
 # ---------------------------------------------------------------- entropies
 
-ENT_SQL = f"""{SIGNALS_SQL}, {long_sql(["Head_mag"])}, e AS (SELECT subject_id, task, frame_idx AS i, value AS a, lead(value) OVER o AS b, lead(value, 2) OVER o AS c,
-    count(*) OVER q AS n, 0.2 * stddev_pop(value) OVER q AS r, 0.2 * stddev_samp(value) OVER q AS rf FROM lng WINDOW o AS (PARTITION BY subject_id, task ORDER BY frame_idx), q AS (PARTITION BY subject_id, task)),
+def ent_sql(signals: list[str]) -> str:
+    """CTE ``ct``: template counts of every position of the signals."""
+    out = f"""{SIGNALS_SQL}, {long_sql(signals)}, e AS (SELECT subject_id, task, channel, frame_idx AS i, value AS a, lead(value) OVER o AS b, lead(value, 2) OVER o AS c,
+    count(*) OVER q AS n, 0.2 * stddev_pop(value) OVER q AS r, 0.2 * stddev_samp(value) OVER q AS rf FROM lng WINDOW o AS (PARTITION BY subject_id, task, channel ORDER BY frame_idx), q AS (PARTITION BY subject_id, task, channel)),
   t AS (SELECT *, (a + b) / 2 AS m2, (a + b + c) / 3 AS m3 FROM e WHERE b IS NOT NULL),
-  pr AS (SELECT x.subject_id, x.task, x.i, x.n, x.c IS NOT NULL AS xin, y.c IS NOT NULL AS yin, greatest(abs(x.a - y.a), abs(x.b - y.b)) <= x.r AS two,
+  pr AS (SELECT x.subject_id, x.task, x.channel, x.i, x.n, x.c IS NOT NULL AS xin, y.c IS NOT NULL AS yin, greatest(abs(x.a - y.a), abs(x.b - y.b)) <= x.r AS two,
     greatest(abs(x.a - y.a), abs(x.b - y.b), abs(x.c - y.c)) <= x.r AS three,
     CASE WHEN x.c IS NOT NULL AND y.c IS NOT NULL AND x.i <> y.i THEN exp(-greatest(abs((x.a - x.m2) - (y.a - y.m2)), abs((x.b - x.m2) - (y.b - y.m2))) / x.rf) ELSE 0 END AS f2,
     CASE WHEN x.c IS NOT NULL AND y.c IS NOT NULL AND x.i <> y.i THEN exp(-greatest(abs((x.a - x.m3) - (y.a - y.m3)), abs((x.b - x.m3) - (y.b - y.m3)), abs((x.c - x.m3) - (y.c - y.m3))) / x.rf) ELSE 0 END AS f3
-    FROM t x JOIN t y ON x.subject_id = y.subject_id AND x.task = y.task),
-  ct AS (SELECT subject_id, task, i, any_value(n) AS n, any_value(xin) AS xin, count(*) FILTER (WHERE two) AS c2, count(*) FILTER (WHERE two AND yin) AS s2,
-    count(*) FILTER (WHERE yin AND xin AND three) AS c3, sum(f2) AS f2, sum(f3) AS f3 FROM pr GROUP BY subject_id, task, i)"""
+    FROM t x JOIN t y ON x.subject_id = y.subject_id AND x.task = y.task AND x.channel = y.channel),
+  ct AS (SELECT subject_id, task, channel, i, any_value(n) AS n, any_value(xin) AS xin, count(*) FILTER (WHERE two) AS c2, count(*) FILTER (WHERE two AND yin) AS s2,
+    count(*) FILTER (WHERE yin AND xin AND three) AS c3, sum(f2) AS f2, sum(f3) AS f3 FROM pr GROUP BY subject_id, task, channel, i)"""
+    return out
 
 
 @query(
     "template_entropies",
-    f"""WITH {ENT_SQL} SELECT subject_id, task, round(-ln(nullif(CAST(sum(c3 - 1) FILTER (WHERE xin) AS DOUBLE) / sum(s2 - 1) FILTER (WHERE xin), 0)), 6) + 0 AS sample_entropy,
+    f"""WITH {ent_sql(["Head_mag"])} SELECT subject_id, task, round(-ln(nullif(CAST(sum(c3 - 1) FILTER (WHERE xin) AS DOUBLE) / sum(s2 - 1) FILTER (WHERE xin), 0)), 6) + 0 AS sample_entropy,
       round(avg(ln(c2 / (n - 1))) - avg(CASE WHEN xin THEN ln(c3 / (n - 2)) END), 6) + 0 AS approx_entropy, round(-ln(sum(f3) / sum(f2)), 6) + 0 AS fuzzy_entropy FROM ct GROUP BY ALL""",
 )
 def template_entropies(spark, sf):
     return rounded(ko.entropies(series(spark, sf, ["Head_mag"])).drop("channel"), *RECORDING)
 
 
-@query("lempel_ziv_complexity")
+LZ_SQL = f"""WITH RECURSIVE {SIGNALS_SQL}, {long_sql(MAGS)}, md AS (SELECT *, median(value) OVER (PARTITION BY {PART}) AS md FROM lng),
+    b AS (SELECT {PART}, string_agg(CASE WHEN value > md THEN '1' ELSE '0' END, '' ORDER BY frame_idx) AS bits, count(*) AS n FROM md GROUP BY {PART}),
+    z AS (SELECT {PART}, bits, n, 0::BIGINT AS first, 1::BIGINT AS size, 0::BIGINT AS phrases FROM b UNION ALL
+      SELECT {PART}, bits, n, CASE WHEN seen THEN first ELSE first + size END, CASE WHEN seen THEN size + 1 ELSE 1 END, CASE WHEN seen THEN phrases ELSE phrases + 1 END
+      FROM (SELECT *, first + size <= n AND contains(substr(bits, 1, first + size - 1), substr(bits, first + 1, size)) AS seen FROM z WHERE first < n))
+    SELECT {PART}, round(phrases / (n / (ln(n) / ln(2e0))), 6) AS lempel_ziv FROM z WHERE first >= n AND n > 1"""
+
+
+@query("lempel_ziv_complexity", LZ_SQL)
 def lempel_ziv_complexity(spark, sf):
     return rounded(ko.lempel_ziv(series(spark, sf, MAGS)), *RECORDING, "channel")
 

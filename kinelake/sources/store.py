@@ -39,6 +39,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/data"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove what an unfinished job has left under ``path``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_recordings(df: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
     """Store recordings partitioned by task and group; a dry run writes nothing."""
     if not dry_run:
