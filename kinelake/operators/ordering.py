@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from contextlib import contextmanager
-from contextvars import ContextVar
 from functools import reduce
 from operator import and_
 
@@ -29,8 +28,8 @@ GLOBAL_BUCKET = 1 << 17
 VALUE_MAP = 1 << 19  # distinct values the built-in percentile may hold for one group
 
 
-#: (keys, rows): no group of these keys, or of more keys, has more rows. Set by ``bounded`` alone.
-KNOWN: ContextVar[tuple[frozenset[str], int] | None] = ContextVar("known_largest_group", default=None)
+#: (keys, rows), the innermost last: no group of these keys, or of more keys, has more rows. Set by ``bounded`` alone.
+KNOWN: list[tuple[frozenset[str], int]] = []
 
 
 @contextmanager
@@ -39,18 +38,17 @@ def bounded(keys: list[str], rows: int):
 
     The number only chooses between plans that give the same result.
     """
-    token = KNOWN.set((frozenset(keys), rows))
+    KNOWN.append((frozenset(keys), rows))
     try:
         yield
     finally:
-        KNOWN.reset(token)
+        KNOWN.pop()
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Rows under the heaviest key, counted unless ``bounded`` (partial counts combine map-side; one row reaches the driver)."""
-    known = KNOWN.get()
-    if known is not None and known[0] <= set(keys):
-        return known[1]
+    if KNOWN and KNOWN[-1][0] <= set(keys):
+        return KNOWN[-1][1]
     counts = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return int(counts.agg(F.max("n").alias("m")).first()["m"] or 0)
 

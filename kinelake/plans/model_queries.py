@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from kinelake.config import CHANNELS, RECORDING
 from kinelake.functions.expr import rnd
-from kinelake.operators import classify, evaluate, features, hmm, reshape, states
+from kinelake.operators import classify, evaluate, features, hmm, loso, reshape, states
 from kinelake.plans.evaluation_queries import rounded
 from kinelake.plans.fixtures import frames, frames_sql
 from kinelake.plans.registry import query
+from kinelake.sources.store import scratch_path
 
 CH = ["head_pos_x", "left_hand_pos_y"]
 # A fixed two-state model on scaled channels: deterministic input for scoring and decoding.
@@ -106,16 +107,62 @@ def hmm_label_pairs(spark, sf):
     return spark.createDataFrame(rows, "label STRING, flag INT, state INT, mean DOUBLE")
 
 
+def labelled(spark, sf):
+    return frames(spark, sf, CH).withColumn("y", F.col("subject_id").startswith("px").cast("int"))
+
+
 @query("hmm_loso_metrics")
 def hmm_loso_metrics(spark, sf):
-    """Per task: every subject held out once, its class refitted without it, then the metrics."""
-    x = scaled(spark, sf)
-    subjects = x.select("subject_id", "y").distinct()
-    folds = subjects.join(evaluate.subject_folds(subjects), "subject_id")
-    p = hmm.loso_predictions(x, CH, folds, x, 2, 2, group=["task"])
+    """Per task: every subject held out once, scaler, start values and both models without it, then the metrics."""
+    p = loso.evaluate_grid(labelled(spark, sf), CH, scratch_path(spark, "loso"), [loso.Setting(2, "diag", 2)], group=["task"])
     return rounded(evaluate.binary_metrics(p, ["task"], None), "task")
 
 
+_Q = loso.PLACES[2][1]
+# One EM step of every fold's models from equal transitions, where a frame's posterior needs no other frame; then the
+# scaled forward recursion of the held-out recordings under both models.
+STEP_SQL = f"""WITH RECURSIVE frames AS ({frames_sql(CH)}), x AS (SELECT subject_id, task, frame_idx, CASE WHEN subject_id LIKE 'px%' THEN 1 ELSE 0 END AS y, {CH[0]} AS a, {CH[1]} AS b FROM frames),
+  own AS (SELECT task, subject_id, y, CAST(count(*) AS DOUBLE) AS n, sum(a) AS sa, sum(b) AS sb, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM x GROUP BY ALL),
+  tot AS (SELECT task, y, sum(n) AS n, sum(sa) AS sa, sum(sb) AS sb, sum(aa) AS aa, sum(ab) AS ab, sum(bb) AS bb FROM own GROUP BY ALL),
+  lft AS (SELECT f.task, f.subject_id AS fold, t.y, {", ".join(f"t.{c} - CASE WHEN f.y = t.y THEN f.{c} ELSE 0 END AS {c}" for c in ("n", "sa", "sb", "aa", "ab", "bb"))}
+    FROM own f JOIN tot t ON t.task = f.task),
+  sc AS (SELECT task, fold, sum(sa) / sum(n) AS ha, sum(sb) / sum(n) AS hb, sqrt(sum(aa) / sum(n) - pow(sum(sa) / sum(n), 2)) AS da, sqrt(sum(bb) / sum(n) - pow(sum(sb) / sum(n), 2)) AS db FROM lft GROUP BY ALL),
+  cl AS (SELECT l.*, ha, hb, da, db, (sa / n - ha) / da AS ma, (sb / n - hb) / db AS mb, (aa / n - pow(sa / n, 2)) / (da * da) AS va, (bb / n - pow(sb / n, 2)) / (db * db) AS vb,
+    (ab / n - sa / n * sb / n) / (da * db) AS co FROM lft l JOIN sc s ON s.task = l.task AND s.fold = l.fold),
+  st AS (SELECT task, fold, y, ha, hb, da, db, va + 1e-3 AS va, vb + 1e-3 AS vb, ma - {_Q} * sqrt(va) AS a0, ma + {_Q} * sqrt(va) AS a1,
+    mb - {_Q} * sqrt(va) * co / va AS b0, mb + {_Q} * sqrt(va) * co / va AS b1 FROM cl),
+  z AS (SELECT s.task, s.fold, s.y, x.subject_id, x.frame_idx, (x.a - ha) / da AS a, (x.b - hb) / db AS b, va, vb, a0, a1, b0, b1 FROM st s JOIN x ON x.task = s.task AND x.y = s.y AND x.subject_id <> s.fold),
+  g AS (SELECT *, 1 / (1 + exp(-0.5 * ((pow(a - a1, 2) - pow(a - a0, 2)) / va + (pow(b - b1, 2) - pow(b - b0, 2)) / vb))) AS g0 FROM z),
+  gl AS (SELECT *, lag(g0) OVER (PARTITION BY task, fold, y, subject_id ORDER BY frame_idx) AS p0 FROM g),
+  m AS (SELECT task, fold, y, {", ".join(f"sum({w} * {v}) / sum({w}) AS m{v}{k}, greatest(sum({w} * {v} * {v}) / sum({w}) - pow(sum({w} * {v}) / sum({w}), 2), 0) + 1e-3 AS v{v}{k}" for k, w in enumerate(("g0", "(1 - g0)")) for v in "ab")},
+    sum(p0 * g0) / sum(CASE WHEN p0 IS NOT NULL THEN p0 END) AS t00, sum((1 - p0) * g0) / sum(1 - p0) AS t10, avg(g0) FILTER (WHERE p0 IS NULL) AS s0 FROM gl GROUP BY ALL),
+  e AS MATERIALIZED (SELECT x.subject_id, x.task, x.y AS y_true, m.y, x.frame_idx, t00, t10, s0, count(*) OVER (PARTITION BY x.subject_id, x.task, m.y) AS n,
+    {", ".join(f"exp(-0.5 * (pow((x.a - ha) / da - ma{k}, 2) / va{k} + pow((x.b - hb) / db - mb{k}, 2) / vb{k})) / (2 * pi() * sqrt(va{k} * vb{k})) AS e{k}" for k in (0, 1))}
+    FROM x JOIN m ON m.task = x.task AND m.fold = x.subject_id JOIN sc ON sc.task = x.task AND sc.fold = x.subject_id),
+  f AS (SELECT subject_id, task, y_true, y, n, frame_idx AS i, s0 * e0 / (s0 * e0 + (1 - s0) * e1) AS f0, ln(s0 * e0 + (1 - s0) * e1) AS ll FROM e WHERE frame_idx = 0
+    UNION ALL SELECT subject_id, task, y_true, y, n, i, u0 / (u0 + u1), ll + ln(u0 + u1) FROM (SELECT f.subject_id, f.task, f.y_true, f.y, f.n, e.frame_idx AS i, ll,
+      (f0 * t00 + (1 - f0) * t10) * e0 AS u0, (f0 * (1 - t00) + (1 - f0) * (1 - t10)) * e1 AS u1 FROM f JOIN e ON e.subject_id = f.subject_id AND e.task = f.task AND e.y = f.y AND e.frame_idx = f.i + 1)),
+  p AS (SELECT subject_id, task, y_true, n AS n_frames, max(ll) FILTER (WHERE y = 0) AS ll_0, max(ll) FILTER (WHERE y = 1) AS ll_1 FROM f WHERE i = n - 1 GROUP BY ALL)
+  SELECT subject_id, task, y_true, n_frames, round(ll_0, 4) + 0 AS ll_0, round(ll_1, 4) + 0 AS ll_1, round(1 / (1 + exp(-(ll_1 - ll_0) / n_frames)), 6) AS y_proba,
+    CAST(ll_1 >= ll_0 AS INT) AS y_pred FROM p"""
+
+
+@query("hmm_loso_one_step", STEP_SQL)
+def hmm_loso_one_step(spark, sf):
+    """Every subject held out once per task, both class models of its fold after one EM step, and its recordings' scores."""
+    p = loso.evaluate_grid(labelled(spark, sf), CH, scratch_path(spark, "loso"), [loso.Setting(2, "diag", 1)], group=["task"])
+    out = p.select(*RECORDING, "y_true", "n_frames", rnd("ll_0", 4).alias("ll_0"), rnd("ll_1", 4).alias("ll_1"), rnd("y_proba").alias("y_proba"), "y_pred")
+    return out
+
+
+@query("hmm_loso_grid")
+def hmm_loso_grid(spark, sf):
+    """Per task: the best of four settings by the balanced accuracy of its held-out predictions."""
+    grid = [loso.Setting(k, cov, 2) for k in (2, 3) for cov in ("diag", "full")]
+    p = loso.evaluate_grid(labelled(spark, sf), CH, scratch_path(spark, "loso"), grid, group=["task"])
+    return rounded(loso.best_setting(p, ["task"]), "task", "setting")
+
+
 @query(
     "hsmm_duration_rates",
     DECODE_SQL.replace("SELECT p.subject_id, p.task, p.i AS frame_idx", ", dec AS (SELECT p.subject_id, p.task, p.i AS frame_idx")
