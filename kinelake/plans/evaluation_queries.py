@@ -345,45 +345,42 @@ def outlier_folds(spark, sf):
 
 # ---------------------------------------------------------------- importance
 
-# A fixed linear scorer on frames: enough to see which channel a score depends on.
-IMP_CH = ["head_pos_x", "left_hand_pos_y", "right_hand_pos_z"]
-IMP_FRAMES = f"frames AS ({frames_sql(IMP_CH)}), f AS (SELECT concat_ws('|', subject_id, CAST(task AS STRING), CAST(frame_idx AS STRING)) AS k, * FROM frames)"
+def twins_sql(source: str, name: str, channels: list[str], repeats: int, seed: int = 42) -> str:
+    """CTE ``name``: rows of ``source`` (subject_id, task, frame_idx, ..) once per repeat with t_<channel> of their twins."""
+    u = unit_sql("subject_id", "CAST(task AS STRING)", "CAST(frame_idx AS STRING)", str(seed))
+    return f"""{name}_p AS (SELECT *, row_number() OVER (ORDER BY {u}) - 1 AS pos, count(*) OVER () AS n FROM {source}),
+    {name} AS (SELECT a.*, r, {", ".join(f"b.{c} AS t_{c}" for c in channels)} FROM {name}_p a, range(0, {repeats}) t(r), {name}_p b
+      WHERE b.pos = (a.pos + (2 * r + 1) * a.n // {2 * repeats}) % a.n)"""
 
 
-def _scored(df):
-    """Balanced accuracy of a threshold rule against a label that only two channels carry."""
-    p = df.withColumns(
-        {"y_pred": (F.col("head_pos_x") + F.col("right_hand_pos_z") > 0.9).cast("int"), "y_true": F.col("label")}
-    )
-    return ev.binary_metrics(p, digits=None).select(F.col("ba").alias("score"))
+REPEATS = 5
+_LABEL = "head_pos_x * 1.1 + right_hand_pos_z > 1"
 
 
-def _shuffle_sql(c: str, seed: int) -> str:
-    return f"""sh_{c} AS (SELECT a.label, {", ".join("b.v AS " + x if x == c else "a." + x for x in IMP_CH)} FROM
-      (SELECT *, row_number() OVER (ORDER BY {unit_sql("k", str(seed))}, k) AS pos FROM lab) a JOIN
-      (SELECT {c} AS v, row_number() OVER (ORDER BY {unit_sql("k", str(seed + 104729))}, k) AS pos FROM lab) b ON a.pos = b.pos)"""
+def _rule(shuffled: str = "") -> str:
+    terms = " + ".join(f"coalesce(w_{c} * ({'t_' if c == shuffled else ''}{c} - h_{c}), 0)" for c in CHANNELS)
+    return f"CASE WHEN 0e0 + {terms} > 0 THEN 1 ELSE 0 END"
 
 
-def _ba_sql(src: str) -> str:
-    p = "head_pos_x + right_hand_pos_z > 0.9"
-    return (
-        f"(SELECT (avg(CASE WHEN {p} THEN 1.0 ELSE 0.0 END) FILTER (WHERE label = 1) + "
-        f"avg(CASE WHEN {p} THEN 0.0 ELSE 1.0 END) FILTER (WHERE label = 0)) / 2 FROM {src})"
-    )
+def _ba(rule: str) -> str:
+    return " + ".join(f"avg(CASE WHEN label = {y} THEN CAST({rule} = {y} AS INT)::DOUBLE END) / 2" for y in (1, 0))
 
 
 @query(
     "permutation_importance",
-    f"""WITH {IMP_FRAMES}, lab AS (SELECT *, CASE WHEN head_pos_x * 1.1 + right_hand_pos_z > 1 THEN 1 ELSE 0 END AS label FROM f),
-    {", ".join(_shuffle_sql(c, 42 + 1000 * i) for i, c in enumerate(IMP_CH))},
-    d AS ({" UNION ALL ".join(f"SELECT '{c}' AS channel, {_ba_sql('lab')} - {_ba_sql('sh_' + c)} AS importance" for c in IMP_CH)})
-    SELECT channel, round(importance, 6) + 0 AS importance, row_number() OVER (ORDER BY importance DESC, channel) AS rank FROM d""",
+    f"""WITH frames AS ({frames_sql(CHANNELS)}), lab AS (SELECT *, CASE WHEN {_LABEL} THEN 1 ELSE 0 END AS label FROM frames),
+    m AS (SELECT {", ".join(f"(avg({c}) FILTER (WHERE label = 1) - avg({c}) FILTER (WHERE label = 0)) / var_pop({c}) AS w_{c}, (avg({c}) FILTER (WHERE label = 1) + avg({c}) FILTER (WHERE label = 0)) / 2 AS h_{c}" for c in CHANNELS)} FROM lab),
+    {twins_sql("lab", "tw", CHANNELS, REPEATS)},
+    s AS (SELECT r, {_ba(_rule())} AS base, {", ".join(f"{_ba(_rule(c))} AS {c}" for c in CHANNELS)} FROM tw, m GROUP BY r),
+    d AS (SELECT channel, base - score AS fall FROM s UNPIVOT (score FOR channel IN ({", ".join(CHANNELS)}))),
+    i AS (SELECT channel, avg(fall) AS importance, stddev_pop(fall) AS std FROM d GROUP BY 1)
+    SELECT channel, round(importance, 6) + 0 AS importance, round(std, 6) + 0 AS std, row_number() OVER (ORDER BY importance DESC, channel) AS rank FROM i""",
 )
 def permutation_importance(spark, sf):
-    x = frames(spark, sf, IMP_CH).withColumn("k", F.concat_ws("|", "subject_id", F.col("task").cast("string"), F.col("frame_idx").cast("string")))
-    x = x.withColumn("label", (F.col("head_pos_x") * 1.1 + F.col("right_hand_pos_z") > 1).cast("int"))
-    imp = ev.permutation_importance(x, IMP_CH, ["k"], _scored, repeats=1)
-    return imp.select("channel", rnd("importance").alias("importance"), "rank")
+    """All channels, five repeats, a linear rule fitted to the frames."""
+    x = frames(spark, sf).withColumn("label", F.expr(_LABEL).cast("int"))
+    imp = ev.permutation_importance(x, CHANNELS, [*RECORDING, "frame_idx"], "label", ev.fit_linear(x, CHANNELS, "label"), REPEATS)
+    return imp.select("channel", rnd("importance").alias("importance"), rnd("std").alias("std"), "rank")
 
 
 IMPORT_SQL = f"imp AS (SELECT task, model, channel, value FROM (SELECT config AS task, model, avg(epochs) / 7e1 AS head_pos_x, avg(train_acc) AS left_hand_rot_y, avg(val_acc) AS right_hand_pos_z, max(val_acc) / 3 AS head_rot_x, min(val_acc) - 0.1 AS head_pos_z FROM folds GROUP BY ALL) UNPIVOT (value FOR channel IN (head_pos_x, left_hand_rot_y, right_hand_pos_z, head_rot_x, head_pos_z)))"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinelake.config import CHANNELS, RECORDING
 from kinelake.functions.expr import rnd
 from kinelake.operators import classify, evaluate, features, hmm, loso, reshape, states
-from kinelake.plans.evaluation_queries import rounded
+from kinelake.plans.evaluation_queries import rounded, twins_sql
 from kinelake.plans.fixtures import frames, frames_sql
 from kinelake.plans.registry import query
 from kinelake.sources.store import scratch_path
@@ -121,7 +121,9 @@ def hmm_loso_metrics(spark, sf):
 _Q = loso.PLACES[2][1]
 # One EM step of every fold's models from equal transitions, where a frame's posterior needs no other frame; then the
 # scaled forward recursion of the held-out recordings under both models.
-STEP_SQL = f"""WITH RECURSIVE frames AS ({frames_sql(CH)}), x AS (SELECT subject_id, task, frame_idx, CASE WHEN subject_id LIKE 'px%' THEN 1 ELSE 0 END AS y, {CH[0]} AS a, {CH[1]} AS b FROM frames),
+def step_sql(source: str) -> str:
+    """Predictions after one step; ``source`` are CTEs that end in x (subject_id, task, frame_idx, y, a, b)."""
+    return f"""WITH RECURSIVE {source},
   own AS (SELECT task, subject_id, y, CAST(count(*) AS DOUBLE) AS n, sum(a) AS sa, sum(b) AS sb, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM x GROUP BY ALL),
   tot AS (SELECT task, y, sum(n) AS n, sum(sa) AS sa, sum(sb) AS sb, sum(aa) AS aa, sum(ab) AS ab, sum(bb) AS bb FROM own GROUP BY ALL),
   lft AS (SELECT f.task, f.subject_id AS fold, t.y, {", ".join(f"t.{c} - CASE WHEN f.y = t.y THEN f.{c} ELSE 0 END AS {c}" for c in ("n", "sa", "sb", "aa", "ab", "bb"))}
@@ -147,6 +149,18 @@ STEP_SQL = f"""WITH RECURSIVE frames AS ({frames_sql(CH)}), x AS (SELECT subject
     CAST(ll_1 >= ll_0 AS INT) AS y_pred FROM p"""
 
 
+def step_source(a: str = CH[0], b: str = CH[1], src: str = "frames") -> str:
+    return f"x AS (SELECT subject_id, task, frame_idx, CASE WHEN subject_id LIKE 'px%' THEN 1 ELSE 0 END AS y, {a} AS a, {b} AS b FROM {src})"
+
+
+STEP_SQL = step_sql(f"frames AS ({frames_sql(CH)}), {step_source()}")
+_TWINS = f"frames AS ({frames_sql(CH)}), {twins_sql('frames', 'tw', CH, 1)}"
+
+
+def _ba_by_task(sql: str) -> str:
+    return f"SELECT task, (avg(y_pred::DOUBLE) FILTER (WHERE y_true = 1) + avg(1 - y_pred::DOUBLE) FILTER (WHERE y_true = 0)) / 2 AS ba FROM ({sql}) GROUP BY task"
+
+
 @query("hmm_loso_one_step", STEP_SQL)
 def hmm_loso_one_step(spark, sf):
     """Every subject held out once per task, both class models of its fold after one EM step, and its recordings' scores."""
@@ -155,6 +169,22 @@ def hmm_loso_one_step(spark, sf):
     return out
 
 
+_SHUFFLED = {CH[0]: step_source(f"t_{CH[0]}", CH[1], "tw"), CH[1]: step_source(CH[0], f"t_{CH[1]}", "tw")}
+
+
+@query(
+    "hmm_channel_drops",
+    f"""WITH base AS ({_ba_by_task(STEP_SQL)}), c AS ({" UNION ALL ".join(f"SELECT '{c}' AS channel, * FROM ({_ba_by_task(step_sql(f'{_TWINS}, {source}'))})" for c, source in _SHUFFLED.items())}),
+    d AS (SELECT c.task, channel, c.ba, base.ba - c.ba AS fall FROM c JOIN base ON base.task = c.task),
+    s AS (SELECT *, sum(greatest(fall, 0)) OVER (PARTITION BY task) AS total FROM d)
+    SELECT task, channel, round(ba, 6) AS ba, round(fall, 6) + 0 AS "drop", round(CASE WHEN total > 1e-12 THEN greatest(fall, 0) / total ELSE 0.5 END, 6) + 0 AS importance FROM s""",
+)
+def hmm_channel_drops(spark, sf):
+    """Per task: the fall of held-out accuracy with each channel of the model permuted, as shares."""
+    out = loso.channel_drops(labelled(spark, sf), CH, scratch_path(spark, "drops"), loso.Setting(2, "diag", 1), group=["task"])
+    return rounded(out, "task", "channel")
+
+
 @query("hmm_loso_grid")
 def hmm_loso_grid(spark, sf):
     """Per task: the best of four settings by the balanced accuracy of its held-out predictions."""

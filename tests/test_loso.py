@@ -85,3 +85,34 @@ def test_one_class_gives_no_fold_and_the_best_setting_is_chosen(spark, data, tmp
     rows = [("a", 1, 1), ("a", 0, 1), ("b", 1, 1), ("b", 0, 0), ("c", 1, 1), ("c", 0, 0)]
     best = loso.best_setting(spark.createDataFrame(rows, "setting string, y_true int, y_pred int")).first()
     assert (best["setting"], best["ba"]) == ("b", 1.0)
+
+
+def test_twins_are_a_permutation_of_the_rows(spark):
+    from kinelake.operators.evaluate import shuffled_twins
+
+    df = spark.createDataFrame([(f"s{i}", i, float(i % 7), -float(i)) for i in range(101)], "k string, i int, x double, y double").repartition(4)
+    found = shuffled_twins(df, ["i", "x", "y"], ["k"], 3).collect()
+    for r in range(3):
+        rows = [f for f in found if f["repeat"] == r]
+        assert sorted(f["twin"]["i"] for f in rows) == sorted(f["i"] for f in rows) == list(range(101))
+        assert all(f["twin"]["i"] != f["i"] and f["twin"]["y"] == -f["twin"]["i"] for f in rows)
+    assert len({(f["i"], f["twin"]["i"]) for f in found}) == 303
+    assert shuffled_twins(df.limit(0), ["x"], ["k"], 3).count() == 0
+
+
+def test_importance_names_the_channels_that_carry_the_label(spark):
+    from kinelake.operators.evaluate import fit_linear, permutation_importance
+
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(600, 3))
+    rows = [(i, float(a), float(b), float(c), int(a + 0.3 * b > 0), 1.0) for i, (a, b, c) in enumerate(v)]
+    df = spark.createDataFrame(rows, "i long, a double, b double, c double, label int, d double")
+    channels = ["a", "b", "c", "d"]
+    found = {r["channel"]: r for r in permutation_importance(df, channels, ["i"], "label", fit_linear(df, channels, "label"), 4).collect()}
+    assert found["a"]["rank"] == 1 and found["a"]["importance"] > 0.3 > found["b"]["importance"] > 0.02
+    assert abs(found["c"]["importance"]) < 0.02 and found["d"]["importance"] == 0.0
+
+
+def test_channel_drops_are_shares(data, tmp_path):
+    found = loso.channel_drops(data, CH, str(tmp_path / "d"), GRID[0], cls="cl", group=["task"]).toPandas()
+    assert len(found) == 4 and np.allclose(found.groupby("task")["importance"].sum(), 1.0) and (found["importance"] >= 0).all()
