@@ -3,8 +3,8 @@
 A plain ``Window.partitionBy(subject)`` puts a whole recording into one task. One recording may
 hold a third of the data, so everything here first cuts the order axis:
 
-* ``cumulate`` splits each key's order axis into equal-width buckets sized from the key's row count,
-  runs the window inside (key, bucket), and adds per-bucket offsets.
+* ``cumulate`` splits the order axis of all keys into ranges of equal depth, runs the window inside
+  (key, range), and adds per-range offsets.
 * ``blocked`` cuts an already indexed series into fixed-size blocks and copies a few halo rows over
   each border, so lag/lead/sliding windows run inside (key, block).
 
@@ -21,6 +21,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelake.sources.store import reliable
+
 ROWS_PER_BUCKET = 1 << 21
 BLOCK = 1 << 16
 BROADCAST_ROWS = 1_000_000
@@ -94,7 +96,8 @@ def cumulate(
 ) -> DataFrame:
     """Inclusive running sums (or minima) of ``weights`` per key along ``order``.
 
-    ``by`` is a non-null number that never decreases along ``order``; it is what gets bucketed.
+    Rows that are equal in all of ``order`` stay in one bucket, so make them one row with a weight where many are.
+    ``by`` is a number that never decreases along ``order``; callers give it, the buckets need only ``order``.
     ``max_rows`` is the largest group size if the caller already knows it.
     """
     order = list(order)
@@ -108,14 +111,11 @@ def cumulate(
         w = running(Window.partitionBy(*keys).orderBy(*order))
         return df.withColumns({name: agg(expr).over(w) for name, expr in weights.items()})
 
-    tagged = df.withColumn("_by", by.cast("double"))
-    stats = tagged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_by").alias("_lo"), F.max("_by").alias("_hi")
-    )
-    tagged = _join_on(tagged, stats, keys)
-    n_buckets = F.ceil(F.col("_n") / F.lit(float(rows_per_bucket)))
-    place = F.coalesce(F.try_divide(F.col("_by") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    tagged = tagged.withColumn("_b", F.least(F.floor(place * n_buckets), n_buckets - 1).cast("long"))
+    # Ranges of equal depth along (keys, order), as Spark samples them: outliers, ties in the first order column and long
+    # common prefixes of strings make no large bucket. They are stored, as a second sample would cut elsewhere.
+    parts = -(-3 * df.count() // (2 * rows_per_bucket))
+    tagged = df.repartitionByRange(parts, *keys, *order).withColumn("_b", F.spark_partition_id().cast("long"))
+    tagged = reliable(tagged)
     sums = tagged.groupBy(*keys, "_b").agg(*[agg(e).alias(f"_s_{n}") for n, e in weights.items()])
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "_b", *[agg(f"_s_{n}").over(before).alias(f"_o_{n}") for n in weights])
@@ -127,7 +127,7 @@ def cumulate(
     else:  # least() skips the NULL offset of the first bucket
         merged = {n: F.least(n, f"_o_{n}") for n in weights}
     out = out.withColumns(merged)
-    return out.drop("_by", "_n", "_lo", "_hi", "_b", *[f"_o_{n}" for n in weights])
+    return out.drop("_b", *[f"_o_{n}" for n in weights])
 
 
 def position(

@@ -189,3 +189,26 @@ def test_channels_without_values_and_null_keys_stay_at_any_size(spark):
     for size in (4, 100):
         sums = ordering.running_sum(df, ["k"], {"s": "x"}, size=size)
         assert sorted((str(r["k"]), r["frame_idx"], r["s"]) for r in sums.collect()) == sorted((str(k), i, i * (i + 1) / 2) for k, i, _, _ in rows)
+
+
+@pytest.mark.parametrize("kind", ["outlier", "zeros", "prefix"])
+def test_buckets_are_of_equal_depth(spark, monkeypatch, kind):
+    """An outlier, nine tenths of one value and strings with a long common prefix make no bucket above twice the target."""
+    make = {"outlier": lambda i: 1e12 if i == 7 else i / 1e3, "zeros": lambda i: max(0.0, i - 3600.0), "prefix": lambda i: f"a-common-prefix-of-strings-{i:06d}"}[kind]
+    rows = [("k" if i % 3 else "j", make(i), i, 1.0) for i in range(4000)]
+    df = spark.createDataFrame(rows, f"key string, v {'string' if kind == 'prefix' else 'double'}, i int, w double").repartition(6)
+    sizes = []
+    store = ordering.reliable
+
+    def seen(tagged):
+        out = store(tagged)
+        sizes.extend(r["count"] for r in out.groupBy("_b").count().collect())
+        return out
+
+    monkeypatch.setattr(ordering, "reliable", seen)
+    found = ordering.cumulate(df, ["key"], F.lit(0.0), ["v", "i"], {"c": F.col("w")}, 200).collect()
+    assert len(sizes) > 15 and max(sizes) <= 400
+    rank = {}
+    for r in sorted(found, key=lambda r: (r["key"], r["v"], r["i"])):
+        rank[r["key"]] = rank.get(r["key"], 0) + 1
+        assert r["c"] == rank[r["key"]]
