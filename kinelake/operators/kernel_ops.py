@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from kinelake.functions import kernels
 from kinelake.functions.expr import normal_hash
 from kinelake.operators import ordering
 from kinelake.operators.blocks import SERIES_LIMIT, per_group
-from kinelake.operators.reshape import lengths, with_length
+from kinelake.operators.reshape import augmentation_plan, lengths, with_length
 
 # ---------------------------------------------------------------- filters and splines
 
@@ -143,6 +145,50 @@ def time_warp(df: DataFrame, channels: list[str], sigma: float = 0.2, knot: int
     return x.withColumns(made).select(*keys, F.col("_j").alias("frame_idx"), *channels)
 
 
+def augmented(
+    df: DataFrame, channels: list[str], methods: list[str], rounds: int = 1, seed: int = 42, jitter: float = 0.01, sigma: float = 0.2, knot: int = 4, keys: list[str] = RECORDING
+) -> DataFrame:
+    """(sample_id, keys, method, copy_no, frame_idx, channels): each recording and its copies, each by its own method and seed.
+
+    Methods are jitter, magnitude_warp and time_warp; ids and seeds are those of ``augmentation_plan``. Jitter and
+    magnitude warp of all copies are one projection, with curves of one row for each recording and copy; a time warp
+    moves frames and is done once for each of its copies. A copy keeps its subject, so it stays in that subject's fold.
+    """
+    known = {"jitter", "magnitude_warp", "time_warp"}
+    if not set(methods) <= known:
+        raise ValueError(f"unknown methods: {sorted(set(methods) - known)}")
+    x = df.select(*keys, "frame_idx", *channels)
+    names = ["sample_id", *keys, "method", "copy_no", "frame_idx", *channels]
+    recordings = augmentation_plan(lengths(x, keys), methods, rounds, seed)
+    placed = [m for m in methods if m != "time_warp"]
+    parts = []
+    per = recordings.filter(F.col("method") != "time_warp")
+    coef = _curve_coefficients(knot + 2)
+    per = per.withColumns({f"_d{i}": 1.0 + sigma * normal_hash(*keys, F.lit(i), seed=F.col("seed")) for i in range(knot + 2)})
+    lin = lambda w: sum((F.col(f"_d{i}") * float(v) for i, v in enumerate(w)), F.lit(0.0))
+    pieces = F.array(*[F.array(*[lin(coef[m][p]) for p in range(4)]) for m in range(knot + 1)])
+    per = per.select("sample_id", *keys, "method", "copy_no", "seed", F.col("n_frames").alias("_n"), F.when(F.col("method") == "magnitude_warp", pieces).alias("_pieces"))
+    y = x.join(per, keys) if placed else x.join(per.filter("copy_no < 0"), keys)
+    u = F.col("frame_idx") * F.lit(float(knot + 1)) / F.greatest(F.col("_n") - 1, F.lit(1))
+    m = F.least(F.floor(u), F.lit(knot)).cast("int")
+    y = y.withColumns({"_t": u - m, "_c": F.get("_pieces", m)})
+    c, t = F.col("_c"), F.col("_t")
+    curve = c[0] + t * (c[1] + t * (c[2] + t * c[3]))
+    made = {
+        ch: F.when(F.col("method") == "jitter", F.col(ch) + jitter * normal_hash(*keys, "frame_idx", F.lit(ch), seed=F.col("seed")))
+        .when(F.col("method") == "magnitude_warp", F.col(ch) * curve)
+        .otherwise(F.col(ch))
+        for ch in channels
+    }
+    parts.append(y.withColumns(made).select(*names))
+    for k in range(rounds):
+        for i, method in enumerate(methods):
+            if method == "time_warp":
+                copy = recordings.filter(F.col("copy_no") == k * len(methods) + i).select("sample_id", *keys, "method", "copy_no")
+                parts.append(time_warp(x, channels, sigma, knot, seed + k + i, keys).join(copy, keys).select(*names))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---------------------------------------------------------------- peaks
 
 

@@ -219,6 +219,27 @@ def scale_held_out(
     return x.withColumns(cols).drop("n_frames", "t_min", *[f"{c}__{k}" for c in channels for k in "ms"])
 
 
+def fold_rows(
+    df: DataFrame, scalers: DataFrame, fold, channels: list[str], held_out: bool = False, keys: list[str] = RECORDING, subject: str = "subject_id", trim: bool = True
+) -> DataFrame:
+    """Training (or held-out) rows of one fold under its scaler.
+
+    ``scalers`` has one row for each fold, which is all that is kept of the folds: a fold's rows are scaled while they are
+    read. With ``trim`` every sample keeps its last t_min frames; a shorter held-out one is padded with zeros in front.
+    A fold that ``scalers`` does not have gives no rows.
+    """
+    own = scalers.filter(F.col("fold") == fold)
+    if held_out:
+        return scale_held_out(df.filter(F.col(subject) == fold), own, channels, keys, subject, trim)
+    rows = df.filter(F.col(subject) != fold)
+    if not trim:
+        return apply_scaler(rows, own.drop("fold", "t_min"), channels)
+    rows = with_length(rows, keys).crossJoin(F.broadcast(own.select("t_min")))  # at most one row
+    start = F.col("n_frames") - F.col("t_min")
+    rows = rows.filter(F.col("frame_idx") >= start).withColumn("frame_idx", F.col("frame_idx") - start).drop("n_frames", "t_min")
+    return apply_scaler(rows, own.drop("fold", "t_min"), channels)
+
+
 def jitter(df: DataFrame, channels: list[str], keys: list[str] = RECORDING, sigma: float = 0.01, seed: int = 42):
     """Add Gaussian noise drawn from a hash of (sample, frame, channel, seed)."""
     return df.withColumns(

@@ -191,21 +191,54 @@ def magnitude_warp(spark, sf):
     return rounded(ko.magnitude_warp(frames(spark, sf, CH).drop("t_s", "grp"), CH), *RECORDING, "frame_idx")
 
 
-@query(
-    "time_warp",
-    f"""WITH {curve_sql(0.2, 4, 42, 0.1)}, c2 AS (SELECT *, greatest(curve, 0.01) AS cu FROM cv),
+def time_warp_sql(seed: int) -> str:
+    return f"""WITH {curve_sql(0.2, 4, seed, 0.1)}, c2 AS (SELECT *, greatest(curve, 0.01) AS cu FROM cv),
     cs AS (SELECT *, sum(cu) OVER (PARTITION BY subject_id, task ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS s, sum(cu) OVER (PARTITION BY subject_id, task) AS tot,
       first_value(cu) OVER (PARTITION BY subject_id, task ORDER BY frame_idx) AS c0 FROM c2),
     w AS (SELECT *, CASE WHEN frame_idx = n - 1 THEN n - 1 ELSE (n - 1) * (s - c0) / (tot - c0) END AS w FROM cs),
     nx AS (SELECT *, lead(w) OVER o AS wn, {", ".join(f"lead({c}) OVER o AS n_{c}" for c in CH)} FROM w WINDOW o AS (PARTITION BY subject_id, task ORDER BY frame_idx)),
     g AS (SELECT subject_id, task, unnest(range(0, n)) AS j FROM dr)
     SELECT g.subject_id, g.task, j AS frame_idx, {", ".join(f"round(CASE WHEN wn IS NULL THEN {c} ELSE {c} + (n_{c} - {c}) * (j - w) / (wn - w) END, 5) + 0 AS {c}" for c in CH)}
-    FROM g JOIN nx ON nx.subject_id = g.subject_id AND nx.task = g.task AND j >= ceil(w) AND (j < ceil(wn) OR (wn IS NULL AND j = n - 1))""",
-)
+    FROM g JOIN nx ON nx.subject_id = g.subject_id AND nx.task = g.task AND j >= ceil(w) AND (j < ceil(wn) OR (wn IS NULL AND j = n - 1))"""
+
+
+@query("time_warp", time_warp_sql(42))
 def time_warp(spark, sf):
     return rounded(ko.time_warp(frames(spark, sf, CH), CH), *RECORDING, "frame_idx", digits=5)
 
 
+def _copy(no: int, method: str, sql: str) -> str:
+    name = "subject_id" if no < 0 else f"concat(subject_id, '_aug{no}_{method[0].upper()}{method[1:]}')"
+    return f"SELECT {name} AS sample_id, subject_id, task, '{method}' AS method, {no} AS copy_no, frame_idx, {', '.join(CH)} FROM ({sql})"
+
+
+def _jitter_sql(seed: int) -> str:
+    made = []
+    for c in CH:
+        parts = ("subject_id", "CAST(task AS STRING)", "CAST(frame_idx AS STRING)", f"'{c}'", f"'{seed}'")
+        made.append(f"round({c} + 0.01 * (sqrt(-2 * ln({unit_sql(*parts)})) * cos(2 * pi() * {unit_sql(*parts, start=14)})), 5) + 0 AS {c}")
+    return f"WITH frames AS ({frames_sql(CH)}) SELECT subject_id, task, frame_idx, {', '.join(made)} FROM frames"
+
+
+def _rounded_sql(sql: str) -> str:
+    return f"SELECT subject_id, task, frame_idx, {', '.join(f'round({c}, 5) + 0 AS {c}' for c in CH)} FROM ({sql})"
+
+
+def _magnitude_sql(seed: int) -> str:
+    return f"WITH {curve_sql(0.2, 4, seed, None)} SELECT subject_id, task, frame_idx, {', '.join(f'round({c} * curve, 5) + 0 AS {c}' for c in CH)} FROM cv"
+
+
+_COPIES = [(-1, "original", _rounded_sql(frames_sql(CH)))]
+_COPIES += [(3 * k + i, m, sql(42 + k + i)) for k in range(2) for i, (m, sql) in enumerate((("jitter", _jitter_sql), ("magnitude_warp", _magnitude_sql), ("time_warp", time_warp_sql)))]
+
+
+@query("augmented_copies", " UNION ALL ".join(f"({_copy(*c)})" for c in _COPIES))
+def augmented_copies(spark, sf):
+    """Every recording with two rounds of jitter, magnitude warp and time warp: the values of all copies."""
+    x = ko.augmented(frames(spark, sf, CH), CH, ["jitter", "magnitude_warp", "time_warp"], 2)
+    return rounded(x, "sample_id", *RECORDING, "method", "copy_no", "frame_idx", digits=5)
+
+
 def peaks_sql(name: str, sign: str) -> str:
     """CTE ``name``: peaks (or, with a minus, valleys) of head_step; the highest first, those closer than five frames dropped."""
     part = "PARTITION BY subject_id, task"

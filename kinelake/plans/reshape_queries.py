@@ -125,6 +125,33 @@ def fold_truncate_and_scale(spark, sf):
     return out(reshape.scale_held_out(x, reshape.fold_scalers(x, CH), CH))
 
 
+_FIRST = "(SELECT min(subject_id) FROM frames)"
+
+
+@query(
+    "fold_training_rows",
+    f"""WITH {BASE}, {FOLD_SQL} SELECT f.subject_id, f.task, f.frame_idx - (n - t_min) AS frame_idx,
+      {", ".join(f"round((f.{c} - {c}__m) / CASE WHEN {c}__s = 0 THEN 1 ELSE {c}__s END, 6) + 0 AS {c}" for c in CH)}
+    FROM frames f JOIN lens USING (subject_id, task) JOIN sc ON fold = {_FIRST} WHERE f.subject_id <> fold AND f.frame_idx >= n - t_min""",
+)
+def fold_training_rows(spark, sf):
+    """All training rows of the first subject's fold, cut and scaled as the fold says."""
+    x = frames(spark, sf, CH)
+    first = x.agg(F.min("subject_id")).first()[0]
+    return out(reshape.fold_rows(x, reshape.fold_scalers(x, CH), first, CH))
+
+
+@query(
+    "fold_training_rows_variable_length",
+    f"""WITH {BASE}, sc AS (SELECT {", ".join(f"avg({c}) AS {c}__m, stddev_pop({c}) AS {c}__s" for c in CH)} FROM frames WHERE subject_id <> {_FIRST})
+    SELECT subject_id, task, frame_idx, {", ".join(f"round(({c} - {c}__m) / {c}__s, 6) + 0 AS {c}" for c in CH)} FROM frames, sc WHERE subject_id <> {_FIRST}""",
+)
+def fold_training_rows_variable_length(spark, sf):
+    x = frames(spark, sf, CH)
+    first = x.agg(F.min("subject_id")).first()[0]
+    return out(reshape.fold_rows(x, reshape.fold_scalers(x, CH, trim=False), first, CH, trim=False))
+
+
 @query(
     "fold_scale_variable_length",
     f"""WITH {BASE}, sc AS (SELECT a.subject_id AS fold, {", ".join(f"avg(f.{c}) AS {c}__m, stddev_pop(f.{c}) AS {c}__s" for c in CH)}
