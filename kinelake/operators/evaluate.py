@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelake.functions.expr import corr, text_order_key, unit_hash
+from kinelake.functions.expr import corr, normal_hash, text_order_key, unit_hash
 from kinelake.operators import ordering
 
 # ---------------------------------------------------------------- folds
@@ -166,40 +166,56 @@ def roc_auc(preds: DataFrame, by: list[str] = (), weight: Column | None = None)
     )
 
 
-# Cumulative Poisson(1) probabilities for 0..11.
-POISSON_CDF = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-    0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217,
-    0.9999999899522336, 0.9999999991683892,
-]
+#: Largest count whose Poisson distribution is written out; larger ones are drawn by their normal limit.
+POISSON_TABLE = 500
 
 
-def bootstrap_auc(
-    preds: DataFrame, by: list[str] = (), draws: int = 1000, seed: int = 42, ci: float = 0.95, key: str = "sample_id"
-) -> DataFrame:
+def poisson_table(count: Column) -> Column:
+    """The cumulative distribution of a Poisson count as an array, NULL for counts over ``POISSON_TABLE``."""
+    top = F.ceil(count + 10.0 * F.sqrt(count) + 20.0).cast("int")
+    first = F.exp(-count)
+
+    def step(a, k):
+        p = a["p"] * count / k
+        return F.struct(p.alias("p"), F.concat(a["cum"], F.array(F.element_at(a["cum"], -1) + p)).alias("cum"))
+
+    whole = F.aggregate(F.sequence(F.lit(1), top), F.struct(first.alias("p"), F.array(first).alias("cum")), step)["cum"]
+    return F.when(count <= POISSON_TABLE, whole)
+
+
+def bootstrap_auc(preds: DataFrame, by: list[str] = (), draws: int = 1000, seed: int = 42, ci: float = 0.95) -> DataFrame:
     """Mean AUC and percentile interval over Poisson bootstrap replicates.
 
-    A row's weight in a replicate is a hash of (key, replicate), so the result does not depend on
-    partitioning; replicates combine map-side into (replicate, score) sums before any shuffle.
+    Rows of one score and class are drawn together: the sum of their Poisson(1) weights is one Poisson draw of their
+    number. So a replicate costs a draw for each distinct score and class, however many rows there are. Draws are hashes
+    of (by, score, class, replicate) and do not depend on partitioning.
     """
     by = list(by)
-    # One digest serves four replicates (eight hex digits each).
-    x = preds.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))))
-    x = x.withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("_q").cast("string"), F.lit(str(seed)))))
-    part = [
-        F.struct(
-            (F.col("_q") * 4 + i).alias("replicate"),
-            ((F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))).alias("_u"),
-        )
-        for i in range(4)
-    ]
-    x = x.select(*preds.columns, F.inline(F.array(*part))).filter(F.col("replicate") < draws)
-    w = sum(((F.col("_u") > c).cast("double") for c in POISSON_CDF), F.lit(0.0))
-    aucs = roc_auc(x, [*by, "replicate"], w).filter("auc IS NOT NULL")
+    cells = _by_score(preds, by)
+    both = F.array(F.struct(F.lit(1).alias("y_true"), F.col("pos").alias("_c")), F.struct(F.lit(0).alias("y_true"), F.col("neg").alias("_c")))
+    cells = cells.select(*by, "y_proba", F.inline(both)).filter("_c > 0")
+    # The cells are dealt anew before they fan out: there may be few of them in one task.
+    x = cells.withColumn("_table", poisson_table(F.col("_c"))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 50))))
+    x = x.repartition(*by, "y_proba", "y_true", "_part")
+
+    def draw(r):
+        name = [*by, F.col("y_proba"), F.col("y_true"), r]
+        far = F.when(F.col("_table").isNull(), normal_hash(*name, seed=seed))
+        return F.struct(r.alias("replicate"), unit_hash(*name, seed=seed).alias("_u"), far.alias("_z"))
+
+    # A generator's columns are computed once; written into the search below, the hash would be taken for each of its steps.
+    mine = F.sequence(F.col("_part") * 50, F.least(F.col("_part") * 50 + 49, F.lit(draws - 1)))
+    x = x.select(*by, "y_proba", "y_true", "_c", "_table", F.inline(F.transform(mine, draw)))
+    hit = F.size(F.filter("_table", lambda v: v < F.col("_u"))).cast("double")
+    far = F.greatest(F.round(F.col("_c") + F.sqrt("_c") * F.col("_z")), F.lit(0.0))
+    x = x.withColumn("_w", F.when(F.col("_table").isNotNull(), hit).otherwise(far)).drop("_table", "_c", "_u", "_z")
+    # A replicate has at most the scores of all rows, and ``by`` at most ``draws`` replicates: neither needs the draws to be counted.
+    with ordering.bounded([*by, "replicate"], ordering.largest_group(cells, by)):
+        aucs = roc_auc(x, [*by, "replicate"], F.col("_w")).filter("auc IS NOT NULL")
     tail = (1.0 - ci) / 2.0
     return ordering.quantiles(
         aucs, by, "auc", {"auc_ci_low": tail, "auc_ci_high": 1.0 - tail},
-        [F.avg("auc").alias("auc_mean"), F.count(F.lit(1)).alias("n_draws")],
+        [F.avg("auc").alias("auc_mean"), F.count(F.lit(1)).alias("n_draws")], max_rows=draws,
     )
 
 
