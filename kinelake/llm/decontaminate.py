@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm.common import query, table, texts_of, whole_text
+from kinelake.sources.store import reliable
 
 #: The masks: six tokens each, over six to eleven positions.
 MASKS = ("111111", "11101011", "110110011", "10110100101", "11001000111")
 LEAST = 12
 SHORTEST = 8
+#: Tenths of a short item's tokens that a match of it must hold.
+SHARE = 8
 MISS = 3
 BLOCK_TOKENS = 1 << 20
 #: A token is a run of ASCII letters, digits, underscores and characters beyond ASCII.
@@ -94,9 +97,10 @@ class Block:
             score = np.where(ids[a + d : b + d] == item[a:b], 1, -MISS)
             for first, last in _stretches(score):
                 matched = int((score[first : last + 1] > 0).sum())
-                if matched >= min(self.least, len(item)):
+                if matched >= min(self.least, -(-SHARE * len(item) // 10)):
                     found.add((self.items[k], first + a + d, last + a + d, matched))
-        return sorted(found)
+        # A null item_id comes first, as in sort_array.
+        return sorted(found, key=lambda m: (m[0] is not None, m[0] or 0, m[1:]))
 
 
 def _stretches(score: np.ndarray):
@@ -141,9 +145,10 @@ MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("first_token", pa.int32())
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, size: int = BLOCK_TOKENS) -> DataFrame:
     """One row per row of ``docs``: doc_id, contaminated, item_ids, matches, clean_text.
 
-    A match holds at least ``least`` matching tokens (all of a shorter item; items under ``SHORTEST`` tokens match
-    nothing, for they cannot be told from chance). Null texts are empty and clean, repeated rows give equal rows, rows
-    with a null item_id match under that null, an empty table gives no rows and an empty benchmark no matches.
+    A match holds at least ``least`` matching tokens, of an item too short for that eight tenths of its tokens; items
+    under ``SHORTEST`` tokens match nothing, for they cannot be told from chance. Null texts are empty and clean,
+    repeated rows give equal rows, items with a null item_id match under that null and come first, an empty table gives
+    no rows and an empty benchmark no matches.
     """
     found = _overlaps(docs, benchmark, least, size)
 
@@ -160,7 +165,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, siz
 def _overlaps(docs: DataFrame, benchmark: DataFrame, least: int, size: int) -> DataFrame:
     """(doc_id, text, matches) of every row."""
     rows = whole_text(docs)
-    parts = list(blocks(benchmark, size))
+    parts = blocks(benchmark, size)
     schema = f"doc_id long, text string, matches {MATCHES}"
 
     def searching(block, hits_only):
@@ -174,21 +179,27 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, least: int, size: int) -> D
 
         return run
 
-    if len(parts) == 1:
-        found = rows.mapInArrow(searching(Block(parts[0], least), False), schema)
-    else:
-        hits = None
-        for part in parts:
-            one = rows.distinct().mapInArrow(searching(Block(part, least), True), schema).select("doc_id", F.xxhash64("text").alias("no"), F.explode("matches").alias("m"))
-            hits = one if hits is None else hits.union(one)
-        grouped = hits.groupBy("doc_id", "no").agg(F.sort_array(F.collect_set("m")).alias("matches")).withColumnRenamed("doc_id", "id")
-        on = rows["doc_id"].eqNullSafe(grouped["id"]) & (F.xxhash64(rows["text"]) == grouped["no"])
-        found = rows.join(grouped, on, "left").select("doc_id", "text", F.coalesce("matches", F.array().cast(MATCHES)).alias("matches"))
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return rows.mapInArrow(searching(Block(first, least), False), schema)
+    hits = None
+    for part in chain([first, second], parts):
+        # Written before the next block is fetched: the driver and a plan hold one block, whatever the benchmark's size.
+        one = rows.mapInArrow(searching(Block(part, least), True), schema).select("doc_id", F.xxhash64("text").alias("no"), F.explode("matches").alias("m"))
+        one = reliable(one)
+        hits = one if hits is None else hits.union(one)
+    grouped = hits.groupBy("doc_id", "no").agg(F.sort_array(F.collect_set("m")).alias("matches")).withColumnRenamed("doc_id", "id")
+    on = rows["doc_id"].eqNullSafe(grouped["id"]) & (F.xxhash64(rows["text"]) == grouped["no"])
+    found = rows.join(grouped, on, "left").select("doc_id", "text", F.coalesce("matches", F.array().cast(MATCHES)).alias("matches"))
     return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that no test item overlaps. Rows are told apart by doc_id and text."""
+    """The rows of ``docs``, all columns, that no test item overlaps. Rows are told apart by doc_id and text.
+
+    Null and empty texts stay, repeated rows stay or go together, a null doc_id is one like any other, an empty
+    benchmark keeps every row and an empty table gives none.
+    """
     bad = _overlaps(docs, benchmark, LEAST, BLOCK_TOKENS).filter(F.size("matches") > 0)
     bad = bad.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__no")).distinct()
     no = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))

@@ -282,6 +282,19 @@ def test_rows_with_a_null_or_repeated_id_are_told_apart_by_their_text(spark):
     assert sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()[:5]))
 
 
+def test_decontamination_of_short_and_nameless_items(spark):
+    words = [f"w{i}" for i in range(40)]
+    long, short = " ".join(words[:30]), " ".join(words[28:40])
+    swapped = " ".join(["other" if i == 33 else w for i, w in enumerate(words)])
+    edge = " ".join(["other" if i == 29 else w for i, w in enumerate(words)][28:])
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, swapped), (3, edge), (4, "nothing of it"), (None, short), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, long), (7, short), (8, long), (9, None), (10, "w1 w2 w3")], "item_id long, text string")
+    want = {1: [None, 7, 8], 2: [None, 7, 8], 3: [7], 4: [], None: [7], 5: []}
+    for size in (decontaminate.BLOCK_TOKENS, 8):
+        found = decontaminate.find_overlaps(docs, bench, size=size).collect()
+        assert {r["doc_id"]: r["item_ids"] for r in found} == want and len(found) == 6
+
+
 def test_overlaps_hold_every_exact_item(spark):
     docs, bench = spark.read.parquet(f"{SF2}/documents.parquet"), spark.read.parquet(f"{SF2}/benchmark.parquet")
     items = {r["item_id"]: b" ".join(decontaminate.tokens(r["text"])) for r in bench.collect()}
