@@ -21,10 +21,17 @@ def subject_folds(samples: DataFrame, subject: str = "subject_id") -> DataFrame:
     return ordering.position(subjects, [], text_order_key(subject), [subject], "fold")
 
 
-def fold_roles(samples: DataFrame, folds: list[int], subject: str = "subject_id") -> DataFrame:
-    """Train/test role of every sample for the listed folds (a fold is one pass over the samples)."""
-    x = samples.join(subject_folds(samples, subject).withColumnRenamed("fold", "_own"), subject)
-    x = x.withColumn("fold", F.explode(F.array(*[F.lit(f).cast("long") for f in folds])))
+def _in_folds(own: DataFrame, folds: list[int] | None) -> DataFrame:
+    """Every row of ``own`` once for each listed fold; None lists all folds, one for each subject."""
+    if folds is not None:
+        return own.withColumn("fold", F.explode(F.array(*[F.lit(f).cast("long") for f in folds])))
+    last = F.broadcast(own.agg(F.max("_own").alias("_last")))  # one row
+    return own.join(last).withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), "_last"))).drop("_last")
+
+
+def fold_roles(samples: DataFrame, folds: list[int] | None = None, subject: str = "subject_id") -> DataFrame:
+    """Train/test role of every sample for the listed folds, or all (a fold is one pass over the samples)."""
+    x = _in_folds(samples.join(subject_folds(samples, subject).withColumnRenamed("fold", "_own"), subject), folds)
     return x.withColumn("role", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train")).drop("_own")
 
 
@@ -35,10 +42,9 @@ def fold_sizes(samples: DataFrame, subject: str = "subject_id") -> DataFrame:
     return own.crossJoin(F.broadcast(total)).select(subject, "n_test", (F.col("_all") - F.col("n_test")).alias("n_train"))
 
 
-def _shuffled_train(samples: DataFrame, folds: list[int], seed: int, subject: str) -> DataFrame:
+def _shuffled_train(samples: DataFrame, folds: list[int] | None, seed: int, subject: str) -> DataFrame:
     """Training subjects of each listed fold with their position in a seeded order."""
-    s = subject_folds(samples, subject).withColumnRenamed("fold", "_own")
-    s = s.withColumn("fold", F.explode(F.array(*[F.lit(f).cast("long") for f in folds]))).filter("fold <> _own")
+    s = _in_folds(subject_folds(samples, subject).withColumnRenamed("fold", "_own"), folds).filter("fold <> _own")
     s = s.withColumn("_u", unit_hash(subject, seed=F.lit(seed) + F.col("fold")))
     s = ordering.position(s, ["fold"], F.col("_u"), ["_u", subject], "_pos")
     n = s.groupBy("fold").agg(F.count(F.lit(1)).alias("_n"))
@@ -46,7 +52,7 @@ def _shuffled_train(samples: DataFrame, folds: list[int], seed: int, subject: st
 
 
 def inner_holdout(
-    samples: DataFrame, folds: list[int], fraction: float = 0.15, seed: int = 42, subject: str = "subject_id"
+    samples: DataFrame, folds: list[int] | None = None, fraction: float = 0.15, seed: int = 42, subject: str = "subject_id"
 ) -> DataFrame:
     """(fold, subject_id, role): a seeded share of each fold's training subjects becomes 'validation'."""
     s = _shuffled_train(samples, folds, seed, subject)
@@ -55,7 +61,7 @@ def inner_holdout(
 
 
 def inner_kfold(
-    samples: DataFrame, folds: list[int], k: int = 5, seed: int = 42, subject: str = "subject_id"
+    samples: DataFrame, folds: list[int] | None = None, k: int = 5, seed: int = 42, subject: str = "subject_id"
 ) -> DataFrame:
     """(fold, subject_id, inner_fold) with k reduced when a fold has fewer training subjects."""
     s = _shuffled_train(samples, folds, seed, subject)

@@ -45,10 +45,10 @@ def loso_folds(spark, sf):
 @query(
     "fold_roles",
     f"""WITH {SAMPLES}, {LOSO} SELECT k AS fold, s.subject_id, s.task, CASE WHEN k = l.fold THEN 'test' ELSE 'train' END AS role
-    FROM samples s JOIN loso l USING (subject_id), (VALUES (0), (3), (7)) v(k)""",
+    FROM samples s JOIN loso l USING (subject_id), (SELECT fold AS k FROM loso) v""",
 )
 def fold_roles(spark, sf):
-    return ev.fold_roles(samples(spark, sf), [0, 3, 7]).select("fold", "subject_id", "task", "role")
+    return ev.fold_roles(samples(spark, sf)).select("fold", "subject_id", "task", "role")
 
 
 @query(
@@ -59,7 +59,7 @@ def fold_sizes(spark, sf):
     return ev.fold_sizes(samples(spark, sf))
 
 
-INNER = f"""{LOSO}, pairs AS (SELECT k AS fold, subject_id, {unit_sql("subject_id", "42 + k")} AS u FROM loso l, (VALUES (0), (5)) v(k) WHERE k <> l.fold),
+INNER = f"""{LOSO}, pairs AS (SELECT k AS fold, subject_id, {unit_sql("subject_id", "42 + k")} AS u FROM loso l, (SELECT fold AS k FROM loso) v WHERE k <> l.fold),
   ordered AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY u, subject_id) - 1 AS pos, count(*) OVER (PARTITION BY fold) AS n FROM pairs)"""
 
 
@@ -68,12 +68,12 @@ INNER = f"""{LOSO}, pairs AS (SELECT k AS fold, subject_id, {unit_sql("subject_i
     f"WITH {SAMPLES}, {INNER} SELECT fold, subject_id, CASE WHEN pos < greatest(round_even(n * 0.15, 0), 1) THEN 'validation' ELSE 'train' END AS role FROM ordered",
 )
 def inner_holdout(spark, sf):
-    return ev.inner_holdout(samples(spark, sf), [0, 5])
+    return ev.inner_holdout(samples(spark, sf))
 
 
 @query("inner_kfold", f"WITH {SAMPLES}, {INNER} SELECT fold, subject_id, ntile(5) OVER (PARTITION BY fold ORDER BY u, subject_id) - 1 AS inner_fold FROM ordered")
 def inner_kfold(spark, sf):
-    return ev.inner_kfold(samples(spark, sf), [0, 5])
+    return ev.inner_kfold(samples(spark, sf))
 
 
 @query(

@@ -102,10 +102,34 @@ def survey_log_scan(spark, sf):
     raw = survey(spark, sf).select(
         "subject_id", F.col("row_no").alias("Timestamp"), F.concat(F.lit("q"), F.col("q").cast("string")).alias("Question"), F.col("response").alias("Response")
     )
-    s = logs.survey_log(logs.read_csv_any(spark, as_csv(raw, "survey")))
+    # Files of two sources, one without headers, are one scan: columns go by place, and a header line is no answer.
+    even = F.pmod(F.xxhash64("subject_id"), F.lit(2)) == 0
+    bare = store.scratch_path(spark, "survey-bare")
+    raw.filter(~even).write.csv(bare)
+    both = logs.read_csv_any(spark, [as_csv(raw.filter(even), "survey"), bare], header=False)
+    s = logs.survey_log(both.withColumnRenamed("_c0", "subject_id"))
     return s.groupBy("subject_id", "q").agg(F.count(F.lit(1)).alias("n"), F.max("response").alias("last_text"))
 
 
+@query(
+    "new_recording_scan",
+    """SELECT CAST(user_id AS DOUBLE) AS user_id, count(*) AS n, count(CASE WHEN user_id % 2 = 0 THEN 1 END) AS n_timed, round(sum(value), 4) AS value,
+      CAST(max(CASE WHEN user_id % 2 = 0 THEN event_id END) AS DOUBLE) AS last_t, 0 AS n_doubled FROM events GROUP BY 1""",
+)
+def new_recording_scan(spark, sf):
+    raw = table(spark, sf, "events").select(F.col("event_id").alias("t"), "user_id", "value")
+    path, timed = store.scratch_path(spark, "recordings"), F.col("user_id") % 2 == 0
+    # Four kinds of files in one folder: with and without a header, with and without a time column.
+    for header, third in ((True, 0), (False, 1)):
+        part = raw.filter(F.pmod(F.floor(F.col("user_id") / 2), F.lit(2)) == third)
+        part.filter(timed).write.mode("append").option("header", header).csv(path)
+        part.filter(~timed).drop("t").write.mode("append").option("header", header).csv(path)
+    x = logs.read_new_recordings(spark, path, ["user_id", "value"])
+    same = x.groupBy("subject_id", "frame_idx").agg(F.count(F.lit(1)).alias("k")).agg(F.count(F.when(F.col("k") > 1, 1)).alias("n_doubled"))
+    found = x.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count("t").alias("n_timed"), rnd(F.sum("value"), 4).alias("value"), F.max("t").alias("last_t"))
+    return found.join(F.broadcast(same))  # one row
+
+
 @query("metadata_scan", f"SELECT id, age, dia_code, round(c_dash, 6) + 0 AS c_dash FROM ({SUBJECTS_SQL})")
 def metadata_scan(spark, sf):
     px = subjects(spark, sf).select("id", "age", "dia_code", "c_dash")
@@ -123,9 +147,10 @@ def metadata_scan(spark, sf):
 
 @query(
     "subject_file_roster",
-    """SELECT concat(CASE WHEN s_suppkey % 3 = 0 THEN 'fx' ELSE 'px' END, CAST(s_suppkey AS STRING)) AS subject_id, CASE WHEN s_suppkey % 3 = 0 THEN 'control' ELSE 'patient' END AS grp,
-      m.n AS n_movement, o.n AS n_markers FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) m ON m.l_suppkey = s_suppkey
-      LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1) o ON o.o_custkey = s_suppkey""",
+    f"""SELECT concat(CASE WHEN s_suppkey % 3 = 0 THEN 'fx' ELSE 'px' END, CAST(s_suppkey AS STRING)) AS subject_id, CASE WHEN s_suppkey % 3 = 0 THEN 'control' ELSE 'patient' END AS grp,
+      m.n AS n_movement, o.n AS n_markers, a.n AS n_survey FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) m ON m.l_suppkey = s_suppkey
+      LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1) o ON o.o_custkey = s_suppkey
+      LEFT JOIN (SELECT CAST(subject_id AS BIGINT) AS number, count(*) AS n FROM ({SURVEY_SQL}) GROUP BY 1) a ON a.number = s_suppkey""",
 )
 def subject_file_roster(spark, sf):
     name = lambda c: F.concat(F.when(F.col(c) % 3 == 0, "fx").otherwise("px"), F.col(c).cast("string"))
@@ -134,7 +159,8 @@ def subject_file_roster(spark, sf):
     )
     move = table(spark, sf, "lineitem").select(name("l_suppkey").alias("subject_id"))
     marks = table(spark, sf, "orders").filter("o_custkey % 5 <> 0").select(name("o_custkey").alias("subject_id"))
-    return logs.subject_files(move, marks, None, roster).drop("n_survey")
+    answers = survey(spark, sf).withColumn("number", F.col("subject_id").cast("long")).select(name("number").alias("subject_id"))
+    return logs.subject_files(move, marks, answers, roster)
 
 
 @query(

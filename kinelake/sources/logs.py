@@ -22,14 +22,21 @@ def number(c: str) -> Column:
 
 
 def encodings(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, str], list[str]]:
-    """Group files by (encoding, first line); UTF-16 by its byte-order mark, else UTF-8."""
+    """Group files by (encoding, first line); UTF-16 by its byte-order mark, else UTF-8. Empty files are left out.
+
+    First lines stream by, so a file may have any size; of each file one line is kept.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    files = spark.read.format("binaryFile").load(paths)
-    mark = F.hex(F.substring("content", 1, 2))
+    at = F.col("_metadata.file_path").alias("at")  # escaped, so only the key of the join
+    files = spark.read.format("binaryFile").load(paths).select(at, "path")  # names only: contents are not fetched
+    lines = spark.read.text(paths).select(at, F.col("value").cast("binary").alias("bytes"), F.monotonically_increasing_id().alias("_id"), F.col("_metadata.file_block_start").alias("_at"))
+    heads = lines.filter("_at = 0").groupBy("at").agg(F.min_by(F.substring("bytes", 1, HEADER_BYTES), "_id").alias("head"))
+    mark = F.hex(F.substring("head", 1, 2))
     kind = F.when(mark.isin("FFFE", "FEFF"), "UTF-16").otherwise("UTF-8")
     # The line only tells headers apart, so its bytes are read as Latin-1, which knows no broken character.
-    line = F.regexp_extract(F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1"), r"^([^\r\n]*)", 1)
-    groups = files.select("path", kind.alias("enc"), line.alias("line")).groupBy("enc", "line").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    line = F.decode("head", "ISO-8859-1")
+    groups = files.join(heads, "at").select("path", kind.alias("enc"), line.alias("line"))
+    groups = groups.groupBy("enc", "line").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     return {(r["enc"], r["line"]): r["paths"] for r in groups.orderBy("enc", "line").collect()}  # file names only
 
 
@@ -122,28 +129,33 @@ def event_log(df: DataFrame) -> DataFrame:
     ).filter("timestamp IS NOT NULL")
 
 
-def has_header(spark: SparkSession, path: str) -> bool:
-    """False when every cell of the first line is a number."""
-    line = spark.read.text(path).limit(1).first()
-
-    def numeric(s: str) -> bool:
-        try:
-            float(s)
-            return True
-        except ValueError:
-            return False
-
-    return line is None or not all(numeric(c) for c in line[0].split(","))
-
-
 def read_new_recordings(spark: SparkSession, path: str, channels: list[str]) -> DataFrame:
-    """One file or a folder of headered or headerless recordings; the subject is the file stem."""
-    df = spark.read.option("header", has_header(spark, path)).csv(path)
-    names = channels if len(df.columns) == len(channels) else ["t", *channels]
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
-    at = [F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row")]
-    df = df.select(stem.alias("subject_id"), *at, *[number(c).alias(n) for c, n in zip(df.columns, names)])
-    return ordering.position(df, ["subject_id"], F.col("_at"), ["_at", "_row"]).drop("_at", "_row")
+    """One file or a folder of headered and headerless recordings, mixed as they come; the subject is the file stem.
+
+    Each file's own first line tells its layout: it is a header when one of its cells is no number, and the file has a
+    time column when it has more cells than there are channels. The line's facts travel along the file as a running
+    minimum, so no file is looked at beforehand; sizes in bytes bound the number of rows. Blank lines are skipped, cells
+    that are missing or no numbers are NULL, and a file without rows gives none.
+    """
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("subject_id")
+    sizes = spark.read.format("binaryFile").load(path).select(stem, "length").groupBy("subject_id").agg(F.sum("length").alias("n"))
+    most = (sizes.agg(F.max("n")).first()[0] or 0) // 2 + 1  # a row has two bytes or more
+    lines = spark.read.text(path).select(
+        stem, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row"), "value"
+    )
+    cells = F.split("value", ",")
+    lines = lines.filter(F.trim("value") != "").withColumn("_cells", F.transform(cells, lambda c: F.trim(c)))
+    numeric = F.forall("_cells", lambda c: c.try_cast("double").isNotNull())
+    first = F.struct("_at", "_row", F.size("_cells").alias("width"), numeric.alias("numeric"))
+    order = ["_file", "_at", "_row"]
+    x = ordering.cumulate(lines, ["subject_id", "_file"], F.col("_at"), order, {"_first": first}, max_rows=most, kind="min")
+    header = (F.col("_at") == F.col("_first._at")) & (F.col("_row") == F.col("_first._row")) & ~F.col("_first.numeric")
+    timed = F.when(F.col("_first.width") > len(channels), 1).otherwise(0)
+    value = lambda at: F.get("_cells", at).try_cast("double")
+    x = x.filter(~header).select(
+        "subject_id", *order, F.when(timed == 1, value(F.lit(0))).alias("t"), *[value(timed + i).alias(c) for i, c in enumerate(channels)]
+    )
+    return ordering.position(x, ["subject_id"], F.col("_at"), order, max_rows=most).drop(*order)
 
 
 def metadata_table(spark: SparkSession, path: str, wanted: list[str], probe: int = 6) -> DataFrame:

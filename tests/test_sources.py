@@ -113,6 +113,43 @@ def test_files_are_read_by_their_own_header(spark, tmp_path):
     assert sorted((float(r.t), float(r.x)) for r in got) == [(1, 2), (10, 20), (100, 200)]
 
 
+def test_recordings_of_all_layouts_in_one_folder(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "new recordings"
+    folder.mkdir()
+    (folder / "s1.csv").write_text("t,a,b\n0.0,1,2\n0.1,x,4\n")
+    (folder / "s2.csv").write_text("5,6\n\n7,\n9\n")
+    (folder / "s3.csv").write_text("a,b\r\n8,9\r\n")
+    (folder / "s4.csv").write_text("0.5, 1,2\n")
+    (folder / "s5.csv").write_text("a,b\n")
+    (folder / "s6.csv").write_text("")
+    want = [
+        ("s1", 0, 0.0, 1.0, 2.0), ("s1", 1, 0.1, None, 4.0), ("s2", 0, None, 5.0, 6.0), ("s2", 1, None, 7.0, None), ("s2", 2, None, 9.0, None),
+        ("s3", 0, None, 8.0, 9.0), ("s4", 0, 0.5, 1.0, 2.0),
+    ]
+    read = lambda: sorted((r.subject_id, r.frame_idx, r.t, r.a, r.b) for r in logs.read_new_recordings(spark, str(folder), ["a", "b"]).collect())
+    assert read() == want
+    # The same by the path of recordings too large for one task.
+    whole = logs.ordering.cumulate
+    monkeypatch.setattr(logs.ordering, "cumulate", lambda df, keys, by, order, w, rows=2, max_rows=None, kind="sum": whole(df, keys, by, order, w, 2, max_rows, kind))
+    assert read() == want
+
+
+def test_first_lines_of_any_file(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("t,x\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "c.csv").write_bytes("t,x\n100,200\n".encode("utf-16"))
+    found = logs.encodings(spark, str(tmp_path / "*.csv"))
+    assert sorted((enc, [p.rsplit("/", 1)[1] for p in paths]) for (enc, _), paths in found.items()) == [("UTF-16", ["c.csv"]), ("UTF-8", ["a b.csv"])]
+    assert sorted(float(r.x) for r in logs.read_csv_any(spark, str(tmp_path / "*.csv")).filter("x IS NOT NULL").collect()) == [2, 200]
+
+
+def test_answers_of_headered_and_headerless_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Timestamp,Question,Response\n1,q1,3\n2,Q2, \n")
+    (tmp_path / "b.csv").write_text("1,Q4,no difficulty\n\n")
+    got = logs.survey_log(logs.read_csv_any(spark, str(tmp_path / "*.csv"), header=False)).collect()
+    assert sorted((r.q, r.response) for r in got if r.response) == [(1, "3"), (4, "no difficulty")]
+
+
 def test_metadata_lines_equal_to_leading_lines_stay(spark, tmp_path):
     (tmp_path / "m.csv").write_text("note,1\nid,dia_code\nPX1,3\nnote,1\n\n")
     got = logs.metadata_table(spark, str(tmp_path / "m.csv"), ["dia_code"]).collect()
