@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinelake.config import CHANNELS, RECORDING
 from kinelake.functions.expr import rnd
-from kinelake.operators import classify, evaluate, features, hmm, loso, reshape, states
+from kinelake.operators import classify, estimators, evaluate, features, hmm, loso, reshape, states
 from kinelake.plans.evaluation_queries import rounded, twins_sql
 from kinelake.plans.fixtures import frames, frames_sql
 from kinelake.plans.registry import query
@@ -245,6 +245,35 @@ def loso_classification(spark, sf):
     return p.select(*RECORDING, "ridge", "y_true", rnd("y_proba").alias("y_proba"))
 
 
+@query(
+    "stored_ridge_scores",
+    f"""WITH frames AS ({frames_sql(HAND_POS)}), ft AS (SELECT subject_id, task, CASE WHEN subject_id LIKE 'px%' THEN 1 ELSE 0 END AS y, {_rng(_l[0])} - {_rng(_r[0])} AS f1,
+      avg(sqrt({" + ".join(f"pow({a} - {b}, 2)" for a, b in zip(_l, _r))})) AS f2 FROM frames GROUP BY subject_id, task),
+    m AS (SELECT avg(f1) AS m1, avg(f2) AS m2, avg(2 * y - 1) AS mt, var_pop(f1) AS v1, var_pop(f2) AS v2, covar_pop(f1, f2) AS c12, covar_pop(f1, 2 * y - 1) AS t1, covar_pop(f2, 2 * y - 1) AS t2
+      FROM ft WHERE task <= 3),
+    s AS (SELECT m1, m2, mt, sqrt(v1) AS s1, sqrt(v2) AS s2, c12 / sqrt(v1 * v2) AS r, t1 / sqrt(v1) AS q1, t2 / sqrt(v2) AS q2 FROM m),
+    w AS (SELECT *, (1.5 * q1 - r * q2) / (1.5 * 1.5 - r * r) / s1 AS w1, (1.5 * q2 - r * q1) / (1.5 * 1.5 - r * r) / s2 AS w2 FROM s)
+    SELECT ft.subject_id, ft.task, y AS y_true, round(1 / (1 + exp(-4 * (mt + w1 * (f1 - m1) + w2 * (f2 - m2)))), 6) AS y_proba FROM ft, w WHERE task > 3""",
+)
+def stored_ridge_scores(spark, sf):
+    """Fitted on tasks 1 to 3, written, read again and applied to the other tasks."""
+    x = _features(spark, sf).withColumnsRenamed({"rom_asymmetry_x": "f1", "mean_hand_separation": "f2"}).select(*RECORDING, "y", "f1", "f2")
+    path = scratch_path(spark, "ridge")
+    estimators.RidgeClassifier(["f1", "f2"], regParam=0.5).fit(x.filter("task <= 3")).save(spark, path)
+    p = estimators.load_model(spark, path).transform(x.filter("task > 3"))
+    return p.select(*RECORDING, "y_true", rnd("y_proba").alias("y_proba"))
+
+
+@query("stored_hmm_scores", SCORE_SQL)
+def stored_hmm_scores(spark, sf):
+    """A hidden Markov classifier's parameters as a table, read again and applied."""
+    arrays = {f"{c}/{name}": a for c, m in ((1, MODEL1), (0, MODEL0)) for name, a in m.items()}
+    path = scratch_path(spark, "hmm")
+    estimators.HmmClassifierModel(CH, "label", RECORDING, arrays).save(spark, path)
+    p = estimators.load_model(spark, path).transform(scaled(spark, sf))
+    return rounded(p, *RECORDING, "n_frames", "y_pred")
+
+
 @query("loso_config_metrics")
 def loso_config_metrics(spark, sf):
     p = classify.loso_ridge(_features(spark, sf), FEATS, [0.01, 0.1, 1.0])
