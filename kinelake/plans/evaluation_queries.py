@@ -275,31 +275,42 @@ def multilabel_exact_match(spark, sf):
     f"""WITH {P}, c AS (SELECT model, count(*) AS n_subjects, avg(abs(y_true - y_proba)) AS e, stddev_pop(abs(y_true - y_proba)) AS se,
       coalesce(avg(CASE WHEN y_true = 1 THEN y_proba ELSE 1 - y_proba END) FILTER (WHERE y_true = y_pred), 0) AS cc,
       coalesce(avg(CASE WHEN y_true = 1 THEN y_proba ELSE 1 - y_proba END) FILTER (WHERE y_true <> y_pred), 0) AS cw,
-      abs(avg(y_proba) FILTER (WHERE y_true = 1) - avg(y_proba) FILTER (WHERE y_true = 0)) AS sep,
+      coalesce(avg(y_proba) FILTER (WHERE y_true = 1), 0) AS pp, coalesce(avg(y_proba) FILTER (WHERE y_true = 0), 0) AS pc, abs(pp - pc) AS sep,
       count(*) FILTER (WHERE y_true <> y_pred AND ((y_true = 1 AND y_proba < 1 - 0.85::DOUBLE) OR (y_true = 0 AND y_proba > 0.85::DOUBLE))) AS over_n FROM preds GROUP BY 1)
     SELECT model, n_subjects, round(e, 6) AS mean_calibration_error, round(se, 6) AS std_calibration_error, round(cc, 6) AS mean_conf_when_correct,
-      round(cw, 6) AS mean_conf_when_wrong, round(sep, 6) AS group_separation, over_n AS n_overconfident_errors,
+      round(cw, 6) AS mean_conf_when_wrong, round(pp, 6) AS mean_prob_patients, round(pc, 6) AS mean_prob_controls, round(sep, 6) AS group_separation, over_n AS n_overconfident_errors,
       CASE WHEN e < 0.2 THEN 'WELL CALIBRATED' WHEN e < 0.4 THEN 'MODERATELY CALIBRATED' ELSE 'POORLY CALIBRATED' END AS calibration_verdict,
       CASE WHEN sep > 0.3 THEN 'GOOD' WHEN sep > 0.1 THEN 'MODERATE' ELSE 'POOR' END AS separation_verdict,
       CASE WHEN over_n = 0 THEN 'NONE' WHEN over_n <= 3 THEN 'MONITOR' ELSE 'DANGEROUS' END AS overconfidence_verdict FROM c""",
 )
 def calibration(spark, sf):
-    c = ev.calibration(predictions(spark, sf), ["model"]).drop("mean_prob_patients", "mean_prob_controls")
+    c = ev.calibration(predictions(spark, sf), ["model"])
     keep = ["model", "n_subjects", "n_overconfident_errors", "calibration_verdict", "separation_verdict", "overconfidence_verdict"]
     return rounded(c, *keep)
 
 
 @query(
     "generalisation_report",
-    f"""WITH {FR}, a AS (SELECT model, avg(train_loss) AS tl, avg(val_loss) AS vl, avg(train_acc) AS ta, avg(val_acc) AS va FROM folds GROUP BY 1),
-    g AS (SELECT *, coalesce(vl - tl, ta - va, 0) AS gap, CASE WHEN tl IS NOT NULL AND vl IS NOT NULL THEN 'loss' WHEN ta IS NOT NULL THEN 'accuracy' ELSE 'validation_only' END AS metric FROM a)
+    f"""WITH {FR}, a AS (SELECT model, avg(train_loss) AS tl, avg(val_loss) AS vl, avg(train_acc) AS ta, avg(val_acc) AS va, sum(epochs) / (100.0::DOUBLE + 1500 * (length(model) - 8)) AS r FROM folds GROUP BY 1),
+    g AS (SELECT *, coalesce(vl - tl, ta - va, 0) AS gap, CASE WHEN tl IS NOT NULL AND vl IS NOT NULL THEN 'loss' WHEN ta IS NOT NULL THEN 'accuracy' ELSE 'validation_only' END AS metric FROM a),
+    p AS (SELECT *, CASE WHEN gap > 0.15 THEN 3 WHEN gap > 0.08 THEN 2 WHEN gap > 0.03 THEN 1 ELSE 0 END + CASE WHEN r < 5 THEN 3 WHEN r < 10 THEN 1 ELSE 0 END AS risk_points FROM g),
+    k AS (SELECT *, CASE WHEN risk_points >= 5 THEN 'HIGH' WHEN risk_points >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM p)
     SELECT model, metric, round(gap, 6) + 0 AS gap, CASE WHEN abs(gap) > 0.15 THEN 'SEVERE' WHEN abs(gap) > 0.08 THEN 'MODERATE' WHEN abs(gap) > 0.03 THEN 'MILD' ELSE 'GOOD' END AS severity,
-      CASE WHEN (CASE WHEN gap > 0.15 THEN 3 WHEN gap > 0.08 THEN 2 WHEN gap > 0.03 THEN 1 ELSE 0 END) + 1 >= 5 THEN 'HIGH'
-        WHEN (CASE WHEN gap > 0.15 THEN 3 WHEN gap > 0.08 THEN 2 WHEN gap > 0.03 THEN 1 ELSE 0 END) + 1 >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM g""",
+      round(r, 6) AS ratio, CASE WHEN r < 5 THEN 'OVERPARAMETERIZED' WHEN r < 10 THEN 'BORDERLINE' ELSE 'ACCEPTABLE' END AS complexity, risk_points, risk,
+      concat_ws(',', CASE WHEN risk = 'HIGH' AND gap > 0.15 THEN 'regularise' END, CASE WHEN risk = 'HIGH' AND r < 5 THEN 'fewer_parameters' END,
+        CASE WHEN risk = 'MEDIUM' AND gap > 0.08 THEN 'more_dropout' END, CASE WHEN risk = 'MEDIUM' AND r < 10 THEN 'fewer_parameters_or_more_samples' END,
+        CASE WHEN risk = 'LOW' THEN 'keep' END) AS recommendations FROM k""",
 )
 def generalisation_report(spark, sf):
-    g = ev.generalisation(folds(spark, sf), ["model"], 7000, 1000)
-    return g.select("model", "metric", rnd("gap").alias("gap"), "severity", "risk")
+    f = folds(spark, sf)
+    # A model's epochs stand for its training samples, the length of its name for its parameters.
+    sizes = f.groupBy("model").agg(F.sum("epochs").alias("n_samples"))
+    f = f.join(sizes, "model").withColumn("n_parameters", 100 + 1500 * (F.length("model") - 8))
+    g = ev.generalisation(f, ["model", "n_samples", "n_parameters"], F.col("n_samples"), F.col("n_parameters"))
+    return g.select(
+        "model", "metric", rnd("gap").alias("gap"), "severity", rnd("ratio").alias("ratio"), "complexity", "risk_points", "risk",
+        F.array_join("recommendations", ",").alias("recommendations"),
+    )
 
 
 @query(

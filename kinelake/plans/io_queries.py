@@ -175,7 +175,8 @@ def recording_store_round_trip(spark, sf):
 
 
 CKPT_SQL = """ck AS (SELECT o_orderkey AS k, CAST(o_orderkey % 6 + 1 AS INT) AS task, CAST(o_custkey % 4 + 1 AS INT) AS paradigm, CASE o_orderkey % 3 WHEN 0 THEN 'hmm' WHEN 1 THEN 'rnn' ELSE 'cnn' END AS model,
-  CAST(floor(o_totalprice) AS BIGINT) % 1000 / 1e3 AS ba, o_orderdate AS modified FROM orders WHERE o_orderkey % 7 <> 0)"""
+  CAST(floor(o_totalprice) AS BIGINT) % 1000 / 1e3 AS ba, o_orderdate AS modified,
+  concat('runs/k', o_orderkey, '/T', o_orderkey % 6 + 1, '_P', o_custkey % 4 + 1, '_', upper(model), '_BA', format('{:.3f}', ba), '.json') AS path FROM orders WHERE o_orderkey % 7 <> 0)"""
 
 
 def checkpoint_names(spark, sf):
@@ -195,12 +196,13 @@ def checkpoint_index(spark, sf):
     return x.groupBy("task", "paradigm", "model").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("ba")).alias("ba"))
 
 
-@query("best_checkpoint", f"WITH {CKPT_SQL} SELECT task, paradigm, model, max(ba) AS ba, max(modified) AS newest FROM ck GROUP BY ALL")
+@query("best_checkpoint", f"""WITH {CKPT_SQL} SELECT task, paradigm, model, max(ba) AS ba, max(modified) AS newest,
+  arg_max(path, concat(CAST(modified AS STRING), path)) AS newest_path, arg_max(path, concat(format('{{:.3f}}', ba), path)) AS best_path FROM ck GROUP BY ALL""")
 def best_checkpoint(spark, sf):
     x = artefacts.checkpoint_index(checkpoint_names(spark, sf))
     by = ["task", "paradigm", "model"]
-    best = artefacts.best_artefact(x, by, [F.col("ba"), F.col("path")]).select(*by, "ba")
-    late = artefacts.newest(x, by).select(*by, F.col("modified").alias("newest"))
+    best = artefacts.best_artefact(x, by, [F.col("ba"), F.col("path")]).select(*by, "ba", F.col("path").alias("best_path"))
+    late = artefacts.newest(x, by).select(*by, F.col("modified").alias("newest"), F.col("path").alias("newest_path"))
     return best.join(late, by)
 
 

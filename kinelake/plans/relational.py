@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from kinelake.config import CHANNELS, RECORDING, rotation_channels
 from kinelake.functions.expr import rnd
 from kinelake.operators import align, cohort, ordering, quality
-from kinelake.plans.fixtures import SUBJECTS_SQL, SURVEY_SQL, frames, frames_sql, largest, subjects, survey, table
+from kinelake.plans.fixtures import FORMULAS, SUBJECTS_SQL, SURVEY_SQL, frames, frames_sql, largest, subjects, survey, table
 from kinelake.plans.registry import query
+from kinelake.sources import logs
 
 TASK_LABELS = {1: "1-URGENT", 2: "2-HIGH", 3: "3-MEDIUM", 4: "4-NOT SPECIFIED", 5: "5-LOW"}
 MARKERS_SQL = """markers AS (SELECT o_custkey AS subject_id, CAST(datediff('day', TIMESTAMP '1970-01-01', o_orderdate) AS DOUBLE) AS ts,
@@ -167,22 +168,24 @@ def relative_events_with_hand(spark, sf):
     "single_subject_slice",
     f"""WITH {INTERVALS_SQL}, movement AS (SELECT l_suppkey AS subject_id,
       CAST(datediff('day', TIMESTAMP '1970-01-01', l_shipdate) AS DOUBLE) + l_orderkey / 1e9 AS t,
-      l_quantity AS head_pos_x FROM lineitem WHERE l_suppkey = 7)
-    SELECT m.subject_id, i.task, row_number() OVER (PARTITION BY i.task ORDER BY m.t) - 1 AS frame_idx, round(m.t, 6) + 0 AS t, m.head_pos_x
-    FROM movement m JOIN intervals i ON m.subject_id = i.subject_id AND m.t >= i.start_s AND m.t < i.end_s""",
+      l_quantity AS head_pos_x, {FORMULAS["head_rot_x"]} AS head_rot_x FROM lineitem WHERE l_suppkey = 7),
+    cut AS (SELECT m.subject_id, i.task, row_number() OVER (PARTITION BY i.task ORDER BY m.t) - 1 AS frame_idx, m.t, m.head_pos_x, m.head_rot_x
+    FROM movement m JOIN intervals i ON m.subject_id = i.subject_id AND m.t >= i.start_s AND m.t < i.end_s),
+    l AS (SELECT *, lag(head_rot_x) OVER w AS p_head_rot_x, first_value(head_rot_x) OVER w AS f FROM cut WINDOW w AS (PARTITION BY task ORDER BY frame_idx)),
+    s AS (SELECT *, {_unwrap_sql("head_rot_x")} AS d FROM l)
+    SELECT subject_id, task, frame_idx, round(t, 6) + 0 AS t, head_pos_x,
+      round(head_rot_x + sum(d) OVER (PARTITION BY task ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) - CASE WHEN f > 180 THEN 360 ELSE 0 END, 6) + 0 AS head_rot_x FROM s""",
 )
 def single_subject_slice(spark, sf):
     movement = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("subject_id"),
         (F.unix_date(F.to_date("l_shipdate")) + F.col("l_orderkey") / F.lit(1e9)).alias("t"),
         F.col("l_quantity").alias("head_pos_x"),
+        F.expr(FORMULAS["head_rot_x"]).alias("head_rot_x"),
     )
-    own = F.col("subject_id") == 7
-    cut = align.slice_recordings(
-        movement.filter(own), align.task_intervals(markers(spark, sf).filter(own), TASK_LABELS)
-    )
-    out = ordering.position(cut, ["subject_id", "task"], F.col("t"), ["t"])
-    return out.select("subject_id", "task", "frame_idx", rnd("t").alias("t"), "head_pos_x")
+    marks = logs.marker_log(markers(spark, sf).withColumnsRenamed({"ts": "Timestamp", "name": "Name"}), strict=True)
+    out = align.subject_test_slice(movement, marks, TASK_LABELS, 7, ["head_pos_x", "head_rot_x"], ["subject_id", "task"])
+    return out.select("subject_id", "task", "frame_idx", rnd("t").alias("t"), "head_pos_x", rnd("head_rot_x").alias("head_rot_x"))
 
 
 @query(

@@ -258,10 +258,12 @@ def composed_transforms(spark, sf):
 
 @query(
     "channel_first_layout",
-    f"""WITH {BASE}, s AS (SELECT subject_id, task, frame_idx, channel, round(value, 6) AS value FROM frames UNPIVOT (value FOR channel IN ({COLS})))
-    SELECT subject_id, task, channel, CAST(0 AS BIGINT) AS chunk, len(list(value)) AS n, round(list_sum(list(value ORDER BY frame_idx)[1:5]), 6) AS head FROM s GROUP BY subject_id, task, channel""",
+    f"""WITH frames AS ({frames_sql(CHANNELS)}), s AS (SELECT subject_id, task, frame_idx, channel, round(value, 6) AS value FROM frames UNPIVOT (value FOR channel IN ({", ".join(CHANNELS)})))
+    SELECT subject_id, task, channel, CAST(0 AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n, round(sum(value * (frame_idx + 1)), 3) AS digest FROM s GROUP BY subject_id, task, channel""",
 )
 def channel_first_layout(spark, sf):
-    x = reshape.channel_first(frames(spark, sf, CH), CH)
-    head = F.aggregate(F.slice("values", 1, 5), F.lit(0.0), lambda a, b: a + F.round(b, 6))
-    return x.select(*RECORDING, "channel", "chunk", F.size("values").alias("n"), rnd(head, 6).alias("head"))
+    """All values of all channels: each counts by its place."""
+    x = reshape.channel_first(frames(spark, sf, CHANNELS), CHANNELS)
+    placed = F.transform("values", lambda v, i: F.round(v, 6) * (i + 1))
+    digest = F.aggregate(placed, F.lit(0.0), lambda a, b: a + b)
+    return x.select(*RECORDING, "channel", "chunk", F.size("values").cast("long").alias("n"), rnd(digest, 3).alias("digest"))

@@ -278,12 +278,12 @@ LAT = f"""{SP}, {LATERALITY_SQL}, {IMP}, rk AS (SELECT *, row_number() OVER (PAR
 
 @query(
     "laterality_importance",
-    f"""WITH {LAT} SELECT task, paradigm, subject_id, laterality, correct, round(ipsi, 4) AS ipsi_imp, round(contra, 4) AS contra_imp, round(hi, 4) AS head_imp,
+    f"""WITH {LAT} SELECT task, paradigm, subject_id, laterality, y_pred, round(y_proba, 6) AS y_proba, correct, round(ipsi, 4) AS ipsi_imp, round(contra, 4) AS contra_imp, round(hi, 4) AS head_imp,
       round(ipsi_r, 2) AS ipsi_rank, round(contra_r, 2) AS contra_rank, round(hr, 2) AS head_rank, ipsi > contra AS ipsi_dominates, hi > greatest(ipsi, contra) AS head_dominates, top3_features FROM latimp""",
 )
 def laterality_importance(spark, sf):
     x = posthoc.laterality_importance(importance_map(spark, sf), subject_preds(spark, sf), patient_meta(spark, sf))
-    return x.drop("y_pred", "y_proba")
+    return x.withColumn("y_proba", rnd("y_proba"))
 
 
 @query(
@@ -399,11 +399,11 @@ def best_runs(spark, sf):
 @query(
     "importance_columns",
     f"""WITH {IMP}, r AS (SELECT *, row_number() OVER (PARTITION BY task, paradigm ORDER BY importance DESC, channel) AS rank FROM imp)
-    SELECT task, paradigm, {", ".join(f"round(max(importance) FILTER (WHERE channel = '{c}'), 6) AS imp_{c}, max(rank) FILTER (WHERE channel = '{c}') AS rank_{c}" for c in CHANNELS[:4])} FROM r GROUP BY ALL""",
+    SELECT task, paradigm, {", ".join(f"round(max(importance) FILTER (WHERE channel = '{c}'), 6) AS imp_{c}, max(rank) FILTER (WHERE channel = '{c}') AS rank_{c}" for c in CHANNELS)} FROM r GROUP BY ALL""",
 )
 def importance_columns(spark, sf):
-    x = posthoc.importance_columns(importance_map(spark, sf), ["task", "paradigm"], CHANNELS[:4])
-    return rounded(x, "task", "paradigm", *[f"rank_{c}" for c in CHANNELS[:4]])
+    x = posthoc.importance_columns(importance_map(spark, sf), ["task", "paradigm"], CHANNELS)
+    return rounded(x, "task", "paradigm", *[f"rank_{c}" for c in CHANNELS])
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: the shape of an experiment summary document.
@@ -113,6 +113,7 @@ def write_feature_table(wide: DataFrame, path: str, ids: list[str]) -> DataFrame
 
 
 def newest(df: DataFrame, by: list[str], when: str = "modified") -> DataFrame:
-    """Latest file per key, the last name winning equal times."""
-    w = Window.partitionBy(*by).orderBy(F.desc(when), F.desc("path"))
-    return df.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    """Latest file per key, the last name winning equal times; one row a key and task leaves the scan."""
+    rest = [c for c in df.columns if c not in by]
+    last = F.max_by(F.struct(*rest), F.struct(when, "path")).alias("_last")
+    return df.groupBy(*by).agg(last).select(*by, "_last.*").select(df.columns)
