@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -205,15 +207,31 @@ def hsmm_duration_rates(spark, sf):
     return rounded(states.duration_rates(d, 2, RECORDING), "state")
 
 
-@query("hsmm_log_likelihood")
+RATES, LONGEST = np.array([3.0, 2.0]), 30
+_runs = [[math.exp(-r) * r**d / math.factorial(d) for d in range(1, LONGEST + 1)] for r in RATES.tolist()]
+# For each state and duration the score of the segment under way (l0, l1) and of one that starts at the next frame (in0, in1),
+# divided by the sum of the frame's scores, whose logarithms add up. A first segment of more than one frame does not count.
+HSMM_SQL = f"""WITH RECURSIVE {FORWARD_SQL}, pmf AS (SELECT {_runs[0]}::DOUBLE[] AS p0, {_runs[1]}::DOUBLE[] AS p1),
+  h AS (SELECT subject_id, task, n, frame_idx AS i, []::DOUBLE[] AS l0, []::DOUBLE[] AS l1, ln(s0 + s1) AS ll, s1 / (s0 + s1) * {_t[1][0]}::DOUBLE AS in0, s0 / (s0 + s1) * {_t[0][1]}::DOUBLE AS in1
+      FROM (SELECT *, 0.5::DOUBLE * p0[1] * e0 AS s0, 0.5::DOUBLE * p1[1] * e1 AS s1 FROM e, pmf WHERE frame_idx = 0)
+    UNION ALL SELECT subject_id, task, n, i, list_transform(m0, lambda x: x / (s0 + s1)), list_transform(m1, lambda x: x / (s0 + s1)), ll + ln(s0 + s1),
+      s1 / (s0 + s1) * {_t[1][0]}::DOUBLE, s0 / (s0 + s1) * {_t[0][1]}::DOUBLE
+      FROM (SELECT *, list_inner_product(m0, p0[1:len(m0)]) AS s0, list_inner_product(m1, p1[1:len(m1)]) AS s1
+        FROM (SELECT h.subject_id, h.task, h.n, e.frame_idx AS i, h.ll, list_prepend(in0 * e0, list_transform(l0[1:{LONGEST - 1}], lambda x: x * e0)) AS m0,
+          list_prepend(in1 * e1, list_transform(l1[1:{LONGEST - 1}], lambda x: x * e1)) AS m1
+          FROM h JOIN e ON e.subject_id = h.subject_id AND e.task = h.task AND e.frame_idx = h.i + 1), pmf))
+  SELECT subject_id, task, round(ll, 4) AS ll FROM h WHERE i = n - 1"""
+
+
+@query("hsmm_log_likelihood", HSMM_SQL)
 def hsmm_log_likelihood(spark, sf):
-    ll = hmm.hsmm_log_likelihood(scaled(spark, sf), CH, MODEL1, np.array([3.0, 2.0]), 30)
+    ll = hmm.hsmm_log_likelihood(scaled(spark, sf), CH, MODEL1, RATES, LONGEST)
     return rounded(ll, *RECORDING, digits=4)
 
 
 @query("hsmm_decode")
 def hsmm_decode(spark, sf):
-    return hmm.hsmm_decode(scaled(spark, sf), CH, MODEL1, np.array([3.0, 2.0]), 30)
+    return hmm.hsmm_decode(scaled(spark, sf), CH, MODEL1, RATES, LONGEST)
 
 
 FEATS = ["rom_asymmetry_x", "rom_ratio_y", "mean_hand_separation", "path_length_ratio"]

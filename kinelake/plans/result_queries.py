@@ -334,7 +334,19 @@ def spearman_scores(spark, sf):
     return rounded(posthoc.spearman(scored_preds(spark, sf), "y_proba", "q", ["task", "paradigm"]), "task", "paradigm", "n")
 
 
-@query("spearman_significance")
+# With rho = sin(a) the p-value is the part of the integral of cos^(n - 3) over 0 .. pi / 2 that lies beyond a (Simpson's rule).
+@query(
+    "spearman_significance",
+    f"""WITH {SCORED}, r AS (SELECT *, rank() OVER (PARTITION BY task, paradigm ORDER BY y_proba) + (count(*) OVER (PARTITION BY task, paradigm, y_proba) - 1) / 2.0 AS rx,
+      rank() OVER (PARTITION BY task, paradigm ORDER BY q) + (count(*) OVER (PARTITION BY task, paradigm, q) - 1) / 2.0 AS ry FROM sc WHERE q IS NOT NULL),
+    s AS (SELECT task, paradigm, count(*) AS n, CASE WHEN count(*) >= 4 THEN corr(rx, ry) END AS rho FROM r GROUP BY ALL),
+    w AS (SELECT i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, 4001) t(i)),
+    p AS (SELECT task, paradigm, any_value(n) AS n, any_value(rho) AS rho, (pi() / 2 - any_value(asin(abs(rho)))) * sum(w * pow(greatest(cos(asin(abs(rho)) + (pi() / 2 - asin(abs(rho))) * i / 4000), 0), n - 3))
+      / (pi() / 2 * sum(w * pow(greatest(cos(pi() / 2 * i / 4000), 0), n - 3))) AS p_value FROM s, w GROUP BY task, paradigm),
+    k AS (SELECT *, row_number() OVER (PARTITION BY paradigm ORDER BY p_value, task) AS k, count(*) OVER (PARTITION BY paradigm) AS m FROM p WHERE p_value IS NOT NULL),
+    b AS (SELECT task, paradigm, least(1, min(p_value * m / k) OVER (PARTITION BY paradigm ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS q FROM k)
+    SELECT p.task, p.paradigm, n, round(rho, 6) + 0 AS rho, round(p_value, 6) AS p_value, round(b.q, 6) AS q FROM p LEFT JOIN b ON b.task = p.task AND b.paradigm = p.paradigm""",
+)
 def spearman_significance(spark, sf):
     s = posthoc.spearman(scored_preds(spark, sf), "y_proba", "q", ["task", "paradigm"])
     return rounded(posthoc.benjamini_hochberg(posthoc.spearman_p(s), "p_value", ["paradigm"]), "task", "paradigm", "n")
