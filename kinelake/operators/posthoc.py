@@ -56,7 +56,7 @@ def laterality_importance(imp: DataFrame, preds: DataFrame, meta: DataFrame, by=
 
 
 def laterality_summary(rows: DataFrame, paradigm: int) -> DataFrame:
-    """Counts, means and a verdict per task for one paradigm.
+    """Counts, means and a verdict (head, ipsilateral or mixed: the side that leads in most rows) per task for one paradigm.
 
     Importances have four decimals, so means are taken from whole-number sums and do not depend on the order of rows.
     """
@@ -73,11 +73,7 @@ def laterality_summary(rows: DataFrame, paradigm: int) -> DataFrame:
         share("head_dominates").alias("pct_head_dom"),
         share("correct").alias("pct_correct"),
     )
-    verdict = (
-        F.when(F.col("pct_head_dom") > 0.5, "Head/trunk compensation dominates")
-        .when(F.col("pct_ipsi_dom") > 0.5, "Ipsilateral restriction dominates")
-        .otherwise("Contralateral/mixed signal")
-    )
+    verdict = F.when(F.col("pct_head_dom") > 0.5, "head").when(F.col("pct_ipsi_dom") > 0.5, "ipsilateral").otherwise("mixed")
     return out.withColumn("interpretation", verdict)
 
 

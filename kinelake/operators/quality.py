@@ -48,22 +48,12 @@ def temporal_quality(df: DataFrame, time: str, keys: list[str] = RECORDING, idx:
 
 
 def failure_reasons() -> Column:
-    """Reasons a recording misses the thresholds (empty = passes)."""
-    return F.array_compact(
-        F.array(
-            F.when(
-                F.col("overall_quality_score") < MIN_QUALITY,
-                F.format_string(f"quality %.1f%% < {MIN_QUALITY}%%", "overall_quality_score"),
-            ),
-            F.when(
-                F.col("total_frames") < MIN_FRAMES,
-                F.concat(F.col("total_frames").cast("string"), F.lit(f" frames < {MIN_FRAMES} minimum")),
-            ),
-            F.when(
-                F.col("duration") < MIN_DURATION, F.format_string(f"duration %.3fs < {MIN_DURATION}s", "duration")
-            ),
-        )
-    )
+    """Short codes, name and value, of the thresholds a recording misses (empty = passes)."""
+    q, n, d = (F.col(c) for c in ("overall_quality_score", "total_frames", "duration"))
+    low_quality = F.when(q < MIN_QUALITY, F.format_string("quality:%.1f", q))
+    few_frames = F.when(n < MIN_FRAMES, F.format_string("frames:%d", n))
+    too_short = F.when(d < MIN_DURATION, F.format_string("duration:%.3f", d))
+    return F.array_compact(F.array(low_quality, few_frames, too_short))
 
 
 def quality_report(df: DataFrame, channels: list[str], time: str, keys: list[str] = RECORDING) -> DataFrame:

@@ -506,9 +506,9 @@ def temporal_quality(spark, sf):
     "quality_report",
     f"""WITH {GAPPY_SQL}, {COMPLETE_SQL}, {GAPS_SQL}, j AS (SELECT c.*, t.duration, (c1_pct + c2_pct + c3_pct) / 3 AS q FROM comp c
       JOIN temporal t ON t.subject_id = c.subject_id), r AS (SELECT *, list_filter([
-        CASE WHEN q < 100 THEN format('quality {{:.1f}}% < 100.0%', q) END,
-        CASE WHEN total_frames < 25 THEN concat(CAST(total_frames AS STRING), ' frames < 25 minimum') END,
-        CASE WHEN duration < 0.1 THEN format('duration {{:.3f}}s < 0.1s', duration) END], lambda x: x IS NOT NULL) AS reasons FROM j)
+        CASE WHEN q < 100 THEN format('quality:{{:.1f}}', q) END,
+        CASE WHEN total_frames < 25 THEN concat('frames:', total_frames) END,
+        CASE WHEN duration < 0.1 THEN format('duration:{{:.3f}}', duration) END], lambda x: x IS NOT NULL) AS reasons FROM j)
     SELECT subject_id, total_frames, round(duration, 3) AS duration, len(reasons) = 0 AS passes_quality_check,
       array_to_string(reasons, '; ') AS failure_reasons FROM r""",
 )

@@ -291,7 +291,7 @@ def laterality_importance(spark, sf):
     f"""WITH {LAT}, s AS (SELECT task, count(*) AS n_unilateral_px, count(*) FILTER (WHERE laterality = 'Right') AS n_right, count(*) FILTER (WHERE laterality = 'Left') AS n_left,
       {", ".join(f"sum(CAST(round(round({c}, 4) * 1e4) AS BIGINT))::DOUBLE / (1e4 * count({c})) AS m{c[0]}" for c in ("ipsi", "contra", "hi"))}, avg(CAST(ipsi > contra AS INT)) AS pi, avg(CAST(hi > greatest(ipsi, contra) AS INT)) AS ph, avg(CAST(correct AS INT)) AS pc FROM latimp WHERE paradigm = 1 GROUP BY 1)
     SELECT task, n_unilateral_px, n_right, n_left, mi AS mean_ipsi_imp, mc AS mean_contra_imp, mh AS mean_head_imp, round(pi, 6) AS pct_ipsi_dom, round(ph, 6) AS pct_head_dom, round(pc, 6) AS pct_correct,
-      CASE WHEN ph > 0.5 THEN 'Head/trunk compensation dominates' WHEN pi > 0.5 THEN 'Ipsilateral restriction dominates' ELSE 'Contralateral/mixed signal' END AS interpretation FROM s""",
+      CASE WHEN ph > 0.5 THEN 'head' WHEN pi > 0.5 THEN 'ipsilateral' ELSE 'mixed' END AS interpretation FROM s""",
 )
 def laterality_summary(spark, sf):
     x = posthoc.laterality_importance(importance_map(spark, sf), subject_preds(spark, sf), patient_meta(spark, sf))
