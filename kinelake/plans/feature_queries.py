@@ -218,14 +218,23 @@ _KIN |= {
 }
 
 
+# Every sensor's angles under the head's names, a row per frame and sensor.
+SENSOR_SQL = " UNION ALL ".join(
+    f"SELECT subject_id, task, frame_idx, '{s}' AS sensor, {', '.join(f'{c} AS {h}' for c, h in zip(axes(s, 'rot'), HR))} FROM wide" for s in SENSORS
+)
+_W3 = "WINDOW w AS (PARTITION BY subject_id, task, sensor ORDER BY frame_idx)"
+
+
 @query(
     "rotation_kinematics",
-    f"""WITH frames AS ({frames_sql(HR)}), v AS (SELECT *, {", ".join(_grad_sql(f"v_{p}", c) for p, c in zip(PLANES, HR))} FROM frames {W}),
-    a AS (SELECT *, {", ".join(_grad_sql(f"a_{p}", f"v_{p}") for p in PLANES)} FROM v {W})
-    SELECT subject_id, task, {sql_round(_KIN, 3)} FROM a GROUP BY ALL""",
+    f"""WITH wide AS ({frames_sql(ROTS)}), frames AS ({SENSOR_SQL}), v AS (SELECT *, {", ".join(_grad_sql(f"v_{p}", c) for p, c in zip(PLANES, HR))} FROM frames {_W3}),
+    a AS (SELECT *, {", ".join(_grad_sql(f"a_{p}", f"v_{p}") for p in PLANES)} FROM v {_W3})
+    SELECT subject_id, task, sensor, {sql_round(_KIN, 3)} FROM a GROUP BY subject_id, task, sensor""",
 )
 def rotation_kinematics(spark, sf):
-    return rounded(features.rotation_kinematics(frames(spark, sf, HR), "Head"), 3)
+    sensors = F.array(*[F.struct(F.lit(s).alias("sensor"), *[F.col(c).alias(h) for c, h in zip(axes(s, "rot"), HR)]) for s in SENSORS])
+    x = frames(spark, sf, ROTS).select(*RECORDING, "frame_idx", F.inline(sensors))
+    return rounded(features.rotation_kinematics(x, "Head", [*RECORDING, "sensor"]), 3, [*RECORDING, "sensor"])
 
 
 _ANG = {}
@@ -278,16 +287,16 @@ def anatomical_angles(spark, sf):
 
 @query(
     "velocity_acceleration",
-    f"""WITH frames AS ({frames_sql(POS[:3])}) SELECT subject_id, task, frame_idx,
-      {", ".join(f"round(({c} - lag({c}) OVER w) * 50, 5) + 0 AS {c}_vel, round((({c} - lag({c}) OVER w) - (lag({c}) OVER w - lag({c}, 2) OVER w)) * 2500, 4) + 0 AS {c}_acc" for c in POS[:3])}
+    f"""WITH frames AS ({frames_sql(POS)}) SELECT subject_id, task, frame_idx,
+      {", ".join(f"round(({c} - lag({c}) OVER w) * 50, 5) + 0 AS {c}_vel, round((({c} - lag({c}) OVER w) - (lag({c}) OVER w - lag({c}, 2) OVER w)) * 2500, 4) + 0 AS {c}_acc" for c in POS)}
     FROM frames {W}""",
 )
 def velocity_acceleration(spark, sf):
-    out = features.derivatives(frames(spark, sf, POS[:3]), POS[:3])
+    out = features.derivatives(frames(spark, sf, POS), POS)
     return out.select(
         *RECORDING,
         "frame_idx",
-        *[rnd(f"{c}_{k}", d).alias(f"{c}_{k}") for c in POS[:3] for k, d in (("vel", 5), ("acc", 4))],
+        *[rnd(f"{c}_{k}", d).alias(f"{c}_{k}") for c in POS for k, d in (("vel", 5), ("acc", 4))],
     )
 
 
