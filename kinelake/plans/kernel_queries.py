@@ -126,16 +126,18 @@ def fourier_resample(spark, sf):
 
 @query(
     "spectrogram_table",
-    f"""WITH {SIGNALS_SQL}, st AS (SELECT subject_id, task, count(*) AS n FROM sig GROUP BY ALL), sg AS (SELECT *, unnest(range(0, (n - 64) // 32 + 1)) AS seg FROM st WHERE n >= 64),
-    wx AS (SELECT s.subject_id, s.task, s.seg, l.frame_idx - s.seg * 32 AS i, (Head_mag - avg(Head_mag) OVER p) * (0.5 - 0.5 * cos(2 * pi() * (l.frame_idx - s.seg * 32) / 64)) AS v
-      FROM sg s JOIN sig l ON l.subject_id = s.subject_id AND l.task = s.task AND l.frame_idx >= s.seg * 32 AND l.frame_idx < s.seg * 32 + 64
-      WINDOW p AS (PARTITION BY s.subject_id, s.task, s.seg)),
-    sp AS (SELECT subject_id, task, seg, bin, pow(sum(v * cos(2 * pi() * bin * i / 64)), 2) + pow(sum(v * sin(2 * pi() * bin * i / 64)), 2) AS p FROM wx, range(0, 33) b(bin) GROUP BY ALL)
-    SELECT subject_id, task, (seg * 32 + 32) / 5e1 AS t, bin * 50 / 64.0::DOUBLE AS freq, round(p / (50 * 24.0) * CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END, 7) + 0 AS power FROM sp""",
+    f"""WITH {SIGNALS_SQL}, m AS (SELECT subject_id, task, frame_idx, channel, mag FROM sig UNPIVOT (mag FOR channel IN ({", ".join(MAGS)}))),
+    st AS (SELECT subject_id, task, count(*) AS n FROM sig GROUP BY ALL), sg AS (SELECT *, unnest(range(0, (n - 64) // 32 + 1)) AS seg FROM st WHERE n >= 64),
+    wx AS (SELECT s.subject_id, s.task, s.seg, l.channel, l.frame_idx - s.seg * 32 AS i, (mag - avg(mag) OVER p) * (0.5 - 0.5 * cos(2 * pi() * (l.frame_idx - s.seg * 32) / 64)) AS v
+      FROM sg s JOIN m l ON l.subject_id = s.subject_id AND l.task = s.task AND l.frame_idx >= s.seg * 32 AND l.frame_idx < s.seg * 32 + 64
+      WINDOW p AS (PARTITION BY s.subject_id, s.task, s.seg, l.channel)),
+    sp AS (SELECT subject_id, task, channel, seg, bin, pow(sum(v * cos(2 * pi() * bin * i / 64)), 2) + pow(sum(v * sin(2 * pi() * bin * i / 64)), 2) AS p FROM wx, range(0, 33) b(bin) GROUP BY ALL)
+    SELECT subject_id, task, channel, (seg * 32 + 32) / 5e1 AS t, bin * 50 / 64.0::DOUBLE AS freq, round(p / (50 * 24.0) * CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END, 7) + 0 AS power FROM sp""",
 )
 def spectrogram_table(spark, sf):
-    s = spectral.spectrogram(signals(spark, sf), "Head_mag")
-    return s.select(*RECORDING, "t", "freq", rnd("power", 7).alias("power"))
+    by = [*RECORDING, "channel"]
+    x = signals(spark, sf).unpivot([*RECORDING, "frame_idx"], MAGS, "channel", "value")
+    return spectral.spectrogram(x, "value", by).select(*by, "t", "freq", rnd("power", 7).alias("power"))
 
 
 @query("butterworth_low_pass")
