@@ -1,5 +1,7 @@
 """Fold rows, augmented copies and bootstrap draws on small inputs."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +55,19 @@ def test_bootstrap_of_counts_has_the_spread_of_the_rows(spark):
     # Counts beyond the table: the same scores many times over give a narrow interval.
     many = df.groupBy("y_true").agg(F.count("*").alias("n")).select("y_true", F.col("y_true").cast("double").alias("y_proba"), F.explode(F.sequence(F.lit(1), F.lit(600))))
     assert evaluate.bootstrap_auc(many, draws=20).first()["auc_mean"] == 1.0
+
+
+def test_bootstrap_with_a_key_draws_every_row_by_itself(spark):
+    """Many rows of one score and class each have a weight of their own, as the plain bootstrap of rows gives them."""
+    rows = [(f"s{i}", i % 2, 0.25 * (i % 3) + 0.25 * (i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "sample_id string, y_true int, y_proba double").repartition(3)
+    draws, aucs = 8, []
+    for r in range(draws):
+        digest = [hashlib.md5(f"{k}|{r // 4}|42".encode()).hexdigest()[8 * (r % 4) : 8 * (r % 4) + 8] for k, _, _ in rows]
+        w = [sum((int(h, 16) + 0.5) / 2**32 > c for c in evaluate.POISSON_CDF) for h in digest]
+        pos, neg = ([(p, n) for (_, y, p), n in zip(rows, w) if y == k] for k in (1, 0))
+        wins = sum(a * b * ((p > q) + 0.5 * (p == q)) for p, a in pos for q, b in neg)
+        aucs.append(wins / (sum(a for _, a in pos) * sum(b for _, b in neg)))
+    got = evaluate.bootstrap_auc(df, draws=draws, key="sample_id").first()
+    assert got["n_draws"] == draws and got["auc_mean"] == pytest.approx(np.mean(aucs))
+    assert got["auc_ci_low"] == pytest.approx(np.quantile(aucs, 0.025)) and got["auc_ci_high"] == pytest.approx(np.quantile(aucs, 0.975))
