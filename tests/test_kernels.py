@@ -1,5 +1,7 @@
 """Numpy-backed operators against closed forms and brute force, on plain and blocked paths."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -179,6 +181,32 @@ def test_lyapunov_of_blocks(data, size):
     np.testing.assert_allclose(a, b, rtol=1e-9)
 
 
+def test_lyapunov_moves_a_point_once_for_all_steps(data):
+    """Equal to the plain computation, and no plan carries a row for each step and point through an exchange."""
+    df, pdf = data
+    got = {(r.subject_id, r.task): r.lyapunov for r in ko.lyapunov(as_series(df), KEYS, 5).collect()}
+    sep = {(r.subject_id, r.task): r.sep for r in _mean_periods(as_series(df))}
+    for (s, t), g in pdf.groupby(["subject_id", "task"]):
+        v = g.sort_values("frame_idx").x.to_numpy()
+        e = np.stack([v[:-2], v[1:-1], v[2:]], axis=1)
+        n, logs = len(v) - 6, [[] for _ in range(5)]
+        for i in range(n):
+            d = np.sqrt(((e[:n] - e[i]) ** 2).sum(axis=1))
+            d[np.abs(np.arange(n) - i) <= sep[s, t]] = np.inf
+            if d.min() < np.inf:
+                for k in range(5):
+                    far = np.linalg.norm(e[i + k] - e[d.argmin() + k])
+                    logs[k] += [np.log(far)] if far > 0 else []
+        assert got[s, t] == pytest.approx(np.polyfit(range(5), [np.mean(x) for x in logs], 1)[0], rel=1e-6)
+    plan = ko.lyapunov(as_series(df), KEYS, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Generate explode.*step#", plan)
+
+
+def _mean_periods(series):
+    psd = spectral.welch(series, KEYS, 1.0).groupBy(*KEYS)
+    return psd.agg(F.ceil(F.sum("power") / F.sum(F.col("freq") * F.col("power"))).alias("sep")).collect()
+
+
 def _dtw(a, b):
     c = np.full((len(a) + 1, len(b) + 1), np.inf)
     c[0, 0] = 0
