@@ -1,5 +1,7 @@
 """Leave-one-subject-out training: nothing of the held-out subject, no dependence on blocks, parts that can be resumed."""
 
+import hashlib
+import re
 import shutil
 
 import numpy as np
@@ -116,3 +118,20 @@ def test_importance_names_the_channels_that_carry_the_label(spark):
 def test_channel_drops_are_shares(data, tmp_path):
     found = loso.channel_drops(data, CH, str(tmp_path / "d"), GRID[0], cls="cl", group=["task"]).toPandas()
     assert len(found) == 4 and np.allclose(found.groupby("task")["importance"].sum(), 1.0) and (found["importance"] >= 0).all()
+
+
+@pytest.mark.parametrize("block", [6, 1 << 17])
+def test_twins_meet_in_blocks_after_one_exchange(spark, monkeypatch, block):
+    """Each row crosses the network once for all repeats; block borders and lengths that no arc divides lose no twin."""
+    from kinelake.operators import evaluate
+
+    monkeypatch.setattr(evaluate, "TWIN_BLOCK", block)
+    for n in (1, 3, 100, 101, 107):
+        df = spark.createDataFrame([(f"s{i}", i) for i in range(n)], "k string, i int").repartition(3)
+        found = evaluate.shuffled_twins(df, ["i"], ["k"], 3)
+        order = sorted(range(n), key=lambda i: hashlib.md5(f"s{i}|42".encode()).hexdigest()[:13])
+        want = {(i, r, order[(p + (2 * r + 1) * n // 6) % n]) for p, i in enumerate(order) for r in range(3)}
+        rows = found.collect()
+        assert len(rows) == 3 * n and {(f["i"], f["repeat"], f["twin"]["i"]) for f in rows} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join Inner" not in plan.replace("Join Inner\n", "")
