@@ -153,6 +153,26 @@ def test_rounds_compare_every_pair_of_a_bucket(spark, monkeypatch):
         assert roots[one[0][0]] != roots[one[2][0]]
 
 
+def test_estimates_of_many_rounds_stay_small(spark, monkeypatch):
+    """A bucket of unlike texts takes a round for each node; the digits of Spark's size estimates must not multiply with them."""
+    texts = [" ".join(f"w{i}_{k}" for k in range(30)) for i in range(7)]
+    texts.append(texts[0] + " more")
+    one = [(resemble.node_of(s), len(s), [7, 8], t) for t in texts for s in [resemble.shingles(t)]]
+    df = spark.createDataFrame(one, "node long, n long, bands array<long>, text string")
+    bits, cut = [], resemble.reliable
+
+    def told(rows):
+        out = cut(rows)
+        bits.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return out
+
+    monkeypatch.setattr(resemble, "reliable", told)
+    monkeypatch.setattr(resemble, "PAIRS", 0)
+    edges = resemble.similar(df.select("node", "n", "bands"), df.select("node", "text"))
+    assert {tuple(sorted(r)) for r in edges.collect()} == {tuple(sorted((one[0][0], one[-1][0])))}
+    assert len(bits) > 15 and max(bits) < 1000
+
+
 def test_hot_shards_are_dealt_again_and_keep_every_link(spark):
     random.seed(3)
     near = [0]
