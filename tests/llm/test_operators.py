@@ -173,6 +173,21 @@ def test_estimates_of_many_rounds_stay_small(spark, monkeypatch):
     assert len(bits) > 15 and max(bits) < 1000
 
 
+def test_rounds_take_more_nodes_each(spark, monkeypatch):
+    """Twenty unlike texts with four copies in one bucket: no link is lost when a round compares several nodes, and rounds are few."""
+    texts = [" ".join(f"w{i}_{k}" for k in range(30)) for i in range(20)]
+    texts += [t + " more" for t in texts[3:20:5]]
+    one = [(resemble.node_of(s), len(s), [7], t) for t in texts for s in [resemble.shingles(t)]]
+    df = spark.createDataFrame(one, "node long, n long, bands array<long>, text string")
+    rounds, facts = [], resemble._facts
+    monkeypatch.setattr(resemble, "_facts", lambda left, most: rounds.append(most) or facts(left, most))
+    monkeypatch.setattr(resemble, "PAIRS", 4)
+    edges = resemble.similar(df.select("node", "n", "bands"), df.select("node", "text"))
+    wanted = {tuple(sorted((one[i][0], one[20 + k][0]))) for k, i in enumerate(range(3, 20, 5))}
+    assert {tuple(sorted(r)) for r in edges.collect()} == wanted
+    assert rounds[:3] == [1, 2, 4] and len(rounds) <= 6
+
+
 def test_hot_shards_are_dealt_again_and_keep_every_link(spark):
     random.seed(3)
     near = [0]
