@@ -263,3 +263,19 @@ def test_recordings_of_one_frame_stay(make_series):
     series = df.selectExpr("subject_id", "task", "'x' AS channel", "frame_idx AS idx", "x AS value")
     got = spectral.fft_magnitude(series, keys).toPandas().set_index("subject_id")
     assert len(got) == 2 and np.isnan(got.loc["a", "fft_max_magnitude"]) and got.loc["b", "fft_max_magnitude"] > 0
+
+
+def test_many_blocks_are_filtered_side_by_side(monkeypatch):
+    draw = np.random.default_rng(4)
+    b, a = kernels.butterworth(4, [1.0, 6.0], 50.0, "band")
+    sizes = np.array([2, 3, 40, 400, 41, 7] * 20)
+    ends = np.cumsum(sizes)
+    starts, x = ends - sizes, draw.normal(size=(ends[-1] + 1, 2))
+    begins, stops = draw.random(len(sizes)) < 0.5, draw.random(len(sizes)) < 0.5
+    alone = [kernels.zero_phase(b, a, x[s:e], p, q) for s, e, p, q in zip(starts, ends, begins, stops)]
+    steps, plain = [], kernels._recursive
+    monkeypatch.setattr(kernels, "_recursive", lambda b, a, x, start: steps.append(len(x)) or plain(b, a, x, start))
+    monkeypatch.setattr(kernels, "FILTER_CELLS", 60_000)  # several tables
+    found = kernels.zero_phase_many(b, a, x, starts, ends, begins, stops)
+    assert np.array_equal(found, np.concatenate([*alone, x[-1:]]))
+    assert sum(steps) < sum(sizes) / 2
