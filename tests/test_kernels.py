@@ -279,3 +279,18 @@ def test_many_blocks_are_filtered_side_by_side(monkeypatch):
     found = kernels.zero_phase_many(b, a, x, starts, ends, begins, stops)
     assert np.array_equal(found, np.concatenate([*alone, x[-1:]]))
     assert sum(steps) < sum(sizes) / 2
+
+
+def test_a_series_of_known_length_costs_no_new_basis(monkeypatch):
+    kernels._SPLINES.clear()
+    calls, plain = [], kernels.bspline_basis
+    monkeypatch.setattr(kernels, "bspline_basis", lambda *args: calls.append(1) or plain(*args))
+    draw, at = np.random.default_rng(5), np.linspace(0, 29, 64)
+    for degree in (2, 3):
+        for _ in range(10):
+            y = draw.normal(size=(30, 2))
+            own, there = kernels._spline_parts(30, at, degree)
+            assert np.allclose(kernels.spline_at(y, at, degree), there @ np.linalg.solve(own, y), rtol=0, atol=1e-12)
+    assert len(calls) == 2 * 2 * 11  # ten of each from the check itself
+    cubic = lambda t: 2 * t**3 - t + 1
+    assert np.allclose(kernels.spline_at(cubic(np.arange(8.0) / 8)[:, None], np.array([0.25, 6.5]), 3)[:, 0], cubic(np.array([0.25, 6.5]) / 8))
