@@ -294,3 +294,24 @@ def test_a_series_of_known_length_costs_no_new_basis(monkeypatch):
     assert len(calls) == 2 * 2 * 11  # ten of each from the check itself
     cubic = lambda t: 2 * t**3 - t + 1
     assert np.allclose(kernels.spline_at(cubic(np.arange(8.0) / 8)[:, None], np.array([0.25, 6.5]), 3)[:, 0], cubic(np.array([0.25, 6.5]) / 8))
+
+
+def test_template_counts_equal_pairs_of_rows():
+    draw = np.random.default_rng(6)
+    a, b = (np.round(draw.normal(size=(n, 3)), 1) for n in (700, 9))
+    a[-1, 2] = b[-1, 2] = np.inf
+    full_a, full_b = np.isfinite(a[:, 2]), np.isfinite(b[:, 2])
+    near = np.abs(a[:, None, :2] - b[None, :, :2]).max(axis=2) <= 0.4
+    three = near[:-1, :-1] & (np.abs(a[:-1, None, 2] - b[None, :-1, 2]) <= 0.4)
+    n2, s2, n3 = kernels.template_counts(a, b, full_a, full_b, 0.4)
+    assert (n2 == near.sum(axis=1)).all() and n2.any()
+    assert (s2 == np.append(near[:-1, :-1].sum(axis=1), 0)).all() and (n3 == np.append(three.sum(axis=1), 0)).all()
+    apart = lambda x, y: np.exp(-np.abs((x - x.mean()) - (y - y.mean())).max() / 0.3)
+    want = [sum(apart(x[:m], y[:m]) for x in a[:-1] for y in b[:-1]) for m in (2, 3)]
+    assert np.allclose(kernels.fuzzy_sums(a[:-1], b[:-1], 0.3), want)
+
+
+def test_lempel_ziv_of_values_and_of_symbols(data):
+    series = spectral.finite_series(data[0], ["x", "y"])
+    rows = [sorted(map(tuple, ko.lempel_ziv(series, limit=n).collect())) for n in (200, 10)]
+    assert len(rows[0]) == 4 and rows[0] == rows[1]
