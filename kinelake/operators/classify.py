@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.operators import evaluate
+from kinelake.sources.store import stored
 
 
 def loso_ridge(
@@ -23,9 +24,10 @@ def loso_ridge(
     own small system inside an Arrow UDF. Probabilities are the score (target -1/+1) through a sigmoid.
 
     A missing feature takes the mean of the fold's training rows. The product sums are therefore kept over values and
-    presence flags apart; with the fold's means they give the sums of the filled features exactly.
+    presence flags apart; with the fold's means they give the sums of the filled features exactly. The rows are read for
+    the means, the sums and the scores, so they are stored first.
     """
-    by = list(by)
+    by, df = list(by), stored(df, "samples")
     here = [f"_p_{f}" for f in features]
     names = ["_one", *features, *here, "_t"]
     centre = df.agg(*[F.avg(f).alias(f"_c_{f}") for f in features])
@@ -118,6 +120,7 @@ def logistic_fold(train: DataFrame, test: DataFrame, features: list[str], label:
 
 def nested_metrics(preds: DataFrame, by: list[str] = ()) -> DataFrame:
     """Per-config metrics of held-out predictions and the rank of each config."""
+    preds = stored(preds.select(*by, "config", "y_true", "y_pred", "y_proba"), "predictions")
     m = evaluate.binary_metrics(preds, [*by, "config"], None).join(evaluate.roc_auc(preds, [*by, "config"]), [*by, "config"])
     return m
 
